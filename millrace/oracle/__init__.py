@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generated
+from . import generated, tpch
 
-FAMILIES = (generated,)
+FAMILIES = (generated, tpch)
 
 
 def statements() -> dict[str, str]:

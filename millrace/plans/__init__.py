@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import generated
+from . import generated, tpch
 
-FAMILIES = (generated,)
+FAMILIES = (generated, tpch)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
