@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generated, tpch
+from . import generated, nexmark, tpch
 
-FAMILIES = (generated, tpch)
+FAMILIES = (generated, tpch, nexmark)
 
 
 def statements() -> dict[str, str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import generated, tpch
+from . import generated, nexmark, tpch
 
-FAMILIES = (generated, tpch)
+FAMILIES = (generated, tpch, nexmark)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
