@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generated, nexmark, tpch
+from . import generated, nexmark, tpch, user_functions
 
-FAMILIES = (generated, tpch, nexmark)
+FAMILIES = (generated, tpch, nexmark, user_functions)
 
 
 def statements() -> dict[str, str]:

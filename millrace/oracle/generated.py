@@ -320,7 +320,6 @@ def _kernels() -> dict[str, str]:
              "s_in3": _text("region_", 5), "s_in4": _text("brand_", 100)}
         ),
         "x_str16": str16(),
-        "x_str16_arrow": str16(),
         "x_len_short": _strings({"s_in": "CAST(id % 99999 AS VARCHAR)"}),
         "x_len_medium": _strings({"s_in": _text("Supplier#", 99999, "_name")}),
         "x_len_long": _strings(
