@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generated, nexmark, tpch, user_functions
+from . import analysis, generated, nexmark, tpch, user_functions
 
-FAMILIES = (generated, tpch, nexmark, user_functions)
+FAMILIES = (generated, tpch, nexmark, user_functions, analysis)
 
 
 def statements() -> dict[str, str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import generated, nexmark, tpch, user_functions
+from . import analysis, generated, nexmark, tpch, user_functions
 
-FAMILIES = (generated, tpch, nexmark, user_functions)
+FAMILIES = (generated, tpch, nexmark, user_functions, analysis)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
