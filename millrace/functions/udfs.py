@@ -32,8 +32,10 @@ def _price_line(returnflag, linestatus, price, discount, tax, ship_days):
     """Q1 for one row, with the nanoseconds it took."""
     started = time.perf_counter_ns()
     kept = ship_days is not None and ship_days <= DAY_1998_09_02
-    net = price * (1.0 - discount) if kept else 0.0
-    charge = net * (1.0 + tax) if kept else 0.0
+    net = charge = 0.0
+    if kept:
+        net = None if price is None or discount is None else price * (1.0 - discount)
+        charge = None if net is None or tax is None else net * (1.0 + tax)
     return returnflag, linestatus, net, charge, int(kept), time.perf_counter_ns() - started
 
 

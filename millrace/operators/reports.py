@@ -128,16 +128,17 @@ def with_units(compared: DataFrame) -> DataFrame:
     )
 
 
-def comparison_table(compared: DataFrame, max_files: int = 1000) -> DataFrame:
+def comparison_table(measured: DataFrame, max_files: int = 1000) -> DataFrame:
     """Benchmarks by files, in display units, with the geometric means as last row.
 
     ``seq`` puts the summary row last. Files become columns, so their number is
     bounded by what a table can have.
     """
-    names = [r[0] for r in compared.select("file").distinct().take(max_files + 1)]
+    names = [r[0] for r in measured.select("file").distinct().take(max_files + 1)]
     if len(names) > max_files:
         raise ValueError(f"more than {max_files} files do not fit as columns")
     names.sort()
+    compared = compare_files(measured)
     wide = (
         with_units(compared).groupBy("benchmark", "unit").pivot("file", names).agg(F.first("scaled"))
     )

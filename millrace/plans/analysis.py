@@ -117,7 +117,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reports.comparison_table(reports.compare_files(measurements(spark, sf_dir)))
+    wide = reports.comparison_table(measurements(spark, sf_dir))
     fixed = ["seq", "benchmark", "unit"]
     files = [c for c in wide.columns if c not in fixed]
     return wide.select(*fixed, *[F.round(f"`{c}`", 6).alias(c) for c in files])
