@@ -1,7 +1,8 @@
 """Event-time windows over auctions and events: hot items and same-window matches.
 
-Event times are TIMESTAMP_NTZ columns, so no result depends on a session's time
-zone. Windows are half-open, [start, end).
+Times are TIMESTAMP or TIMESTAMP_NTZ columns; results keep the type. Windows
+are aligned to the epoch by ``F.window``, which does not look at the session's
+time zone, and are half-open, [start, end).
 """
 
 from __future__ import annotations
@@ -19,26 +20,20 @@ def micros(width: str) -> int:
     return pd.Timedelta(width).value // 1000
 
 
-def event_time(ms: Column | str) -> Column:
-    """Epoch milliseconds as TIMESTAMP_NTZ."""
-    ms = col(ms) if isinstance(ms, str) else ms
-    return F.timestamp_add("MILLISECOND", ms, F.expr(_ORIGIN))
-
-
-def epoch_ms(ts: Column) -> Column:
-    return F.timestamp_diff("MILLISECOND", F.expr(_ORIGIN), ts)
+def utc_micros(ts: Column) -> Column:
+    """A TIMESTAMP_NTZ as microseconds since the epoch, whatever the session's zone."""
+    since = (ts - F.expr(_ORIGIN)).cast("interval second").cast("decimal(20,6)")
+    return (since * 1_000_000).cast("long")
 
 
 def window_start(ts: Column | str, width: str) -> Column:
     """Start of the tumbling window a time falls into. NULL for NULL.
 
-    ``F.window`` gives the same start but filters rows without a time, which an
-    outer join must keep.
+    ``F.window`` drops rows without a time, which an outer join must keep.
     """
     ts = col(ts) if isinstance(ts, str) else ts
-    since = F.timestamp_diff("MICROSECOND", F.expr(_ORIGIN), ts)
-    start = since - F.pmod(since, F.lit(micros(width)))
-    return F.timestamp_add("MICROSECOND", start, F.expr(_ORIGIN))
+    any_time = F.coalesce(ts, F.expr(_ORIGIN))
+    return F.when(ts.isNotNull(), F.window(any_time, width).getField("start"))
 
 
 def window_counts(
@@ -53,7 +48,7 @@ def window_counts(
     """
     if micros(size) % micros(slide):
         raise ValueError(f"slide {slide!r} must divide size {size!r}")
-    first = events.agg(window_start(F.min(ts), slide)).scalar()
+    first = events.agg(F.min(ts).alias("t")).select(window_start("t", slide)).scalar()
     return (
         pane_counts(events, key, ts, slide)
         .groupBy(F.window("pane", size, slide).alias("window"), key)

@@ -71,12 +71,13 @@ def log_metrics(lines: DataFrame) -> DataFrame:
             _captured(r"Duration=([0-9.]+)").alias("duration"),
             _captured(r"Wall time\s*:\s*([0-9.]+)").alias("wall"),
         )
+        .filter(col("duration").isNotNull() | col("wall").isNotNull())
         .groupBy("query")
         .agg(_last("duration"), _last("wall"))
         .select("query", F.coalesce("duration", "wall").alias("duration_s"))
     )
     names = ["avg_udf_ns", "avg_overhead_ns", "rows_per_s", "wallclock_ms", "duration_s"]
-    return chosen.join(durations, "query").select(
+    return chosen.join(durations, "query", "left").select(
         "query", *[F.coalesce(n, F.lit(MISSING)).alias(n) for n in names]
     )
 

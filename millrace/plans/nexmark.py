@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.event_windows import (
-    epoch_ms,
-    event_time,
     hot_items,
     label_hot_rows,
     match_in_window,
@@ -61,7 +59,7 @@ def local_sellers(
 
 def hot_bids(bids: DataFrame) -> DataFrame:
     """Query 5 per bid: the auction and its best winning count, NULLs when it never won."""
-    timed = bids.select("auction", event_time("date_time").alias("ts"))
+    timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
     return label_hot_rows(timed, "auction", "ts", HOP_SIZE, HOP_SLIDE).select(
         "auction", "num", overhead()
     )
@@ -69,10 +67,10 @@ def hot_bids(bids: DataFrame) -> DataFrame:
 
 def hot_auctions(bids: DataFrame) -> DataFrame:
     """Query 5 as (window, auction, count), window bounds in epoch milliseconds."""
-    timed = bids.select("auction", event_time("date_time").alias("ts"))
+    timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
     return hot_items(timed, "auction", "ts", HOP_SIZE, HOP_SLIDE).select(
-        epoch_ms(col("w_start")).alias("w_start"),
-        epoch_ms(col("w_end")).alias("w_end"),
+        F.unix_millis("w_start").alias("w_start"),
+        F.unix_millis("w_end").alias("w_end"),
         "auction",
         "num",
     )
@@ -80,12 +78,12 @@ def hot_auctions(bids: DataFrame) -> DataFrame:
 
 def new_sellers(auctions: DataFrame, persons: DataFrame, how: str = "inner") -> DataFrame:
     """Query 8: persons who open an auction in the window in which they registered."""
-    a = auctions.select("a_id", "seller", event_time("a_date_time").alias("a_ts"))
-    p = persons.select("p_id", "name", event_time("p_date_time").alias("p_ts"))
+    a = auctions.select("a_id", "seller", F.timestamp_millis("a_date_time").alias("a_ts"))
+    p = persons.select("p_id", "name", F.timestamp_millis("p_date_time").alias("p_ts"))
     return match_in_window(a, p, "seller", "p_id", "a_ts", "p_ts", TUMBLE, how).select(
         col("p_id").alias("person_id"),
         "name",
-        epoch_ms(col("w_start")).alias("starttime"),
+        F.unix_millis("w_start").alias("starttime"),
         F.when(col("p_id").isNotNull(), col("a_id")).alias("auction_id"),
         overhead(),
     )
@@ -93,17 +91,17 @@ def new_sellers(auctions: DataFrame, persons: DataFrame, how: str = "inner") ->
 
 def active_new_persons(auctions: DataFrame, persons: DataFrame) -> DataFrame:
     """The existence half of query 8: persons with any auction in their window."""
-    p = persons.select("p_id", "name", event_time("p_date_time").alias("p_ts"))
+    p = persons.select("p_id", "name", F.timestamp_millis("p_date_time").alias("p_ts"))
     # One row per seller and window: a busy seller must not pile up in one join task.
     a = (
-        auctions.select("seller", event_time("a_date_time").alias("a_ts"))
+        auctions.select("seller", F.timestamp_millis("a_date_time").alias("a_ts"))
         .groupBy("seller", window_start("a_ts", TUMBLE).alias("a_start"))
         .agg(F.count(F.lit(1)).alias("opened"))
     )
     placed = p.withColumn("w_start", window_start("p_ts", TUMBLE))
     on = (col("p_id") == col("seller")) & (col("w_start") == col("a_start"))
     return placed.join(a, on, "left_semi").select(
-        col("p_id").alias("person_id"), "name", epoch_ms(col("w_start")).alias("starttime")
+        col("p_id").alias("person_id"), "name", F.unix_millis("w_start").alias("starttime")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.event_windows import epoch_ms, window_start
+from ..operators.event_windows import utc_micros, window_start
 from ..operators.row_kernels import overhead
 from ..sources import generated as gen
 from ..sources.tables import row_count, table
@@ -113,9 +113,8 @@ def hot_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", auctions.instant("ts").alias("ts")
     )
     # One row: where counting starts.
-    start = table(spark, sf_dir, "events").agg(
-        epoch_ms(window_start(F.min("ts"), EVENT_HOP_SLIDE))
-    )
+    first = table(spark, sf_dir, "events").agg(F.min("ts").alias("t"))
+    start = first.select(window_start("t", EVENT_HOP_SLIDE).alias("t")).select(utc_micros(col("t")))
     return auctions.hot_items_stream(
         events,
         "event_type",
@@ -123,7 +122,7 @@ def hot_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         EVENT_HOP_SIZE,
         EVENT_HOP_SLIDE,
         EVENT_DELAY,
-        origin_ms=start.first()[0],
+        origin_ms=start.first()[0] // 1000,
     )
 
 

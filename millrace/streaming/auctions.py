@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.event_windows import hottest
+from ..operators.event_windows import hottest, utc_micros
 from .runs import batches_to_tables, to_table
 
 col = F.col
@@ -19,10 +19,7 @@ col = F.col
 
 def instant(ts: Column | str) -> Column:
     """A TIMESTAMP_NTZ read as UTC, since watermarks need TIMESTAMP."""
-    ts = col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_micros(
-        F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
-    )
+    return F.timestamp_micros(utc_micros(col(ts) if isinstance(ts, str) else ts))
 
 
 def window_counts_stream(
