@@ -15,16 +15,20 @@ MISSING = "N/A"
 SUMMARY_LABEL = "geometric mean"
 
 
+def discard(df: DataFrame) -> None:
+    """Compute every column of every row and write nothing."""
+    df.write.format("noop").mode("overwrite").save()
+
+
 def run_report(df: DataFrame, tag: str, input_rows: int, expected_rows: int = -1) -> DataFrame:
     """Run a query to the noop sink and report its wall time and throughput.
 
-    The noop sink makes Spark compute every column of every row and writes
-    nothing. Rows are counted in the same pass.
+    Rows are counted in the same pass.
     """
     seen = Observation(f"rows of {tag}")
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     started = time.perf_counter()
-    counted.write.format("noop").mode("overwrite").save()
+    discard(counted)
     wall = time.perf_counter() - started
     row = (tag, input_rows, expected_rows, seen.get["rows"], wall, input_rows / wall)
     return df.sparkSession.createDataFrame(

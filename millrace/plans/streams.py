@@ -11,9 +11,8 @@ from ..operators.event_windows import utc_micros, window_start
 from ..operators.row_kernels import overhead
 from ..sources import generated as gen
 from ..sources.tables import row_count, table
-from ..sources.workspace import fresh_folder
 from ..streaming import auctions, prices
-from ..streaming.runs import batches_to_tables, given_table_stream, table_stream, to_table
+from ..streaming.runs import as_stream, batches_to_tables, given_table_stream, to_table
 from .nexmark import EVENT_HOP_SIZE, EVENT_HOP_SLIDE, HOP_SIZE, HOP_SLIDE, TUMBLE
 
 col = F.col
@@ -66,19 +65,6 @@ def statement_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stepped.unionByName(valued).withColumn("value", F.round("value", 3))
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str, closing: DataFrame | None = None) -> DataFrame:
-    """Write a table and open it as a stream.
-
-    ``closing`` is appended last: an event long after all others, which lets
-    the watermark pass the final windows.
-    """
-    path = fresh_folder(spark, name)
-    df.write.parquet(path)
-    if closing is not None:
-        closing.write.mode("append").parquet(path)
-    return table_stream(spark, path, df.schema)
-
-
 def hot_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = row_count(spark, sf_dir, "lineitem")
     bids = gen.bids(spark, rows).select("auction", F.timestamp_millis("date_time").alias("ts"))
@@ -86,7 +72,7 @@ def hot_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing = spark.range(1).select(
         F.lit(-1).cast("long").alias("auction"), F.timestamp_millis(F.lit(after)).alias("ts")
     )
-    stream = _written(spark, bids, "bids", closing)
+    stream = as_stream(bids, closing)
     return auctions.hot_items_stream(
         stream, "auction", "ts", HOP_SIZE, HOP_SLIDE, AUCTION_DELAY, origin_ms=0
     )
@@ -102,7 +88,7 @@ def new_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "a_id", "seller", F.timestamp_millis("a_date_time").alias("a_ts")
     )
     matches = auctions.new_sellers_stream(
-        _written(spark, persons, "persons"), _written(spark, opened, "auctions"), TUMBLE, AUCTION_DELAY
+        as_stream(persons), as_stream(opened), TUMBLE, AUCTION_DELAY
     )
     return matches.select("*", overhead())
 

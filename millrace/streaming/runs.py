@@ -40,6 +40,18 @@ def to_table(stream: DataFrame, name: str, timeout_s: float | None = None) -> Da
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def discard(stream: DataFrame, timeout_s: float | None = None) -> None:
+    """Compute a stream in full and keep nothing: for load and timing."""
+    checkpoint = fresh_folder(stream.sparkSession, "discarded")
+    finish(stream.writeStream.format("noop"), checkpoint, timeout_s)
+
+
+def print_stream(stream: DataFrame, rows: int = 20, timeout_s: float | None = None) -> None:
+    """Print the first rows of every micro-batch."""
+    checkpoint = fresh_folder(stream.sparkSession, "printed")
+    finish(stream.writeStream.format("console").option("numRows", rows), checkpoint, timeout_s)
+
+
 def batches_to_tables(
     stream: DataFrame,
     name: str,
@@ -88,6 +100,22 @@ def table_stream(
     return reader.load(folder)
 
 
+def as_stream(
+    df: DataFrame, closing: DataFrame | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
+    """Write rows to the shared folder and open them as a stream.
+
+    ``closing`` is appended last: an event long after all others, which lets
+    the watermark pass the final windows.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, "stream-input")
+    df.write.parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
+    return table_stream(spark, path, df.schema, files_per_trigger=files_per_trigger)
+
+
 def given_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
