@@ -20,6 +20,10 @@ def micros(width: str) -> int:
     return pd.Timedelta(width).value // 1000
 
 
+def interval(width: str) -> Column:
+    return F.expr(f"INTERVAL {width}")
+
+
 def utc_micros(ts: Column) -> Column:
     """A TIMESTAMP_NTZ as microseconds since the epoch, whatever the session's zone."""
     since = (ts - F.expr(_ORIGIN)).cast("interval second").cast("decimal(20,6)")
@@ -39,48 +43,53 @@ def window_start(ts: Column | str, width: str) -> Column:
 def window_counts(
     events: DataFrame, key: str, ts: str, size: str, slide: str
 ) -> DataFrame:
-    """Count per key and hopping window: (window, key, num).
+    """Count per key and hopping window: (w_start, key, num).
 
     Rows are counted per slide-long pane first. Only those counts are copied
     into the overlapping windows, so the copying grows with panes and keys and
     not with rows, and a hot key leaves each map task as one row per pane.
-    Windows that start before the first event's pane are dropped.
+    Windows that start before the first event's pane are dropped. Rows without a
+    key or a time are counted nowhere.
     """
     if micros(size) % micros(slide):
         raise ValueError(f"slide {slide!r} must divide size {size!r}")
     first = events.agg(F.min(ts).alias("t")).select(window_start("t", slide)).scalar()
-    return (
-        pane_counts(events, key, ts, slide)
-        .groupBy(F.window("pane", size, slide).alias("window"), key)
-        .agg(F.sum("num").alias("num"))
-        .filter(col("window.start") >= first)
+    panes = (
+        events.filter(col(key).isNotNull())
+        .select(F.window(ts, slide).getField("start").alias("pane"), key)
+        .groupBy("pane", key)
+        .agg(F.count(F.lit(1)).alias("num"))
     )
-
-
-def pane_counts(events: DataFrame, key: str, ts: str, slide: str) -> DataFrame:
+    starts = F.sequence(col("pane") - interval(size) + interval(slide), col("pane"), interval(slide))
     return (
-        events.groupBy(F.window(ts, slide).alias("w"), key)
-        .agg(F.count(F.lit(1)).alias("num"))
-        .select(col("w.start").alias("pane"), key, "num")
+        panes.select(F.explode(starts).alias("w_start"), key, "num")
+        .filter(col("w_start") >= first)
+        .groupBy("w_start", key)
+        .agg(F.sum("num").alias("num"))
     )
 
 
-def hottest(counts: DataFrame) -> DataFrame:
+def hottest(counts: DataFrame, window: str = "w_start") -> DataFrame:
     """Rows whose count equals their window's largest count; ties stay.
 
     The window maximum comes from a combinable aggregate. Ranking inside each
     window would bring all keys of a window to one task.
+
+    Both sides of the join state the same non-null filter. Spark would
+    otherwise infer a different one for each, and then compute the counts twice
+    instead of reading one shuffle twice.
     """
-    peaks = counts.groupBy(col("window").alias("peak_window")).agg(F.max("num").alias("peak"))
+    counts = counts.filter(col(window).isNotNull() & col("num").isNotNull())
+    peaks = counts.groupBy(col(window).alias("peak_window")).agg(F.max("num").alias("peak"))
     return counts.join(
-        peaks, (col("window") == col("peak_window")) & (col("num") == col("peak"))
+        peaks, (col(window) == col("peak_window")) & (col("num") == col("peak"))
     ).drop("peak_window", "peak")
 
 
 def hot_items(events: DataFrame, key: str, ts: str, size: str, slide: str) -> DataFrame:
     """(w_start, w_end, key, num) of every window's most frequent keys."""
     return hottest(window_counts(events, key, ts, size, slide)).select(
-        col("window.start").alias("w_start"), col("window.end").alias("w_end"), key, "num"
+        "w_start", (col("w_start") + interval(size)).alias("w_end"), key, "num"
     )
 
 
@@ -99,9 +108,7 @@ def label_hot_rows(
             "num",
             # The panes of [w_start, w_end).
             F.explode(
-                F.sequence(
-                    col("w_start"), col("w_end") - F.expr(f"INTERVAL {slide}"), F.expr(f"INTERVAL {slide}")
-                )
+                F.sequence(col("w_start"), col("w_end") - interval(slide), interval(slide))
             ).alias("hot_pane"),
         )
         .groupBy("hot_key", "hot_pane")

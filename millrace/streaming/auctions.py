@@ -53,7 +53,7 @@ def hot_items_stream(
     counts = window_counts_stream(events, key, ts, size, slide, delay)
 
     def winners(batch: DataFrame) -> DataFrame:
-        hot = hottest(batch).select(
+        hot = hottest(batch, "window").select(
             F.unix_millis("window.start").alias("w_start"),
             F.unix_millis("window.end").alias("w_end"),
             key,
