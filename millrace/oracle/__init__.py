@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, generated, nexmark, streams, tpch, user_functions
+from . import analysis, generated, given_rows, nexmark, streams, tpch, user_functions
 
-FAMILIES = (generated, tpch, nexmark, user_functions, analysis, streams)
+FAMILIES = (generated, given_rows, tpch, nexmark, user_functions, analysis, streams)
 
 
 def statements() -> dict[str, str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, generated, nexmark, streams, tpch, user_functions
+from . import analysis, generated, given_rows, nexmark, streams, tpch, user_functions
 
-FAMILIES = (generated, tpch, nexmark, user_functions, analysis, streams)
+FAMILIES = (generated, given_rows, tpch, nexmark, user_functions, analysis, streams)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,7 +59,9 @@ def read_bench_results(
 def write_result_lines(measured: DataFrame, path: str) -> None:
     """Write (file, benchmark, value, seq) as one document per line, partitioned by file.
 
-    The four places a name can live in take turns by ``seq``.
+    The four places a name can live in take turns by ``seq``. Rows are
+    rebalanced first, so a file's folder gets few large parts, and a file that
+    holds most of the rows gets several.
     """
     name = F.struct(col("benchmark").alias("name"))
     no_name = F.lit(None).cast(_NAME)
@@ -80,4 +82,4 @@ def write_result_lines(measured: DataFrame, path: str) -> None:
         .alias("benchmarks"),
         F.when(place == 3, runs(no_name)).alias("runs"),
         F.when(place >= 2, name).alias("metadata"),
-    ).write.partitionBy("file").json(path)
+    ).hint("rebalance", "file").write.partitionBy("file").json(path)
