@@ -619,7 +619,8 @@ def q21(t: Tables) -> DataFrame:
     )
     return (
         waiting.join(t.supplier.select("s_suppkey", "s_name"), col("l_suppkey") == col("s_suppkey"))
-        .select("s_name", "numwait")
+        .groupBy("s_name")
+        .agg(F.sum("numwait").alias("numwait"))
         .orderBy(col("numwait").desc(), "s_name")
         .limit(100)
     )

@@ -37,14 +37,11 @@ def test_same_as_sql(spark, sf_dir, con, name):
 @pytest.fixture(scope="module")
 def skewed_dir(tmp_path_factory, sf_dir):
     """The tables with a third of the lines on one order, part and supplier, a
-    third of the orders on one customer, and a third of the events on one user."""
+    third of the orders on one customer, a third of the events on one user, and
+    a third of the suppliers under one name."""
     folder = str(tmp_path_factory.mktemp("skewed"))
     con = duckdb.connect()
-    third = {
-        "lineitem": "CASE WHEN n % 3 = 0 THEN {hot} ELSE {c} END AS {c}",
-        "orders": "CASE WHEN n % 3 = 0 THEN {hot} ELSE {c} END AS {c}",
-        "events": "CASE WHEN n % 3 = 0 THEN {hot} ELSE {c} END AS {c}",
-    }
+    replace = "CASE WHEN n % 3 = 0 THEN {hot} ELSE {c} END AS {c}"
     hot = {
         "lineitem": {
             # An order that the supplier queries look at, a red part, a supplier of nation 9.
@@ -54,6 +51,8 @@ def skewed_dir(tmp_path_factory, sf_dir):
         },
         "orders": {"o_custkey": "7"},
         "events": {"user_id": "3"},
+        # Names need not be unique.
+        "supplier": {"s_name": "'Supplier#000000001'"},
     }
     for name in TABLES:
         source, target = f"{sf_dir}/{name}.parquet", os.path.join(folder, f"{name}.parquet")
@@ -61,7 +60,7 @@ def skewed_dir(tmp_path_factory, sf_dir):
             os.symlink(source, target)
             continue
         replaced = ", ".join(
-            third[name].format(hot=key, c=column) for column, key in hot[name].items()
+            replace.format(hot=key, c=column) for column, key in hot[name].items()
         )
         con.execute(
             f"COPY (SELECT * EXCLUDE (n) REPLACE ({replaced}) FROM "
