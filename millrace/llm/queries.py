@@ -1,0 +1,38 @@
+"""One query per operator, each over a whole table. The vocabulary files are those of the
+installed ``public_tokenizers``; every operator takes their path as a parameter."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.sources.tables import table
+
+from . import packing, sharding, token_files
+
+BYTE_BPE, WORD_BPE, PIECE_BPE = (
+    public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
+)
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in (op1_sharding, op4_packing, op9_token_files)}
+
+
+def statements() -> dict[str, str]:
+    """None yet: text_crc32, token ids and learned models have no DuckDB form."""
+    return {}
