@@ -1,5 +1,16 @@
 """Training-data operators, and the queries that apply them to the given tables."""
 
-from .queries import queries, statements
+from __future__ import annotations
 
-__all__ = ["queries", "statements"]
+
+def queries():
+    # Imported when asked for: a task that needs one operator does not load the others.
+    from . import queries as registered
+
+    return registered.queries()
+
+
+def statements():
+    from . import queries as registered
+
+    return registered.statements()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.tables import table
 
-from . import packing, sharding, token_files
+from . import bpe_roundtrip, packing, prefix_counts, sharding, token_files
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = (
     public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
@@ -21,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_roundtrip.digest(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -29,8 +33,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.digest(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_sharding, op4_packing, op9_token_files)}
+    return {q.__name__: q for q in (
+        op1_sharding, op2_bpe_roundtrip, op4_packing, op9_token_files, op10_prefix_counts,
+    )}
 
 
 def statements() -> dict[str, str]:
