@@ -5,12 +5,12 @@ from __future__ import annotations
 
 def queries():
     # Imported when asked for: a task that needs one operator does not load the others.
-    from . import queries as registered
+    from . import catalogue
 
-    return registered.queries()
+    return catalogue.queries()
 
 
 def statements():
-    from . import queries as registered
+    from . import catalogue
 
-    return registered.statements()
+    return catalogue.statements()

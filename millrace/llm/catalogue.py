@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.tables import table
 
-from . import bpe_roundtrip, packing, prefix_counts, sharding, token_files
+from . import bpe_roundtrip, jaccard_join, packing, prefix_counts, sharding, token_files
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = (
     public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -39,7 +43,8 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_sharding, op2_bpe_roundtrip, op4_packing, op9_token_files, op10_prefix_counts,
+        op1_sharding, op2_bpe_roundtrip, op4_packing, op7_jaccard_join,
+        op9_token_files, op10_prefix_counts,
     )}
 
 
