@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sources.tables import table
 
-from . import bpe_roundtrip, jaccard_join, packing, prefix_counts, sharding, token_files
+from . import (
+    bpe_roundtrip, decision_lists, grid_order_join, jaccard_join, language_codes, packing, prefix_counts, sharding,
+    token_files,
+)
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = (
     public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
@@ -29,10 +32,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_lists.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order_join.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,8 +58,8 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_sharding, op2_bpe_roundtrip, op4_packing, op7_jaccard_join,
-        op9_token_files, op10_prefix_counts,
+        op1_sharding, op2_bpe_roundtrip, op4_packing, op5_language_codes, op6_decision_lists, op7_jaccard_join,
+        op8_grid_order_join, op9_token_files, op10_prefix_counts,
     )}
 
 
