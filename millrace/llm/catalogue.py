@@ -12,7 +12,7 @@ from millrace.sources.tables import table
 
 from . import (
     bpe_roundtrip, decision_lists, grid_order_join, jaccard_join, language_codes, packing, prefix_counts, sharding,
-    token_files,
+    surrogates, token_files,
 )
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = (
@@ -28,6 +28,10 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip.digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -58,7 +62,7 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_sharding, op2_bpe_roundtrip, op4_packing, op5_language_codes, op6_decision_lists, op7_jaccard_join,
+        op1_sharding, op2_bpe_roundtrip, op3_surrogates, op4_packing, op5_language_codes, op6_decision_lists, op7_jaccard_join,
         op8_grid_order_join, op9_token_files, op10_prefix_counts,
     )}
 

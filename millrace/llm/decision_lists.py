@@ -16,15 +16,15 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .shared import Rows, own_columns, strings, written
+from .shared import own_columns, written
 
 SAMPLE, SEED = 50_000, 11
 #: Base rules: fewer words, or a larger percentage of repeated words, fail.
@@ -36,7 +36,6 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks")
-ROW = pa.schema([("doc_id", pa.int64()), *[(s, pa.int64()) for s in STATISTICS]])
 #: What rules may test, as a ratio of two statistics.
 FEATURES = {
     "chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
@@ -73,17 +72,15 @@ def statistics(text: str) -> tuple[int, ...]:
     )
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Rows(ROW)
-    for batch in batches:
-        for key, text in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-            yield from out.add((key, *statistics(text or "")))
-    yield from out.rest()
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, statistics...): the documents' own columns in one struct, whatever their names."""
 
+    @pandas_udf(", ".join(f"{s} long" for s in STATISTICS))
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t or "") for t in texts], columns=list(STATISTICS))
 
-def text_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    columns = "doc_id long, " + ", ".join(f"{s} long" for s in STATISTICS)
-    return own_columns(docs, doc_id=key, text=text).mapInArrow(_rows, columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), of(F.col(f"`{text}`")).alias("s")).select("row", "s.*")
 
 
 def base_failed() -> Column:
@@ -141,7 +138,9 @@ def _grow(x: dict[str, np.ndarray], poor: np.ndarray) -> Rule:
                     gains = np.where(p > 0, p * (np.log2(p / t) - before), 0.0)
                 k = int(gains.argmax())
                 if gains[k] > gain and t[k] < len(values):
-                    best, gain = Condition(name, above, float(cuts[k])), gains[k]
+                    # Halfway to the next value seen: the same examples, but not the tightest cut.
+                    cut = (cuts[k] + values[values > cuts[k]].min()) / 2
+                    best, gain = Condition(name, above, float(cut)), gains[k]
         if best is None:
             break
         rule = (*rule, best)
@@ -202,17 +201,19 @@ def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     return learn({name: rows[name].to_numpy(float) for name in FEATURES}, rows.poor.to_numpy(bool))
 
 
-def judged(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, the statistics, base_failed, rule, kept): ``rule`` says which one fired."""
-    stats = written(text_statistics(docs, **columns), "statistics")
-    rules = train(stats, labels)
+def judgement(rules: list[Rule]) -> dict[str, Column]:
+    """base_failed, rule (the text of the first that holds) and kept, from the statistics."""
     said = F.array(*[F.lit(" and ".join(map(str, rule))) for rule in rules]) if rules else F.array().cast("array<string>")
     number = fired(rules)
-    return stats.withColumns({"base_failed": base_failed(), "n": number}).withColumns({
-        "rule": F.when(F.col("n").isNotNull(), F.get(said, F.col("n"))), "kept": ~F.col("base_failed") & F.col("n").isNull(),
-    }).drop("n")
+    return {"base_failed": base_failed(), "rule": F.when(number.isNotNull(), F.get(said, number)), "kept": ~base_failed() & number.isNull()}
+
+
+def statistics_table(docs: DataFrame) -> DataFrame:
+    return written(with_statistics(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))).select(
+        F.col("row.doc_id").alias("doc_id"), *STATISTICS), "statistics")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs, labels).select(
+    stats = statistics_table(docs)
+    return stats.withColumns(judgement(train(stats, labels))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

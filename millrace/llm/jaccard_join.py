@@ -281,7 +281,8 @@ def near_duplicates(
     docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
     text: str = "text", key: str = "doc_id", bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE,
 ) -> DataFrame:
-    """One row per document: (doc_id, class_id, text_id, copies, n_shingles, n_links).
+    """One row per document: (doc_id, content, class_id, text_id, copies, n_shingles, n_links), where
+    ``content`` is the md5 of the text.
 
     ``class_id`` is the smallest key that links lead to, ``text_id`` the smallest key with the same
     text, ``copies`` the documents with that text, ``n_links`` the other documents that are at least
@@ -322,13 +323,22 @@ def near_duplicates(
     classed = classed.join(smallest, "component").select(
         "content", "class_id", F.col("doc_id").alias("text_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")
     )
-    rows = sets.select("doc_id", F.when(F.col("size") > 0, F.col("content")).alias("content"), F.col("size").cast("long").alias("n_shingles"))
+    rows = sets.select("doc_id", F.col("content").alias("md5"), F.when(F.col("size") > 0, F.col("content")).alias("content"), F.col("size").cast("long").alias("n_shingles"))
     return rows.join(classed, "content", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"),
+        "doc_id", F.col("md5").alias("content"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_shingles",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with the smallest key of their class, one row each, with their own columns."""
+    kept = near_duplicates(docs, text=text, key=key).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "content").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(row.alias("row"), F.col(f"`{key}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("md5"))
+    found = named.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("md5").eqNullSafe(F.col("content")))
+    return found.dropDuplicates(["id", "md5"]).select("row.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_duplicates(docs).drop("content").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

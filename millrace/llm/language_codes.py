@@ -26,11 +26,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .shared import Rows, own_columns, strings
+from .shared import own_columns, strings
 
 SAMPLE, SAMPLE_TASKS = 20_000, 24
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
@@ -190,25 +192,23 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     return model
 
 
-PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
+    """(lang_pred, score, ambiguous) of whole texts, as a column."""
+    shared = spark.sparkContext.broadcast(model)  # buckets x places numbers
 
+    @pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        known, found = shared.value, []
+        for text in texts:
+            counts = grams(text)
+            lang, score = (UNKNOWN, 0.0) if counts is None or not known.languages else known.decode(counts)
+            found.append((lang, score, lang != UNKNOWN and score < AMBIGUOUS))
+        return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
 
-def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x places numbers
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, out = shared.value, Rows(PREDICTED)
-        for batch in batches:
-            for key, text in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-                counts = grams(text)
-                lang, score = (UNKNOWN, 0.0) if counts is None or not known.languages else known.decode(counts)
-                yield from out.add((key, lang, score))
-        yield from out.rest()
-
-    rows = own_columns(docs, doc_id=key, text=text).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return rows.withColumn("ambiguous", (F.col("lang_pred") != UNKNOWN) & (F.col("score") < AMBIGUOUS))
+    return of(text)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return predict(docs, train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+    model = train(docs)
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), predicted(F.col("`text`"), model, docs.sparkSession).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.ambiguous")
