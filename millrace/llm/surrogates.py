@@ -8,7 +8,7 @@ what makes it valid (card check digit, octets below 256); letters stay letters o
 the same case, digits digits.
 
 The same entity gets the same surrogate wherever it is found, in whatever
-formatting; parts of names are entities of their own, so that a full name and the
+formatting (telephone numbers by their last ten digits); parts of names are entities of their own, so that a full name and the
 bare surname still agree. Distinct entities get distinct surrogates, none of which
 is itself an entity of the corpus: what collides is hashed again, until nothing
 does. That needs the distinct entities only, as tables; texts without an entity are
@@ -102,7 +102,8 @@ def parts_of(hit: Column, kind: Column) -> Column:
     last = F.element_at(names, -1)
     surname = F.struct(F.concat_ws("-", F.lit("surname"), _script(last)).alias("kind"), F.initcap(last).alias("value"))
     value = (
-        F.when(kind == "mail", F.lower(hit)).when(kind.isin("phone", "card", "ssn"), _digits(hit))
+        F.when(kind == "mail", F.lower(hit)).when(kind == "phone", F.right(_digits(hit), F.lit(10)))
+        .when(kind.isin("card", "ssn"), _digits(hit))
         .when(kind == "secret", F.regexp_replace(hit, f"^{SECRET}", "")).otherwise(hit)
     )
     single = F.array(F.struct(kind.alias("kind"), value.alias("value")))
@@ -137,8 +138,7 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
     ending = F.regexp_extract(value, r"\.[^.]*$", 0)
     mail = F.concat(masked(F.substring(value, F.lit(1), F.length(value) - F.length(ending))), ending)
     length = F.length(value)
-    local = F.concat((F.pmod(number(0), F.lit(8)) + 2).cast("string"), F.substring(digit, 9, 2), F.lit("555"), F.substring(digit, 11, 4))
-    phone = F.concat(F.substring(value, F.lit(1), length - 10), local)
+    phone = F.concat((F.pmod(number(0), F.lit(8)) + 2).cast("string"), F.substring(digit, 9, 2), F.lit("555"), F.substring(digit, 11, 4))
     body = F.concat(F.substring(value, 1, 1), F.substring(digit, F.lit(1), length - 2))
     card = F.concat(body, F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string"))
 
@@ -185,9 +185,11 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
 
 def formatted(hit: Column, kind: Column, found: Column) -> Column:
     """A detected string with its surrogates in place of its entities."""
+    country = F.substring(_digits(hit), F.lit(1), F.length(_digits(hit)) - F.length(found[0]))
+    digits = F.concat(country, found[0])
     refilled = F.aggregate(
         F.split(hit, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("n")),
-        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a.s, F.substring(found[0], a.n, F.lit(1))).alias("s"), (a.n + 1).alias("n")))
+        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a.s, F.substring(digits, a.n, F.lit(1))).alias("s"), (a.n + 1).alias("n")))
         .otherwise(F.struct(F.concat(a.s, c).alias("s"), a.n.alias("n"))),
         lambda a: a.s,
     )
