@@ -40,7 +40,8 @@ SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 class PieceCounter:
     """Prefix counts under a sentencepiece BPE model."""
 
-    CACHED = 300_000
+    #: Segments kept, and pairs of tokens: about 250 MB in a worker at the most.
+    CACHED, PAIRS = 1_000_000, 600_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -49,12 +50,15 @@ class PieceCounter:
         ids = range(model.get_piece_size())
         ordinary = [n for n in ids if not (model.is_control(n) or model.is_unknown(n) or model.is_byte(n) or model.is_unused(n))]
         self.score = {model.id_to_piece(n): model.get_score(n) for n in ordinary}
-        self.longest = max(map(len, self.score))
         if any(SPACE in piece.lstrip(SPACE) for piece in self.score):
             raise ValueError("pieces with a space after other characters are not supported")
         # Pieces that the merges never make of their characters end no prefix.
         real = [p for p in self.score if len(p) == 1 or self.merged(p) == [p]]
         self.code = {p: n for n, p in enumerate(real)}
+        # No longer piece ends with these two characters.
+        self.reach: dict[str, int] = {}
+        for p in real:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
         self.fits: dict[int, bool] = {}
         self._forget()
 
@@ -83,9 +87,10 @@ class PieceCounter:
 
     def counts(self, segment: str) -> list[int]:
         """Tokens of each prefix of a segment, the shortest first."""
-        code, fits, longest = self.code, self.fits, self.longest
+        code, fits, reach = self.code, self.fits, self.reach
         last, begin, counts = [0], [0], [0]  # of each prefix: its last token, where that begins, all tokens
         for end in range(1, len(segment) + 1):
+            longest = reach.get(segment[end - 2:end], 1) if end > 1 else 1
             for start in range(end - longest if end > longest else 0, end):
                 text = segment[start:end]
                 token = code.get(text)
@@ -97,7 +102,7 @@ class PieceCounter:
                     pair = last[start] << 24 | token
                     fitting = fits.get(pair)
                     if fitting is None:
-                        if len(fits) >= 2 * self.CACHED:
+                        if len(fits) >= self.PAIRS:
                             fits.clear()
                         fitting = fits[pair] = self.stands(segment[begin[start]:start], text)
                     if not fitting:
