@@ -41,19 +41,21 @@ def window_start(ts: Column | str, width: str) -> Column:
 
 
 def window_counts(
-    events: DataFrame, key: str, ts: str, size: str, slide: str
+    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None
 ) -> DataFrame:
     """Count per key and hopping window: (w_start, key, num).
 
     Rows are counted per slide-long pane first. Only those counts are copied
     into the overlapping windows, so the copying grows with panes and keys and
     not with rows, and a hot key leaves each map task as one row per pane.
-    Windows that start before the first event's pane are dropped. Rows without a
-    key or a time are counted nowhere.
+    Windows that start before ``first``, if not told the first event's pane, are
+    dropped. Rows without a key or a time are counted nowhere. The counts of panes
+    are dealt out by key before they are copied, so the copies are summed in place.
     """
     if micros(size) % micros(slide):
         raise ValueError(f"slide {slide!r} must divide size {size!r}")
-    first = events.agg(F.min(ts).alias("t")).select(window_start("t", slide)).scalar()
+    if first is None:
+        first = events.agg(F.min(ts).alias("t")).select(window_start("t", slide)).scalar()
     panes = (
         events.filter(col(key).isNotNull())
         .select(F.window(ts, slide).getField("start").alias("pane"), key)
@@ -62,7 +64,7 @@ def window_counts(
     )
     starts = F.sequence(col("pane") - interval(size) + interval(slide), col("pane"), interval(slide))
     return (
-        panes.select(F.explode(starts).alias("w_start"), key, "num")
+        panes.repartition(col(key)).select(F.explode(starts).alias("w_start"), key, "num")
         .filter(col("w_start") >= first)
         .groupBy("w_start", key)
         .agg(F.sum("num").alias("num"))
@@ -86,9 +88,11 @@ def hottest(counts: DataFrame, window: str = "w_start") -> DataFrame:
     ).drop("peak_window", "peak")
 
 
-def hot_items(events: DataFrame, key: str, ts: str, size: str, slide: str) -> DataFrame:
+def hot_items(
+    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None
+) -> DataFrame:
     """(w_start, w_end, key, num) of every window's most frequent keys."""
-    return hottest(window_counts(events, key, ts, size, slide)).select(
+    return hottest(window_counts(events, key, ts, size, slide, first)).select(
         "w_start", (col("w_start") + interval(size)).alias("w_end"), key, "num"
     )
 

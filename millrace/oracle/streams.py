@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from . import nexmark
+from .generated import ONE
 
 STEPPED = "SELECT event_id AS id, value + 1 AS price FROM events"
 QUANTITY = "CAST(user_id % 10 + 1 AS INTEGER)"
 
 
 def statements() -> dict[str, str]:
-    batch = nexmark.statements()
-    # A window is final when its end is not after the latest event less one hour.
-    final = (
-        f"WITH {nexmark.EVENT_US}, {nexmark.hops('ev', 'event_type', 'us', 2 * nexmark.HOUR, nexmark.HOUR // 2)} "
-        f"SELECT w // 1000 AS w_start, (w + {2 * nexmark.HOUR}) // 1000 AS w_end, event_type, num "
-        f"FROM hot WHERE w + {2 * nexmark.HOUR} <= "
-        f"(SELECT max(epoch_ms(ts)) * 1000 FROM events) - {nexmark.HOUR}"
+    hour = nexmark.HOUR
+
+    def hot(source: str, key: str) -> str:
+        return (
+            f"WITH {source}, {nexmark.hops('ev', key, 'us', 2 * hour, hour // 2)} "
+            f"SELECT w // 1000 AS w_start, (w + {2 * hour}) // 1000 AS w_end, {key}, num FROM hot"
+        )
+
+    sellers = (
+        f"WITH {nexmark.EVENT_US}, p AS (SELECT * FROM ev WHERE event_type = 'signup'), a AS (SELECT * FROM ev WHERE event_type = 'purchase') "
+        f"SELECT p.user_id AS person_id, 'user_' || p.user_id AS name, p.us // {nexmark.SIX_HOURS} * {nexmark.SIX_HOURS} // 1000 AS starttime, "
+        f"a.event_id AS auction_id, {ONE} FROM p JOIN a ON p.user_id = a.user_id AND p.us // {nexmark.SIX_HOURS} = a.us // {nexmark.SIX_HOURS}"
     )
     return {
         "src_stream_datagen": f"SELECT event_id AS id, value AS price, {QUANTITY} AS quantity FROM events",
@@ -30,7 +36,7 @@ def statements() -> dict[str, str]:
             "UNION ALL SELECT 'valued' AS sink, event_id AS id, "
             f"round(value * {QUANTITY} + ln(value + 1), 3) AS value FROM events"
         ),
-        "stream_nexmark_q5": batch["nexmark_q5_hot_items"],
-        "stream_nexmark_q8": batch["nexmark_q8_matches"],
-        "stream_ev_hot_types": final,
+        "stream_nexmark_q5": hot("ev AS (SELECT user_id % 100 AS auction, epoch_us(ts) AS us FROM events)", "auction"),
+        "stream_nexmark_q8": sellers,
+        "stream_ev_hot_types": hot(nexmark.EVENT_US, "event_type"),
     }

@@ -7,20 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.event_windows import utc_micros, window_start
+from ..operators.event_windows import hot_items, micros, utc_micros
 from ..operators.row_kernels import overhead
-from ..sources import generated as gen
-from ..sources.tables import row_count, table
+from ..sources.tables import table
 from ..streaming import auctions, prices
-from ..streaming.runs import as_stream, batches_to_tables, given_table_stream, to_table
-from .nexmark import EVENT_HOP_SIZE, EVENT_HOP_SLIDE, HOP_SIZE, HOP_SLIDE, TUMBLE
+from ..streaming.runs import batches_to_tables, given_table_stream, to_table
+from .nexmark import EVENT_HOP_SIZE, EVENT_HOP_SLIDE, EVENT_TUMBLE
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 
 EVENT_DELAY = "1 hour"
-AUCTION_DELAY = "10 seconds"
-CLOSING_MS = 86_400_000
+AUCTIONS = 100
 
 
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,50 +64,51 @@ def statement_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hot_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = row_count(spark, sf_dir, "lineitem")
-    bids = gen.bids(spark, rows).select("auction", F.timestamp_millis("date_time").alias("ts"))
-    after = rows * gen.clock_step_ms(rows) + CLOSING_MS
-    closing = spark.range(1).select(
-        F.lit(-1).cast("long").alias("auction"), F.timestamp_millis(F.lit(after)).alias("ts")
-    )
-    stream = as_stream(bids, closing)
-    return auctions.hot_items_stream(
-        stream, "auction", "ts", HOP_SIZE, HOP_SLIDE, AUCTION_DELAY, origin_ms=0
-    )
+    """Events, which are in the order of time, as bids on a hundred auctions."""
+    auction = F.pmod("user_id", F.lit(AUCTIONS)).alias("auction")
+    bids = given_table_stream(spark, sf_dir, "events").select(auction, auctions.instant("ts").alias("ts"))
+    rows = table(spark, sf_dir, "events").select(auction, "ts")
+    return all_windows(bids, rows, "auction", EVENT_HOP_SIZE, EVENT_HOP_SLIDE, EVENT_DELAY)
 
 
 def new_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = row_count(spark, sf_dir, "lineitem")
-    n_persons = gen.person_count(rows)
-    persons = gen.auction_persons(spark, n_persons).select(
-        "p_id", "name", F.timestamp_millis("p_date_time").alias("p_ts")
-    )
-    opened = gen.auctions(spark, rows, n_persons).select(
-        "a_id", "seller", F.timestamp_millis("a_date_time").alias("a_ts")
-    )
-    matches = auctions.new_sellers_stream(
-        as_stream(persons), as_stream(opened), TUMBLE, AUCTION_DELAY
-    )
+    """Signups as persons, purchases as the auctions they open."""
+    signups = given_table_stream(spark, sf_dir, "events").filter(col("event_type") == "signup").select(
+        col("user_id").alias("p_id"), F.concat(F.lit("user_"), col("user_id").cast("string")).alias("name"),
+        auctions.instant("ts").alias("p_ts"))
+    purchases = given_table_stream(spark, sf_dir, "events").filter(col("event_type") == "purchase").select(
+        col("event_id").alias("a_id"), col("user_id").alias("seller"), auctions.instant("ts").alias("a_ts"))
+    matches = auctions.new_sellers_stream(signups, purchases, EVENT_TUMBLE, EVENT_DELAY)
     return matches.select("*", overhead())
 
 
+def all_windows(
+    stream: DataFrame, rows: DataFrame, key: str, size: str, slide: str, delay: str
+) -> DataFrame:
+    """Hot items of every window: the final ones from the stream, and those that its watermark has
+    not passed at the end of the input from the tail of the same rows as a table."""
+    # One row: the first and the last time.
+    low, high = rows.agg(F.min("ts"), F.max("ts")).select(*[utc_micros(c.cast("timestamp_ntz")) for c in (col("min(ts)"), col("max(ts)"))]).first()
+    if low is None:
+        low = high = 0
+    origin = low // micros(slide) * micros(slide)
+    final = high - micros(delay)
+    found = auctions.hot_items_stream(stream, key, "ts", size, slide, delay, origin_ms=origin // 1000)
+    ts = F.timestamp_micros(utc_micros(col("ts").cast("timestamp_ntz")))
+    # A window is open if it ends after the watermark, so nothing before its start matters.
+    tail = rows.select(key, ts.alias("ts")).filter(col("ts") >= F.timestamp_micros(F.lit(final - micros(size))))
+    counted = hot_items(tail, key, "ts", size, slide, F.timestamp_micros(F.lit(origin))).select(
+        F.unix_millis("w_start").alias("w_start"), F.unix_millis("w_end").alias("w_end"), key, "num")
+    watermark = final // 1000  # Spark keeps it in milliseconds
+    return found.filter(col("w_end") <= watermark).unionByName(counted.filter(col("w_end") > watermark))
+
+
 def hot_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final windows of the event stream; the last ones stay open."""
     events = given_table_stream(spark, sf_dir, "events").select(
         "event_type", auctions.instant("ts").alias("ts")
     )
-    # One row: where counting starts.
-    first = table(spark, sf_dir, "events").agg(F.min("ts").alias("t"))
-    start = first.select(window_start("t", EVENT_HOP_SLIDE).alias("t")).select(utc_micros(col("t")))
-    return auctions.hot_items_stream(
-        events,
-        "event_type",
-        "ts",
-        EVENT_HOP_SIZE,
-        EVENT_HOP_SLIDE,
-        EVENT_DELAY,
-        origin_ms=start.first()[0] // 1000,
-    )
+    rows = table(spark, sf_dir, "events").select("event_type", "ts")
+    return all_windows(events, rows, "event_type", EVENT_HOP_SIZE, EVENT_HOP_SLIDE, EVENT_DELAY)
 
 
 def queries() -> dict[str, Query]:

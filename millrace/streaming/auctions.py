@@ -15,6 +15,7 @@ from ..operators.event_windows import hottest, utc_micros
 from .runs import batches_to_tables, to_table
 
 col = F.col
+SALTS = 8
 
 
 def instant(ts: Column | str) -> Column:
@@ -25,11 +26,18 @@ def instant(ts: Column | str) -> Column:
 def window_counts_stream(
     events: DataFrame, key: str, ts: str, size: str, slide: str, delay: str
 ) -> DataFrame:
-    """Final counts per hopping window and key. ``ts`` is a TIMESTAMP column."""
-    return (
+    """Final counts per hopping window and key. ``ts`` is a TIMESTAMP column.
+
+    Rows are counted per slide-long pane; only the final counts of panes are
+    copied into the windows they are part of.
+    """
+    panes = (
         events.withWatermark(ts, delay)
-        .groupBy(F.window(ts, size, slide).alias("window"), key)
-        .agg(F.count(F.lit(1)).alias("num"))
+        .groupBy(F.window(ts, slide).alias("pane"), key)
+        .agg(F.count(F.lit(1)).alias("in_pane"))
+    )
+    return panes.groupBy(F.window(F.window_time("pane"), size, slide).alias("window"), key).agg(
+        F.sum("in_pane").alias("num")
     )
 
 
@@ -70,20 +78,25 @@ def new_sellers_stream(
     size: str,
     delay: str,
     timeout_s: float | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Auctions opened in the window their seller registered in.
 
     Input persons (p_id, name, p_ts), auctions (a_id, seller, a_ts). Both sides
     are joined on key and window, so Spark drops a window's buffered rows once
-    the watermark passes its end.
+    the watermark passes its end. A stateful join is never split at run time, so
+    auctions are spread over ``salts`` shares and each person is in all of them.
     """
     p = persons.withWatermark("p_ts", delay).select(
-        "p_id", "name", F.window("p_ts", size).alias("p_window")
+        "p_id", "name", F.window("p_ts", size).alias("p_window"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("p_salt"),
     )
     a = auctions.withWatermark("a_ts", delay).select(
-        "a_id", "seller", F.window("a_ts", size).alias("a_window")
+        "a_id", "seller", F.window("a_ts", size).alias("a_window"),
+        F.pmod(F.hash("a_id"), F.lit(salts)).alias("a_salt"),
     )
-    joined = a.join(p, (col("seller") == col("p_id")) & (col("a_window") == col("p_window")))
+    same = (col("seller") == col("p_id")) & (col("a_window") == col("p_window")) & (col("a_salt") == col("p_salt"))
+    joined = a.join(p, same)
     return to_table(
         joined.select(
             col("p_id").alias("person_id"),

@@ -4,7 +4,10 @@ Streams write to the file sink or through foreachBatch into folders keyed by
 batch, never to the memory sink: results must not pass through the driver, and
 a restarted batch must replace its own output. State size and the state store
 are the session's choice (``spark.sql.streaming.stateStore.providerClass``;
-RocksDB for large state).
+RocksDB for large state). A micro-batch reads at most BATCH_BYTES.
+
+A caller that names the folder can run the same stream again: it goes on after
+the last batch that was finished. Without a name, the folder is the run's own.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from ..sources.workspace import fresh_folder
+from ..sources.workspace import file_system, fresh_folder
+
+#: Input of a micro-batch, if no single file is larger.
+BATCH_BYTES = 4 << 30
 
 
 def finish(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None) -> None:
@@ -31,10 +37,10 @@ def finish(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None =
         query.stop()
 
 
-def to_table(stream: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
+def to_table(stream: DataFrame, name: str, timeout_s: float | None = None, folder: str | None = None) -> DataFrame:
     """Append a stream's rows to a parquet table and return that table."""
     spark = stream.sparkSession
-    base = fresh_folder(spark, name)
+    base = folder or fresh_folder(spark, name)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows")
     finish(writer, f"{base}/checkpoint", timeout_s)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
@@ -46,8 +52,8 @@ def discard(stream: DataFrame, timeout_s: float | None = None) -> None:
     finish(stream.writeStream.format("noop"), checkpoint, timeout_s)
 
 
-def print_stream(stream: DataFrame, rows: int = 20, timeout_s: float | None = None) -> None:
-    """Print the first rows of every micro-batch."""
+def print_stream(stream: DataFrame, rows: int = 2**31 - 1, timeout_s: float | None = None) -> None:
+    """Print every micro-batch: all of its rows, unless told how many."""
     checkpoint = fresh_folder(stream.sparkSession, "printed")
     finish(stream.writeStream.format("console").option("numRows", rows), checkpoint, timeout_s)
 
@@ -57,47 +63,52 @@ def batches_to_tables(
     name: str,
     outputs: dict[str, Callable[[DataFrame], DataFrame]],
     timeout_s: float | None = None,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """Several sinks fed from one pass: each micro-batch goes through every transform.
 
     The micro-batch is persisted while its outputs are written, so the source
     is read, and state is updated, once. Each output of a batch has a folder of
-    its own that a retry overwrites.
+    its own that a retry overwrites. A stream without rows gives empty tables.
     """
     spark = stream.sparkSession
-    base = fresh_folder(spark, name)
+    base = folder or fresh_folder(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for output, transform in outputs.items():
-                folder = f"{base}/{output}/batch_id={batch_id}"
-                transform(batch).write.mode("overwrite").parquet(folder)
+                transform(batch).write.mode("overwrite").parquet(f"{base}/{output}/batch-{batch_id}")
         finally:
             batch.unpersist()
 
     finish(stream.writeStream.outputMode("append").foreachBatch(write), f"{base}/checkpoint", timeout_s)
-    return {o: _batches(spark, f"{base}/{o}") for o in outputs}
-
-
-def _batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+    tables = {}
+    for output, transform in outputs.items():
+        system, path = file_system(spark, f"{base}/{output}")
+        system.mkdirs(path)
+        rows = spark.createDataFrame([], stream.schema)
+        read = spark.read.schema(transform(rows).schema).option("recursiveFileLookup", "true")
+        tables[output] = read.parquet(f"{base}/{output}")
+    return tables
 
 
 def table_stream(
-    spark: SparkSession,
-    folder: str,
-    schema: StructType,
-    file_pattern: str | None = None,
-    files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """A parquet table as a stream of its files: a folder, partitioned or not, or a single file."""
+    system, target = file_system(spark, path)
+    if not system.exists(target):
+        raise FileNotFoundError(f"no table at {path}")
+    if not system.getFileStatus(target).isDirectory():
+        # The file source takes folders and patterns: this pattern matches the one file.
+        path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.schema(schema).format("parquet")
-    if file_pattern:
-        reader = reader.option("pathGlobFilter", file_pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
+    return reader.load(path)
 
 
 def as_stream(
@@ -118,5 +129,5 @@ def as_stream(
 
 def given_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return table_stream(spark, sf_dir, schema, f"{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return table_stream(spark, path, spark.read.parquet(path).schema)

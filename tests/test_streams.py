@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from millrace.operators import event_windows as ew
 from millrace.sources.workspace import fresh_folder, shared_folder
 from millrace.streaming import auctions, prices, runs
@@ -81,13 +82,70 @@ def test_new_sellers_over_files_equal_the_batch(spark):
 
 
 def test_retried_batch_replaces_its_output(spark):
-    df = spark.range(10)
-    stream = runs.as_stream(df)
-    out = runs.batches_to_tables(stream, "retry", {"a": lambda b: b, "b": lambda b: b.filter("id > 6")}, TIMEOUT)
+    """The second output fails once; the same stream, run again, gives what an untroubled run gives."""
+    stream = runs.as_stream(spark.range(10))
+    base = fresh_folder(spark, "retry")
+    troubled = []
+
+    def second(batch):
+        if batch.isStreaming or not troubled:
+            troubled.append(True)
+            return batch.filter(F.when(F.col("id") < 100, F.raise_error(F.lit("once"))).isNull())
+        return batch.filter("id > 6")
+
+    with pytest.raises(Exception, match="once"):
+        runs.batches_to_tables(stream, "retry", {"a": lambda b: b, "b": second}, TIMEOUT, base)
+    out = runs.batches_to_tables(stream, "retry", {"a": lambda b: b, "b": second}, TIMEOUT, base)
     assert sorted(r.id for r in out["a"].collect()) == list(range(10))
     assert sorted(r.id for r in out["b"].collect()) == [7, 8, 9]
 
 
+def test_a_stream_without_rows_gives_empty_tables(spark):
+    empty = spark.createDataFrame([], "id long, batch_id int")
+    out = runs.batches_to_tables(runs.as_stream(empty), "none", {"a": lambda b: b.select("batch_id")}, TIMEOUT)
+    assert out["a"].columns == ["batch_id"] and out["a"].count() == 0
+
+
+LAYOUTS = ["parts", "partitioned"]
+STREAMS = [n for n in queries() if n.startswith(("stream_", "src_stream"))]
+
+
+@pytest.fixture(scope="module")
+def laid_out(spark, sf_dir, tmp_path_factory):
+    """The streamed tables as a folder of four files, and partitioned by a column."""
+    folders = {}
+    for layout in LAYOUTS:
+        folder = folders[layout] = str(tmp_path_factory.mktemp(layout))
+        for name, by in (("events", "event_type"), ("lineitem", "l_linestatus")):
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            writer = df.repartition(4).write if layout == "parts" else df.write.partitionBy(by)
+            writer.parquet(f"{folder}/{name}.parquet")
+    return folders
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("name", STREAMS)
+def test_layout_of_a_table_makes_no_difference(spark, sf_dir, laid_out, name, layout):
+    query = queries()[name]
+    want, got = query(spark, sf_dir), query(spark, laid_out[layout])
+    columns = sorted(want.columns)
+    assert want.count() > 0
+    assert Counter(got.select(columns).collect()) == Counter(want.select(columns).collect())
+
+
+def test_a_missing_table_is_an_error(spark, sf_dir):
+    with pytest.raises(FileNotFoundError):
+        runs.table_stream(spark, f"{sf_dir}/nothing.parquet", spark.range(1).schema)
+
+
+def test_a_hot_seller_is_spread(spark):
+    start = datetime(2024, 1, 1)
+    persons = spark.createDataFrame([(i, f"p{i}", start) for i in range(9)], "p_id long, name string, p_ts timestamp")
+    opened = spark.createDataFrame([(i, 3 if i % 3 == 0 else i % 9, start) for i in range(300)], "a_id long, seller long, a_ts timestamp")
+    got = auctions.new_sellers_stream(runs.as_stream(persons), runs.as_stream(opened), "10 seconds", "1 minute", TIMEOUT)
+    assert sorted(r.auction_id for r in got.collect()) == list(range(300))
+
+
 def test_restart_continues_after_the_last_batch(spark):
     df = spark.range(20).select(F.col("id"))
     path = in_files(spark, df, "id", 2)
