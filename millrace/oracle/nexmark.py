@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from ..sources import fixed_values as fx
-from .generated import BIDS_SELECT, ONE, ROWS, words
+from .generated import AUCTIONS, BIDS, ONE, PERSONS
 
-PERSONS = (
-    f"one AS (SELECT {ROWS} AS n_rows), np AS (SELECT greatest(n_rows // 10, 1000) AS n FROM one), "
-    "persons AS (SELECT id AS p_id, 'person_' || id AS name, 'city_' || (id % 1000) AS city, "
-    f"{words(fx.US_STATES)}[id % 50 + 1] AS state, id * greatest(60000 // n, 1) AS p_ms "
-    "FROM (SELECT unnest(range(n)) AS id, n FROM np))"
+BOTH = (
+    f"WITH persons AS (SELECT *, p_date_time AS p_ms FROM ({PERSONS})), "
+    f"auctions AS (SELECT *, a_date_time AS a_ms FROM ({AUCTIONS}))"
 )
-AUCTIONS = (
-    "auctions AS (SELECT id AS a_id, id % n AS seller, id % 20 AS category, "
-    "id * greatest(60000 // n_rows, 1) AS a_ms "
-    "FROM (SELECT unnest(range(n_rows)) AS id, n_rows, n FROM one, np))"
-)
-BOTH = f"WITH {PERSONS}, {AUCTIONS}"
+WINDOW, HOP = 10 * 86_400_000, 2 * 86_400_000
 Q3_HIT = "category = 10 AND state IN ('OR', 'ID', 'CA')"
-SAME_WINDOW = "p_id = seller AND p_ms // 10000 = a_ms // 10000"
+SAME_WINDOW = f"p_id = seller AND p_ms // {WINDOW} = a_ms // {WINDOW}"
 
 
 def hops(source: str, key: str, time: str, size: int, slide: int) -> str:
@@ -32,7 +24,7 @@ def hops(source: str, key: str, time: str, size: int, slide: int) -> str:
     )
 
 
-BID_HOPS = f"bids AS ({BIDS_SELECT}), " + hops("bids", "auction", "date_time", 10_000, 2_000)
+BID_HOPS = f"bids AS (SELECT *, row_number() OVER () AS rid FROM ({BIDS})), " + hops("bids", "auction", "date_time", WINDOW, HOP)
 EVENT_US = "ev AS (SELECT *, epoch_us(ts) AS us FROM events)"
 HOUR = 3_600_000_000
 SIX_HOURS = 6 * HOUR
@@ -68,24 +60,24 @@ def statements() -> dict[str, str]:
             f"FROM auctions JOIN persons ON seller = p_id WHERE {Q3_HIT}"
         ),
         "nexmark_q5": (
-            f"WITH {BID_HOPS}, best AS (SELECT bid_id, c.auction, max(h.num) AS num "
+            f"WITH {BID_HOPS}, best AS (SELECT rid, c.auction, max(h.num) AS num "
             "FROM copies c JOIN hot h ON c.w = h.w AND c.auction = h.auction GROUP BY ALL) "
-            f"SELECT best.auction, best.num, {ONE} FROM bids LEFT JOIN best USING (bid_id)"
+            f"SELECT best.auction, best.num, {ONE} FROM bids LEFT JOIN best USING (rid)"
         ),
         "nexmark_q5_hot_items": (
-            f"WITH {BID_HOPS} SELECT w AS w_start, w + 10000 AS w_end, auction, num FROM hot"
+            f"WITH {BID_HOPS} SELECT w AS w_start, w + {WINDOW} AS w_end, auction, num FROM hot"
         ),
         "nexmark_q8": (
-            f"{BOTH} SELECT p_id AS person_id, name, p_ms // 10000 * 10000 AS starttime, "
+            f"{BOTH} SELECT p_id AS person_id, name, p_ms // {WINDOW} * {WINDOW} AS starttime, "
             f"CASE WHEN p_id IS NOT NULL THEN a_id END AS auction_id, {ONE} "
             f"FROM auctions LEFT JOIN persons ON {SAME_WINDOW}"
         ),
         "nexmark_q8_matches": (
-            f"{BOTH} SELECT p_id AS person_id, name, p_ms // 10000 * 10000 AS starttime, "
+            f"{BOTH} SELECT p_id AS person_id, name, p_ms // {WINDOW} * {WINDOW} AS starttime, "
             f"a_id AS auction_id, {ONE} FROM auctions JOIN persons ON {SAME_WINDOW}"
         ),
         "nexmark_q8_active": (
-            f"{BOTH} SELECT p_id AS person_id, name, p_ms // 10000 * 10000 AS starttime "
+            f"{BOTH} SELECT p_id AS person_id, name, p_ms // {WINDOW} * {WINDOW} AS starttime "
             f"FROM persons WHERE EXISTS (SELECT 1 FROM auctions WHERE {SAME_WINDOW})"
         ),
         "ev_hot_types": EV_HOT,

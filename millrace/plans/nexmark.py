@@ -14,8 +14,8 @@ from ..operators.event_windows import (
     window_start,
 )
 from ..operators.row_kernels import overhead
-from ..sources import generated as gen
-from ..sources.tables import row_count, table
+from ..sources.tables import table
+from . import auction_inputs as given
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # FIXED VALUES
 TARGET_CATEGORY = 10
 TARGET_STATES = ["OR", "ID", "CA"]
-HOP_SIZE, HOP_SLIDE = "10 seconds", "2 seconds"
-TUMBLE = "10 seconds"
+# The workload's seconds are days here, as the given tables know no shorter times.
+HOP_SIZE, HOP_SLIDE = "10 days", "2 days"
+TUMBLE = "10 days"
 EVENT_HOP_SIZE, EVENT_HOP_SLIDE = "2 hours", "30 minutes"
 EVENT_TUMBLE = "6 hours"
 
@@ -57,18 +58,18 @@ def local_sellers(
     return found.unionAll(others).select("*", overhead())
 
 
-def hot_bids(bids: DataFrame) -> DataFrame:
+def hot_bids(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE) -> DataFrame:
     """Query 5 per bid: the auction and its best winning count, NULLs when it never won."""
     timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
-    return label_hot_rows(timed, "auction", "ts", HOP_SIZE, HOP_SLIDE).select(
+    return label_hot_rows(timed, "auction", "ts", size, slide).select(
         "auction", "num", overhead()
     )
 
 
-def hot_auctions(bids: DataFrame) -> DataFrame:
+def hot_auctions(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE) -> DataFrame:
     """Query 5 as (window, auction, count), window bounds in epoch milliseconds."""
     timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
-    return hot_items(timed, "auction", "ts", HOP_SIZE, HOP_SLIDE).select(
+    return hot_items(timed, "auction", "ts", size, slide).select(
         F.unix_millis("w_start").alias("w_start"),
         F.unix_millis("w_end").alias("w_end"),
         "auction",
@@ -76,11 +77,13 @@ def hot_auctions(bids: DataFrame) -> DataFrame:
     )
 
 
-def new_sellers(auctions: DataFrame, persons: DataFrame, how: str = "inner") -> DataFrame:
+def new_sellers(
+    auctions: DataFrame, persons: DataFrame, how: str = "inner", window: str = TUMBLE
+) -> DataFrame:
     """Query 8: persons who open an auction in the window in which they registered."""
     a = auctions.select("a_id", "seller", F.timestamp_millis("a_date_time").alias("a_ts"))
     p = persons.select("p_id", "name", F.timestamp_millis("p_date_time").alias("p_ts"))
-    return match_in_window(a, p, "seller", "p_id", "a_ts", "p_ts", TUMBLE, how).select(
+    return match_in_window(a, p, "seller", "p_id", "a_ts", "p_ts", window, how).select(
         col("p_id").alias("person_id"),
         "name",
         F.unix_millis("w_start").alias("starttime"),
@@ -130,13 +133,7 @@ def new_user_purchases(events: DataFrame) -> DataFrame:
 
 
 def persons_and_auctions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = row_count(spark, sf_dir, "lineitem")
-    persons = gen.person_count(rows)
-    return gen.auction_persons(spark, persons), gen.auctions(spark, rows, persons)
-
-
-def generated_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gen.bids(spark, row_count(spark, sf_dir, "lineitem"))
+    return given.persons(spark, sf_dir), given.auctions(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
@@ -148,7 +145,7 @@ def queries() -> dict[str, Query]:
         return query
 
     def with_bids(plan: Callable[[DataFrame], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plan(generated_bids(spark, sf_dir))
+        return lambda spark, sf_dir: plan(given.bids(spark, sf_dir))
 
     def with_events(plan: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: plan(table(spark, sf_dir, "events"))

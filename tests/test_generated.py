@@ -170,16 +170,16 @@ def test_auction_stream_counts(spark, auction_tables):
     q3 = nexmark.local_sellers(auctions, persons, keep_unmatched=True)
     assert (q3.count(), count_if(q3, "auction_id IS NOT NULL")) == (N, 600)
     assert nexmark.local_sellers(auctions, persons).count() == 600
-    q5 = nexmark.hot_bids(bids)
+    q5 = nexmark.hot_bids(bids, "10 seconds", "2 seconds")
     assert (q5.count(), count_if(q5, "num = 1000")) == (N, 30_000)
     assert count_if(q5, "num IS NOT NULL") == 30_000
-    hot = nexmark.hot_auctions(bids)
+    hot = nexmark.hot_auctions(bids, "10 seconds", "2 seconds")
     assert hot.select("w_start").distinct().count() == 30
     # All even bids hit five equally hot auctions: ties stay.
     assert [r[0] for r in hot.groupBy("w_start").count().select("count").distinct().collect()] == [5]
-    q8 = nexmark.new_sellers(auctions, persons, "left")
+    q8 = nexmark.new_sellers(auctions, persons, "left", "10 seconds")
     assert (q8.count(), count_if(q8, "person_id IS NOT NULL")) == (N, 12_000)
-    assert nexmark.new_sellers(auctions, persons).count() == 12_000
+    assert nexmark.new_sellers(auctions, persons, window="10 seconds").count() == 12_000
 
 
 def test_persons_join_is_broadcast_only_when_small(spark, auction_tables):
@@ -198,3 +198,15 @@ def test_persons_join_is_broadcast_only_when_small(spark, auction_tables):
 def test_wide_tables_cover_every_query(spark):
     assert set(KERNELS) <= set(gen.WIDE_TABLES)
     assert len([q for q in plans.queries() if q.startswith("rows_")]) == 22
+
+
+# Output columns that tell whether a given row is a hit.
+HIT_COLUMNS = ("passed_filter", "revenue_part", "total_value", "is_valid", "in_range")
+
+
+@pytest.mark.parametrize("name", sorted(KERNELS))
+def test_every_kernel_hits_given_rows_and_misses_some(spark, name):
+    rows = plans.queries()[f"rows_{name}"](spark, "/root/testdata/sf0.01")
+    column = next(c for c in HIT_COLUMNS if c in rows.columns)
+    hits, misses = rows.agg(F.count_if(F.col(column) != 0), F.count_if(F.col(column) == 0)).first()
+    assert hits > 0 and misses > 0
