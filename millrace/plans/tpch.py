@@ -166,13 +166,15 @@ def q3(t: Tables) -> DataFrame:
         .select("o_orderkey", "o_custkey", "o_orderdate")
         .join(builders, col("o_custkey") == col("c_custkey"), "left_semi")
     )
-    per_order = (
+    # Few orders pass: joining them first leaves little to group.
+    lines = (
         t.lineitem.filter(col("l_shipdate") > cut)
-        .groupBy("l_orderkey")
-        .agg(exact_sum(net_units(), 4).alias("revenue"))
+        .select("l_orderkey", "l_extendedprice", "l_discount")
+        .join(orders.drop("o_custkey"), col("l_orderkey") == col("o_orderkey"))
     )
+    revenue = exact_sum(net_units(), 4).alias("revenue")
     return (
-        per_order.join(orders, col("l_orderkey") == col("o_orderkey"))
+        group_after_join(lines, ["l_orderkey", "o_orderdate"], revenue)
         .select("l_orderkey", "revenue", "o_orderdate")
         .orderBy(col("revenue").desc(), "o_orderdate", "l_orderkey")
         .limit(10)
@@ -180,18 +182,15 @@ def q3(t: Tables) -> DataFrame:
 
 
 def q4(t: Tables) -> DataFrame:
-    """Orders of a quarter with a late line: the last ship date decides."""
+    """Orders of a quarter with a late line, each counted once."""
     start, end = day(1996, 7, 1), day(1996, 10, 1)
     orders = t.orders.filter(within("o_orderdate", start, end)).select(
         "o_orderkey", "o_orderdate", "o_orderpriority"
     )
-    last_ship = (
-        t.lineitem.filter(col("l_shipdate") > start)
-        .groupBy("l_orderkey")
-        .agg(F.max("l_shipdate").alias("l_shipdate"))
-    )
+    lines = t.lineitem.filter(col("l_shipdate") > start).select("l_orderkey", "l_shipdate")
+    late = lines.join(orders, (col("o_orderkey") == col("l_orderkey")) & late_line())
     return (
-        orders.join(last_ship, (col("o_orderkey") == col("l_orderkey")) & late_line(), "left_semi")
+        group_after_join(late, ["o_orderkey", "o_orderpriority"], F.count(F.lit(1)).alias("lines"))
         .groupBy("o_orderpriority")
         .agg(F.count(F.lit(1)).alias("order_count"))
         .orderBy("o_orderpriority")
@@ -254,18 +253,14 @@ def q7(t: Tables) -> DataFrame:
         .join(customers, col("o_custkey") == col("c_custkey"))
         .select("o_orderkey", "cust_nation")
     )
-    per_order = (
+    return (
         t.lineitem.filter(both_years("l_shipdate"))
         .select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_shipdate")
         .join(suppliers, col("l_suppkey") == col("s_suppkey"))
-        .groupBy("l_orderkey", "supp_nation", F.year("l_shipdate").alias("l_year"))
-        .agg(exact_total(net_units()).alias("units"))
-    )
-    return (
-        per_order.join(orders, col("l_orderkey") == col("o_orderkey"))
+        .join(orders, col("l_orderkey") == col("o_orderkey"))
         .filter(col("supp_nation") != col("cust_nation"))
-        .groupBy("supp_nation", "cust_nation", "l_year")
-        .agg(as_double(F.sum("units"), 4).alias("revenue"))
+        .groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year"))
+        .agg(exact_sum(net_units(), 4).alias("revenue"))
         .orderBy("supp_nation", "cust_nation", "l_year")
     )
 
