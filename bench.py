@@ -33,7 +33,9 @@ HEADLINE = [
     "udf_scalar_struct", "udf_arrow_scalar", "udf_pandas_struct",
     "udf_row_norm_cdf", "udf_pandas_norm_cdf",
     "log_metrics", "bench_compare",
-    "stream_price_native", "stream_price_lateral",
+    "stream_price_native", "stream_price_lateral", "stream_vectorised_calc", "stream_statement_set",
+    "stream_nexmark_q5", "stream_nexmark_q8", "stream_ev_hot_types", "src_stream_datagen",
+    "given_rows_tpch_q1", "given_rows_tpch_q3", "given_rows_tpch_q14", "given_rows_tpch_q15",
 ]
 # Same result, cheapest transport last: seconds are comparable row by row.
 TRANSPORTS = {

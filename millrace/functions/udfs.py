@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,10 @@ def pricing_udf(transport: str):
     raise ValueError(f"unknown transport {transport!r}, expected one of {TRANSPORTS}")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def call_struct(df: DataFrame, function: Callable[..., Column], inputs: list[str]) -> DataFrame:
     """Call a struct function once per row and unpack its fields.
 
@@ -85,11 +91,12 @@ def call_struct(df: DataFrame, function: Callable[..., Column], inputs: list[str
 
 
 def call_struct_sql(
-    spark: SparkSession, df: DataFrame, function, inputs: list[str], name: str = "process"
+    spark: SparkSession, df: DataFrame, function, inputs: list[str]
 ) -> DataFrame:
-    """The same through SQL, with the function registered under a name."""
+    """The same through SQL, with the function registered under a name of its own."""
+    name = f"process_{uuid.uuid4().hex}"
     spark.udf.register(name, function)
-    call = f"{name}({', '.join(inputs)})"
+    call = f"{name}({', '.join(map(quoted, inputs))})"
     return spark.sql(f"SELECT r.* FROM (SELECT {call} AS r FROM {{source}}) t", source=df)
 
 
@@ -121,19 +128,31 @@ def norm_cdf_udf(transport: str):
 
 
 def string_batch_udf(count: int):
-    """Pass ``count`` strings through a pandas batch."""
+    """Pass ``count`` strings through as Arrow arrays: no Python string is made."""
+    names = [f"s_out{i}" for i in range(1, count + 1)]
+
+    def batch(*columns: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(list(columns), names=names)
 
-    def batch(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for series in columns:
-            yield pd.DataFrame({f"s_out{i}": s for i, s in enumerate(series, start=1)})
+    return F.arrow_udf(batch, ", ".join(f"{n} string" for n in names))
 
-    schema = ", ".join(f"s_out{i} string" for i in range(1, count + 1))
-    return F.pandas_udf(batch, schema)
 
+PRICE_STEP_COLUMNS = "price double, start_ns long, py_duration long, end_ns long"
 
-@F.udtf(returnType="price double, start_ns long, py_duration long, end_ns long")
+
+@F.udtf(returnType=PRICE_STEP_COLUMNS, useArrow=True)
 class PriceStep:
-    """Table function: one output row per input row, with the time it took.
+    """Table function: one output row per input row, with the time it took."""
+
+    def eval(self, price: float, start_ns: int):
+        started = time.perf_counter_ns()
+        price = None if price is None else price + 1
+        yield price, start_ns, time.perf_counter_ns() - started, time.time_ns()
+
+
+@F.udtf(returnType="rows long, spent_ns long", useArrow=True)
+class PriceStepReport:
+    """What a partition's rows took together: one row at the end of each partition.
 
     ``rows`` and ``spent`` are the function's open state: they live as long as
     the partition it runs over.
@@ -146,19 +165,32 @@ class PriceStep:
     def eval(self, price: float, start_ns: int):
         started = time.perf_counter_ns()
         price = None if price is None else price + 1
-        took = time.perf_counter_ns() - started
         self.rows += 1
-        self.spent += took
-        yield price, start_ns, took, time.time_ns()
+        self.spent += time.perf_counter_ns() - started
+
+    def terminate(self):
+        if self.rows:
+            yield self.rows, self.spent
+
+
+def price_report(df: DataFrame, price: str = "price", start: str = "start_ns") -> DataFrame:
+    """(rows, spent_ns) per partition of ``df``."""
+    spark = df.sparkSession
+    name = f"price_report_{uuid.uuid4().hex}"
+    spark.udtf.register(name, PriceStepReport)
+    return spark.sql(
+        f"SELECT t.* FROM {{source}} s, LATERAL {name}(s.{quoted(price)}, s.{quoted(start)}) t", source=df
+    )
 
 
 def price_step(df: DataFrame, price: str = "price", start: str = "start_ns") -> DataFrame:
     """LATERAL join of every row with the table function's output for it."""
     spark = df.sparkSession
-    spark.udtf.register("price_step", PriceStep)
-    keep = ", ".join(f"s.{c}" for c in df.columns if c not in (price, start))
+    name = f"price_step_{uuid.uuid4().hex}"
+    spark.udtf.register(name, PriceStep)
+    keep = ", ".join(f"s.{quoted(c)}" for c in df.columns if c not in (price, start))
     return spark.sql(
-        f"SELECT {keep}, t.* FROM {{source}} s, LATERAL price_step(s.{price}, s.{start}) t",
+        f"SELECT {keep}, t.* FROM {{source}} s, LATERAL {name}(s.{quoted(price)}, s.{quoted(start)}) t",
         source=df,
     )
 
@@ -186,25 +218,22 @@ def geometric_mean_batches(df: DataFrame, group: str, value: str) -> DataFrame:
     return parts.groupBy(group).agg(F.coalesce(mean, F.lit(1.0)).alias("geomean"))
 
 
-def lookup_in_tasks(
-    df: DataFrame, lookup: DataFrame, key: str, value: str, max_rows: int = 10_000
-) -> DataFrame:
+def lookup_in_tasks(df: DataFrame, lookup: DataFrame, key: str, value: str, most_rows: int = 10_000) -> DataFrame:
     """Add ``value`` by looking ``key`` up in a table that each task indexes once.
 
-    The table travels with the function, so it must be small. Its size is
-    checked first; a larger one is joined instead, with the same result.
-    ``lookup`` has the columns ``key`` and ``value``, keys unique.
+    The table travels with the function, so the caller has to know that it is
+    small: a table of more than ``most_rows`` keys is an error - join it. Of
+    several values of a key, the smallest is taken; keys not found give null.
     """
-    rows = lookup.select(key, value).take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df.join(lookup.select(key, value), key, "left")
-    pairs = [(r[0], r[1]) for r in rows]
+    rows = lookup.groupBy(key).agg(F.min(value).alias(value)).take(most_rows + 1)
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} keys do not travel with a function: join the table")
+    index = pd.Series({r[0]: r[1] for r in rows}, dtype=object)
     value_type = dict(lookup.dtypes)[value]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = dict(pairs)
         for batch in batches:
-            yield batch.assign(**{value: [index.get(k) for k in batch[key]]})
+            yield batch.assign(**{value: batch[key].map(index)})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, (value, value_type)])
+    schema = ", ".join(f"{quoted(c)} {t}" for c, t in [*df.dtypes, (value, value_type)])
     return df.mapInPandas(add, schema)

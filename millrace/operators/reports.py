@@ -43,7 +43,8 @@ def _captured(pattern: str) -> Column:
 
 
 def log_metrics(lines: DataFrame) -> DataFrame:
-    """One row of metrics per query from its log lines (query, seq, line).
+    """One row of metrics per query from its log lines (query, seq, line), also for a
+    query whose log has none.
 
     Metrics come from the second-to-last benchmark line that is not a warm-up,
     since the last one may be cut short; from the last if there is only one.
@@ -75,13 +76,12 @@ def log_metrics(lines: DataFrame) -> DataFrame:
             _captured(r"Duration=([0-9.]+)").alias("duration"),
             _captured(r"Wall time\s*:\s*([0-9.]+)").alias("wall"),
         )
-        .filter(col("duration").isNotNull() | col("wall").isNotNull())
         .groupBy("query")
         .agg(_last("duration"), _last("wall"))
         .select("query", F.coalesce("duration", "wall").alias("duration_s"))
     )
     names = ["avg_udf_ns", "avg_overhead_ns", "rows_per_s", "wallclock_ms", "duration_s"]
-    return chosen.join(durations, "query", "left").select(
+    return durations.join(chosen, "query", "left").select(
         "query", *[F.coalesce(n, F.lit(MISSING)).alias(n) for n in names]
     )
 
@@ -96,21 +96,16 @@ def compare_files(measured: DataFrame, baseline: str | None = None) -> DataFrame
     Input (file, benchmark, value); output (file, benchmark, mean, base_mean,
     ratio) with ratio = baseline mean / own mean, for the benchmarks that every
     file has. The baseline is the first file by name unless given.
-
-    Values are averaged first, so the windows below see one row per file.
     """
-    files = measured.agg(
-        F.struct(F.count_distinct("file").alias("n"), F.min("file").alias("first"))
-    ).scalar()
-    base = files["first"] if baseline is None else F.lit(baseline)
-    of_benchmark = Window.partitionBy("benchmark")
     means = measured.groupBy("file", "benchmark").agg(F.avg("value").alias("mean"))
+    # One row: the means, not the measurements, tell how many files there are.
+    files = means.agg(F.struct(F.count_distinct("file").alias("n"), F.min("file").alias("first"))).scalar()
+    base = files["first"] if baseline is None else F.lit(baseline)
+    of_benchmark = means.groupBy("benchmark").agg(
+        F.count(F.lit(1)).alias("present"), F.max(F.when(col("file") == base, col("mean"))).alias("base_mean")
+    )
     return (
-        means.withColumn("present", F.count(F.lit(1)).over(of_benchmark))
-        .withColumn(
-            "base_mean", F.max(F.when(col("file") == base, col("mean"))).over(of_benchmark)
-        )
-        .filter(col("present") == files["n"])
+        means.join(of_benchmark.filter(col("present") == files["n"]), "benchmark")
         .select(
             "file",
             "benchmark",
@@ -133,26 +128,20 @@ def with_units(compared: DataFrame) -> DataFrame:
     )
 
 
-def comparison_table(measured: DataFrame, max_files: int = 1000) -> DataFrame:
-    """Benchmarks by files, in display units, with the geometric means as last row.
-
-    ``seq`` puts the summary row last. Files become columns, so their number is
-    bounded by what a table can have.
-    """
-    names = [r[0] for r in measured.select("file").distinct().take(max_files + 1)]
-    if len(names) > max_files:
-        raise ValueError(f"more than {max_files} files do not fit as columns")
-    names.sort()
+def comparison_table(measured: DataFrame) -> DataFrame:
+    """(seq, benchmark, unit, file, value): means in display units, and the geometric means as last
+    rows, which ``seq`` marks. However many files there are, each cell is a row."""
     compared = compare_files(measured)
-    wide = (
-        with_units(compared).groupBy("benchmark", "unit").pivot("file", names).agg(F.first("scaled"))
+    body = with_units(compared).select(
+        F.lit(0).alias("seq"), "benchmark", "unit", "file", col("scaled").alias("value")
     )
-    last = summarize(compared).groupBy().pivot("file", names).agg(F.first("geomean"))
-    body = wide.select(F.lit(0).alias("seq"), "benchmark", "unit", *[f"`{n}`" for n in names])
-    foot = last.select(
-        F.lit(1).alias("seq"),
-        F.lit(SUMMARY_LABEL).alias("benchmark"),
-        F.lit("NA").alias("unit"),
-        *[f"`{n}`" for n in names],
+    foot = summarize(compared).select(
+        F.lit(1).alias("seq"), F.lit(SUMMARY_LABEL).alias("benchmark"), F.lit("NA").alias("unit"), "file",
+        col("geomean").alias("value"),
     )
     return body.unionByName(foot)
+
+
+def side_by_side(cells: DataFrame, files: list[str]) -> DataFrame:
+    """The comparison table with a column for each of the files the caller names."""
+    return cells.groupBy("seq", "benchmark", "unit").pivot("file", files).agg(F.first("value"))

@@ -12,10 +12,10 @@ from ..functions.money import hundredths
 from ..operators import reports
 from ..operators.row_kernels import KERNELS
 from ..sources.bench_results import read_bench_results, write_result_lines
-from ..sources.generated import wide_table
 from ..sources.run_logs import read_run_log, write_run_log
 from ..sources.tables import TABLES, row_count, table
 from ..sources.workspace import fresh_folder
+from .row_inputs import row_input
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,16 +117,15 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reports.comparison_table(measurements(spark, sf_dir))
-    fixed = ["seq", "benchmark", "unit"]
-    files = [c for c in wide.columns if c not in fixed]
-    return wide.select(*fixed, *[F.round(f"`{c}`", 6).alias(c) for c in files])
+    cells = reports.comparison_table(measurements(spark, sf_dir))
+    return cells.withColumn("value", F.round("value", 6))
 
 
 def timed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = row_count(spark, sf_dir, "lineitem")
-    df = KERNELS["tpch_q6"](wide_table(spark, "tpch_q6", rows))
-    return reports.run_report(df, "tpch_q6", rows, rows)
+    report = reports.run_report(KERNELS["tpch_q6"](row_input(spark, sf_dir, "tpch_q6")), "tpch_q6", rows, rows)
+    timed = (col("wall_s") > 0) & (col("rows_per_s") > 0)
+    return report.select("tag", "input_rows", "expected_rows", "output_rows", timed.alias("timed"))
 
 
 def queries() -> dict[str, Query]:

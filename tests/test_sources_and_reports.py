@@ -75,6 +75,7 @@ def test_log_metrics(spark, tmp_path):
         "second_to_last": ("2", "20", "200", "2.5", "2.50"),
         "only_one": ("4", "40", "400", "4.5", "7.75"),
         "incomplete": ("8", "N/A", "N/A", "N/A", "N/A"),
+        "no_data": ("N/A", "N/A", "N/A", "N/A", "3.0"),
     }
 
 
@@ -100,11 +101,11 @@ def test_comparison(spark):
     other = {(r.file, r.benchmark): r.ratio for r in reports.compare_files(df, "b").collect()}
     assert other["a", "slow"] == 2.0
 
-    wide = reports.comparison_table(df).orderBy("seq", "benchmark").collect()
+    cells = reports.comparison_table(df)
+    assert cells.count() == 6
+    wide = reports.side_by_side(cells, ["a", "b"]).orderBy("seq", "benchmark").collect()
     assert [(r.benchmark, r.unit) for r in wide] == [("quick", "us"), ("slow", "sec"), ("geometric mean", "NA")]
     assert wide[1].a == 3.0 and wide[1].b == 6.0 and wide[0].a == pytest.approx(30.0)
-    with pytest.raises(ValueError):
-        reports.comparison_table(df, max_files=1)
 
 
 def test_display_units(spark):
@@ -158,11 +159,28 @@ def test_cdf_transports_agree(spark):
         assert math.isclose(one, two, abs_tol=1e-12) and math.isclose(one, three, abs_tol=1e-12)
 
 
-def test_lookup_joins_when_the_table_is_large(spark):
+def test_lookup_in_tasks(spark):
     rows = spark.range(100).select("id", (F.col("id") % 12).alias("k"))
-    lookup = spark.range(10).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    lookup = spark.range(20).select((F.col("id") % 10).alias("k"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("name"))
     mapped = udfs.lookup_in_tasks(rows, lookup, "k", "name")
-    joined = udfs.lookup_in_tasks(rows, lookup, "k", "name", max_rows=9)
-    assert "MapInPandas" in plan_of(mapped) and "Join" in plan_of(joined)
-    as_set = lambda df: {(r.id, r.k, r.name) for r in df.collect()}
-    assert as_set(mapped) == as_set(joined) and len(as_set(mapped)) == 100
+    assert "MapInPandas" in plan_of(mapped) and mapped.columns == ["id", "k", "name"]
+    # Of two values the smaller; no value, no row lost.
+    assert {(r.id, r.k, r.name) for r in mapped.collect()} == {
+        (n, n % 12, f"n{n % 12:02d}" if n % 12 < 10 else None) for n in range(100)}
+    with pytest.raises(ValueError):
+        udfs.lookup_in_tasks(rows, lookup, "k", "name", most_rows=9)
+
+
+def test_two_table_functions_at_once_and_their_report(spark):
+    df = spark.range(10).select("id", F.col("id").cast("double").alias("price"), F.lit(1).cast("long").alias("start_ns")).coalesce(1)
+    one = udfs.price_step(df)
+    two = udfs.price_step(df.withColumnRenamed("id", "odd name"))
+    assert sorted(r["odd name"] for r in two.collect()) == sorted(r.id for r in one.collect()) == list(range(10))
+    report = udfs.price_report(df).collect()
+    assert [r.rows for r in report] == [10] and report[0].spent_ns >= 0
+
+
+def test_comparison_of_many_files(spark):
+    many = spark.range(1500).select(
+        F.format_string("f%05d", "id").alias("file"), F.lit("b").alias("benchmark"), (F.col("id") + 1).cast("double").alias("value"))
+    assert reports.comparison_table(many).count() == 3000
