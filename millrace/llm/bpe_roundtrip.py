@@ -187,11 +187,12 @@ def _nodes(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _joined(vocabulary: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         coder = word_encoder(vocabulary)
-        rows = rows.sort_values("leaf")
+        copies = int((rows.leaf == 0).sum())
+        rows = rows.drop_duplicates("leaf").sort_values("leaf")
         nodes = [Node(np.frombuffer(r.ids, np.uint32), r.head, r.tail, r.head_n, r.tail_n, r.whole) for r in rows.itertuples()]
         key = rows.doc_id.iloc[0]
         row = _row(coder, None if pd.isna(key) else int(key), tree(coder, nodes).ids)
-        return pd.DataFrame([row], columns=ENCODED.names).astype({"doc_id": "Int64"})
+        return pd.DataFrame([row] * copies, columns=ENCODED.names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -201,8 +202,9 @@ def encoded(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF, text: str
     rows = own_columns(docs, doc_id=key, text=text)
     long = F.coalesce(F.char_length("text") > leaf_chars, F.lit(False))
     short = rows.filter(~long).mapInArrow(_short(vocabulary), ENCODED_COLUMNS)
-    # A long text is found again among its leaves by key, content and, if rows repeat, place in the input.
-    named = rows.filter(long).select("doc_id", F.concat_ws("-", F.monotonically_increasing_id(), F.xxhash64("text")).alias("copy"), "text")
+    # The leaves of a long text are found again by key and content; rows that repeat both are encoded
+    # alike, and come out as often as their first leaf came in.
+    named = rows.filter(long).select("doc_id", F.md5("text").alias("copy"), "text")
     leaves = named.mapInArrow(_leaves(vocabulary, leaf_chars), "doc_id long, copy string, leaf long, special long, text string")
     nodes = leaves.repartition(F.xxhash64("copy", "leaf")).mapInArrow(_nodes(vocabulary), NODE_COLUMNS)
     joined = nodes.groupBy("doc_id", "copy").applyInPandas(_joined(vocabulary), ENCODED_COLUMNS)
