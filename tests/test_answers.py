@@ -78,3 +78,37 @@ SKEWED = [n for n in SQL if n.startswith(("tpch_", "ev_", "log_", "bench_", "uda
 def test_same_as_sql_with_hot_keys(spark, skewed_dir, name):
     con = open_tables(skewed_dir)
     assert differences(QUERIES[name](spark, skewed_dir), con, SQL[name]) == []
+
+
+def test_a_hot_order_is_split_in_q3(spark, sf_dir, tmp_path):
+    """Forty times the lines, a third of them on one order that Q3 looks at."""
+    con = duckdb.connect()
+    for name in TABLES:
+        os.symlink(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet") if name != "lineitem" else None
+    hot = (f"(SELECT min(o_orderkey) FROM '{sf_dir}/orders.parquet' JOIN '{sf_dir}/customer.parquet' ON o_custkey = c_custkey "
+           "WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1995-03-15')")
+    con.execute(
+        f"COPY (SELECT * EXCLUDE (n) REPLACE (CASE WHEN n % 3 = 0 THEN {hot} ELSE l_orderkey END AS l_orderkey) FROM "
+        f"(SELECT l.*, row_number() OVER () AS n FROM '{sf_dir}/lineitem.parquet' l, range(40) ORDER BY hash(l_orderkey, l_linenumber, range))) "
+        f"TO '{tmp_path}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 20000)"
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "1MB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = QUERIES["tpch_q3"](spark, str(tmp_path))
+        assert differences(df, open_tables(str(tmp_path)), SQL["tpch_q3"]) == []
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
