@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .links import components, spanning_between, spanning_edges
 from .shared import Rows, own_columns, spread, strings, written
@@ -37,7 +38,7 @@ from .shared import Rows, own_columns, spread, strings, written
 THRESHOLD = 0.98
 #: Leading principal axes in the sort key.
 AXES = 8
-LEAF, BLOCK, GROUP, PARTITION = 64, 512, 8, 32_768
+LEAF, BLOCK, GROUP, PARTITION = 64, 2048, 4, 32_768
 #: Slack for rounding when boxes are compared, and the width about the threshold in which a cosine
 #: is computed again from the given components.
 SLACK, CLOSE = 1e-9, 1e-9
@@ -48,10 +49,6 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.array([np.frombuffer(v, "<f8") for v in strings(column)]).reshape(-1, dim)
-
-
 def _moments(dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64())])
 
@@ -82,7 +79,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
 KEYED_COLUMNS = "label string, dim int, cells array<int>, uid long, copies long, vector binary"
 
 
-def _keyed(axes: np.ndarray, eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _keyed(axes: np.ndarray, eps: float, stored: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cells", pa.list_(pa.int32())), ("uid", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +90,7 @@ def _keyed(axes: np.ndarray, eps: float) -> Callable[[Iterator[pa.RecordBatch]],
                 unit = _units(raw[None, :])
                 turned = unit @ axes if dim == len(axes) else unit
                 cells = np.floor(turned[0, :AXES] / eps).astype(np.int32)
-                yield from out.add((label, dim, cells, uid, copies, raw.tobytes()), 8 * dim + 64)
+                yield from out.add((label, dim, cells, uid, copies, raw.astype(stored).tobytes()), 8 * dim + 64)
         yield from out.rest()
 
     return run
@@ -112,14 +109,14 @@ def _turned(raw: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return unit @ axes if raw.shape[1] == len(axes) else unit
 
 
-def _blocks(axes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(axes: np.ndarray, stored: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, out = TaskContext.get().partitionId(), 0, Rows(BLOCKS)
         key, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            raw = np.array([np.frombuffer(v, "<f8") for _, _, v in held])
-            turned = _turned(raw, axes)
+            raw = np.array([np.frombuffer(v, stored) for _, _, v in held])
+            turned = _turned(raw.astype("<f8"), axes)
             uids, copies = (np.array([h[k] for h in held], "<i8").tobytes() for k in (0, 1))
             yield from out.add((*key, part, block, turned.min(axis=0), turned.max(axis=0), uids, copies, raw.tobytes()), raw.nbytes)
 
@@ -189,9 +186,9 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 class Sequence:
     """A block in its order, with the boxes of its leaves."""
 
-    def __init__(self, uids: bytes, copies: bytes, vectors: bytes, axes: np.ndarray):
+    def __init__(self, uids: bytes, copies: bytes, vectors: bytes, axes: np.ndarray, stored: str):
         self.uids, self.copies = np.frombuffer(uids, "<i8"), np.frombuffer(copies, "<i8")
-        self.raw = np.frombuffer(vectors, "<f8").reshape(len(self.uids), -1)
+        self.raw = np.frombuffer(vectors, stored).astype("<f8").reshape(len(self.uids), -1)
         self.unit = _turned(self.raw, axes)
         starts = np.arange(0, len(self.uids), LEAF)
         self.lo, self.hi = np.minimum.reduceat(self.unit, starts), np.maximum.reduceat(self.unit, starts)
@@ -233,12 +230,12 @@ def _linked(a: Sequence, x: slice, b: Sequence, y: slice, threshold: float) -> n
 FOUND = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
-def _compared(axes: np.ndarray, threshold: float, eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compared(axes: np.ndarray, threshold: float, eps: float, stored: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(FOUND)
         for batch in batches:
             for same, *sides in zip(*(strings(batch.column(c)) for c in range(7)), strict=True):
-                a, b = Sequence(*sides[:3], axes), Sequence(*sides[3:], axes)
+                a, b = Sequence(*sides[:3], axes, stored), Sequence(*sides[3:], axes, stored)
                 links_a, links_b = np.zeros(len(a.uids), np.int64), np.zeros(len(b.uids), np.int64)
                 for i, j in leaf_pairs(a, b, same, eps):
                     x, y = a.rows(i), b.rows(j)
@@ -265,6 +262,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     """One row per vector: (vec_id, n_links, component_id). Links are cosines of at least the
     threshold between vectors of the same label; ``component_id`` is the smallest key reached."""
     eps = math.sqrt(2 - 2 * threshold)
+    # Floats travel as floats; all arithmetic is in doubles.
+    element = getattr(vectors.schema[vector].dataType, "elementType", None)
+    stored = "<f4" if isinstance(element, FloatType) else "<f8"
     rows = own_columns(vectors, vec_id=key, vector=vector, label=label).select(
         "vec_id", F.col("label").cast("string").alias("label"), F.col("vector").cast("array<double>").alias("vector")
     )
@@ -279,10 +279,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
 
     usual = distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     axes = principal_axes(distinct, usual[0].dim) if usual else np.eye(1)
-    keyed = written(distinct.select("label", "dim", "uid", "copies", "vector").mapInArrow(_keyed(axes, eps), KEYED_COLUMNS), "keyed")
+    keyed = written(distinct.select("label", "dim", "uid", "copies", "vector").mapInArrow(_keyed(axes, eps, stored), KEYED_COLUMNS), "keyed")
     order = ["label", "dim", "cells", "uid"]
     ordered = keyed.repartitionByRange(spread(keyed.count(), PARTITION, 4), *order).sortWithinPartitions(*order)
-    blocks = written(ordered.mapInArrow(_blocks(axes), BLOCK_COLUMNS), "blocks")
+    blocks = written(ordered.mapInArrow(_blocks(axes, stored), BLOCK_COLUMNS), "blocks")
 
     pairs = block_pairs(blocks, eps)
     sides = [
@@ -292,7 +292,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
         ((F.col("part_a") == F.col("part_b")) & (F.col("block_a") == F.col("block_b"))).alias("same"),
         *[f"{c}_{s}" for s in "ab" for c in ("uids", "copies", "vectors")],
     )
-    found = written(both.mapInArrow(_compared(axes, threshold, eps), "uid long, other long, links long"), "found")
+    found = written(both.mapInArrow(_compared(axes, threshold, eps, stored), "uid long, other long, links long"), "found")
     groups = components(found.filter("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     linked = distinct.select("uid", "label", "vector", "first_id", "copies").join(
