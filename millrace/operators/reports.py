@@ -52,42 +52,34 @@ def log_metrics(lines: DataFrame) -> DataFrame:
     Metrics a line lacks are "N/A".
     """
     is_metric = col("line").rlike(r"\[.*Benchmark\]") & ~col("line").contains("WARMUP")
-    newest = Window.partitionBy("query").orderBy(col("seq").desc())
-    # rank <= 2 is applied in every map task before the shuffle, so a long log
-    # of one query reaches its final task as two lines per task.
+    duration, wall = _captured(r"Duration=([0-9.]+)"), _captured(r"Wall time\s*:\s*([0-9.]+)")
+    # A line once for each thing it may tell; "any" gives a query without metrics its row.
+    kinds = F.array_compact(
+        F.array(
+            F.when(is_metric, "metric"), F.when(duration.isNotNull(), "duration"),
+            F.when(wall.isNotNull(), "wall"), F.lit("any"),
+        )
+    )
+    newest = Window.partitionBy("query", "kind").orderBy(col("seq").desc())
+    # rank <= 2 is applied in every map task before the shuffle, so a long log of one query
+    # reaches its final tasks as two lines of a kind per task.
     chosen = (
-        lines.filter(is_metric)
+        lines.select("query", "seq", "line", F.explode(kinds).alias("kind"))
         .withColumn("rank", F.row_number().over(newest))
         .filter(col("rank") <= 2)
         .groupBy("query")
-        .agg(F.max_by("line", "rank").alias("line"))
-        .select(
-            "query",
-            _captured(r"Avg UDF=([0-9]+)").alias("avg_udf_ns"),
-            _captured(r"Avg Overhead=([0-9]+)").alias("avg_overhead_ns"),
-            _captured(r"Throughput=([0-9]+)").alias("rows_per_s"),
-            _captured(r"WallClock=([0-9.]+)").alias("wallclock_ms"),
+        .agg(
+            F.max_by("line", F.when(col("kind") == "metric", col("rank"))).alias("line"),
+            F.max(F.when((col("kind") == "duration") & (col("rank") == 1), duration)).alias("duration"),
+            F.max(F.when((col("kind") == "wall") & (col("rank") == 1), wall)).alias("wall"),
         )
     )
-    durations = (
-        lines.select(
-            "query",
-            "seq",
-            _captured(r"Duration=([0-9.]+)").alias("duration"),
-            _captured(r"Wall time\s*:\s*([0-9.]+)").alias("wall"),
-        )
-        .groupBy("query")
-        .agg(_last("duration"), _last("wall"))
-        .select("query", F.coalesce("duration", "wall").alias("duration_s"))
-    )
-    names = ["avg_udf_ns", "avg_overhead_ns", "rows_per_s", "wallclock_ms", "duration_s"]
-    return durations.join(chosen, "query", "left").select(
-        "query", *[F.coalesce(n, F.lit(MISSING)).alias(n) for n in names]
-    )
-
-
-def _last(name: str) -> Column:
-    return F.max_by(name, F.when(col(name).isNotNull(), col("seq"))).alias(name)
+    found = {
+        "avg_udf_ns": _captured(r"Avg UDF=([0-9]+)"), "avg_overhead_ns": _captured(r"Avg Overhead=([0-9]+)"),
+        "rows_per_s": _captured(r"Throughput=([0-9]+)"), "wallclock_ms": _captured(r"WallClock=([0-9.]+)"),
+        "duration_s": F.coalesce("duration", "wall"),
+    }
+    return chosen.select("query", *[F.coalesce(c, F.lit(MISSING)).alias(n) for n, c in found.items()])
 
 
 def compare_files(measured: DataFrame, baseline: str | None = None) -> DataFrame:

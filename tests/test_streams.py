@@ -214,6 +214,22 @@ class _Cluster:
             return {}
 
 
+def test_without_a_setting_only_a_plain_local_session_uses_its_own_disk():
+    def session(master, warehouse):
+        class conf:
+            get = staticmethod(lambda key, default: warehouse if key == "spark.sql.warehouse.dir" else default)
+
+        context = type("context", (), {"master": master, "getConf": staticmethod(dict)})
+        return type("session", (), {"conf": conf, "sparkContext": context})
+
+    for master in ("local", "local[4]", "local[*]"):
+        assert shared_folder(session(master, "file:/data/warehouse")) == "file:/data/warehouse/.millrace"
+    assert shared_folder(session("spark://host:7077", "hdfs://host/warehouse")) == "hdfs://host/warehouse/.millrace"
+    for master in ("local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master, "file:/data/warehouse"))
+
+
 def test_no_local_folder_on_a_cluster(spark):
     with pytest.raises(RuntimeError):
         shared_folder(_Cluster())
