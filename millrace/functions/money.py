@@ -19,7 +19,7 @@ _LOW_BITS = 20
 
 
 def hundredths(amount: Column | str) -> Column:
-    """A two-decimal double as a long number of hundredths."""
+    """A two-decimal double as a long number of hundredths. Further decimals are rounded away."""
     amount = F.col(amount) if isinstance(amount, str) else amount
     return F.rint(amount * 100).cast("long")
 

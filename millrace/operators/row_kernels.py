@@ -128,7 +128,7 @@ def q6(df: DataFrame) -> DataFrame:
 
 @_kernel
 def q7(df: DataFrame) -> DataFrame:
-    pair = ("FRANCE", "GERMANY")
+    pair = fx.Q7_NATIONS
     hit = (
         col("l_shipdate_days").between(fx.DAY_1995_01_01, fx.DAY_1996_12_31)
         & col("s_nation").isin(*pair)
@@ -198,12 +198,12 @@ def q11(df: DataFrame) -> DataFrame:
 @_kernel
 def q12(df: DataFrame) -> DataFrame:
     hit = (
-        col("l_shipmode").isin("MAIL", "SHIP")
+        col("l_shipmode").isin(fx.Q12_MODES)
         & (col("l_shipdate_days") < col("l_commitdate_days"))
         & (col("l_commitdate_days") < col("l_receiptdate_days"))
         & half_open("l_receiptdate_days", fx.DAY_1994_01_01, fx.DAY_1995_01_01)
     )
-    urgent = col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    urgent = col("o_orderpriority").isin(fx.URGENT_PRIORITIES)
     return df.select(
         "l_shipmode",
         flag(hit & urgent).alias("high_line"),
@@ -244,7 +244,7 @@ def q16(df: DataFrame) -> DataFrame:
     hit = (
         (col("p_brand") != "Brand#45")
         & ~col("p_type").startswith("MEDIUM POLISHED")
-        & col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9)
+        & col("p_size").isin(fx.Q16_SIZES)
         & (col("is_complaint") == 0)
     )
     return df.select(

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from ..functions.money import (
     net_units,
 )
 from ..operators.skew import group_after_join
+from ..sources import fixed_values as fx
 from ..sources.tables import table
 
 col = F.col
@@ -312,12 +314,13 @@ def q9(t: Tables) -> DataFrame:
         .groupBy(*PAIR, "o_year")
         .agg(
             exact_total(net_units()).alias("sales"),
-            F.sum(col("l_quantity").cast("long")).alias("quantity"),
+            F.sum(hundredths("l_quantity")).alias("quantity"),
             supply_cost_units().alias("lowest"),
         )
     )
     cost = F.min("lowest").over(Window.partitionBy(*PAIR)).cast("decimal(18,0)")
-    profit = col("sales") - col("cost") * col("quantity").cast("decimal(18,0)")
+    # In 1/1,000,000: quantities count in hundredths.
+    profit = col("sales") * F.lit(Decimal(100)) - col("cost") * col("quantity").cast("decimal(18,0)")
     per_supplier = (
         per_year.withColumn("cost", cost)
         .filter(col("o_year").isNotNull())
@@ -330,7 +333,7 @@ def q9(t: Tables) -> DataFrame:
         )
         .join(nation_of(t, "supp"), col("s_nationkey") == col("supp_nationkey"))
         .groupBy(col("supp_nation").alias("nation"), "o_year")
-        .agg(as_double(F.sum("units"), 4).alias("sum_profit"))
+        .agg(as_double(F.sum("units"), 6).alias("sum_profit"))
         .orderBy("nation", col("o_year").desc())
     )
 
@@ -377,14 +380,15 @@ def q11(t: Tables, fraction: float = 0.0001) -> DataFrame:
         lines,
         PAIR,
         supply_cost_units().cast("decimal(18,0)").alias("cost"),
-        F.sum(col("l_quantity").cast("long")).cast("decimal(18,0)").alias("availqty"),
+        F.sum(hundredths("l_quantity")).cast("decimal(18,0)").alias("availqty"),
     )
     stock = pairs.groupBy(col("l_partkey").alias("ps_partkey")).agg(
         F.sum(col("cost") * col("availqty")).alias("units")
     )
-    total = stock.agg(as_double(F.sum("units"), COST_DECIMALS)).scalar()
+    decimals = COST_DECIMALS + 2  # quantities count in hundredths
+    total = stock.agg(as_double(F.sum("units"), decimals)).scalar()
     return (
-        stock.select("ps_partkey", as_double(col("units"), COST_DECIMALS).alias("value"))
+        stock.select("ps_partkey", as_double(col("units"), decimals).alias("value"))
         .filter(col("value") > total * F.lit(fraction))
         .orderBy(col("value").desc(), "ps_partkey")
     )
@@ -395,7 +399,7 @@ def q12(t: Tables) -> DataFrame:
     lines = t.lineitem.filter(
         col("l_returnflag").isin("A", "R") & within_year("l_shipdate", 1996)
     ).select("l_orderkey", "l_returnflag", "l_shipdate")
-    urgent = col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    urgent = col("o_orderpriority").isin(fx.URGENT_PRIORITIES)
     return (
         lines.join(
             t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"),
@@ -462,7 +466,7 @@ def q16(t: Tables) -> DataFrame:
     parts = t.part.filter(
         (col("p_brand") != "Brand#45")
         & ~col("p_type").startswith("MEDIUM")
-        & col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9)
+        & col("p_size").isin(fx.Q16_SIZES)
     ).select("p_partkey", "p_brand", "p_type", "p_size")
     complaints = t.supplier.filter(col("s_acctbal") < 0).select("s_suppkey")
     return (

@@ -9,6 +9,10 @@ RETURN_FLAGS = ["A", "R", "N"]
 LINE_STATUS = ["O", "F"]
 ORDER_STATUS = ["O", "F", "P"]
 ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+URGENT_PRIORITIES = ["1-URGENT", "2-HIGH"]
+Q7_NATIONS = ["FRANCE", "GERMANY"]
+Q12_MODES = ["MAIL", "SHIP"]
+Q16_SIZES = [49, 14, 23, 45, 19, 3, 36, 9]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 NATIONS = [
