@@ -176,6 +176,29 @@ def test_datagen(spark):
     assert rows.filter("price < 1 OR price >= 100 OR quantity NOT BETWEEN 1 AND 10").count() == 0
 
 
+def test_datagen_takes_one_rate(spark):
+    assert datagen_stream(spark, 10, rows_per_second=5, partitions=1).isStreaming
+    with pytest.raises(ValueError):
+        datagen_stream(spark, 10)
+    with pytest.raises(ValueError):
+        datagen_stream(spark, 10, 5, rows_per_second=5)
+
+
+def test_datagen_by_the_second_ends_at_the_last_row(spark):
+    stream = datagen_stream(spark, 30, rows_per_second=20, partitions=1)
+    base = fresh_folder(spark, "by-the-second")
+    query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/c").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if sum(p["numInputRows"] for p in query.recentProgress) >= 30:
+                break
+    finally:
+        query.stop()
+    ids = [r.id for r in spark.read.parquet(f"{base}/rows").collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1)) and 0 < len(ids) <= 30
+
+
 def test_price_stream_columns(spark):
     stream = runs.as_stream(spark.range(50).select("id", F.col("id").cast("double").alias("price")))
     rows = runs.to_table(prices.stepped(stream), "stepped", TIMEOUT)
