@@ -26,7 +26,7 @@ from .shared import spread, written
 
 SHARDS, SEED = 24, 20_240_229
 #: Rows ranked together in one window.
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 10_000
 
 
 def interleaved(
