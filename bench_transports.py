@@ -33,7 +33,7 @@ def forms(spark, rows):
     yield "norm_cdf native", payloads.normal_cdf(values)
     strings = wide_table(spark, "str16", rows)
     inputs = [c for c in strings.columns if c.startswith("s_in")]
-    yield "strings pandas", udfs.call_struct(strings, udfs.string_batch_udf(len(inputs)), inputs)
+    yield "strings Arrow arrays", udfs.call_struct(strings, udfs.string_batch_udf(len(inputs)), inputs)
     yield "strings native", payloads.pass_strings(strings)
 
 
