@@ -45,19 +45,28 @@ NEXT = {"latin": "ba den fer gan hol jin kas len mo nel pin ros sen tor vin wick
         "cyrillic": "ба вен гол дар жен зин кас лен мо нел пин рос сен тор хов цев".split()}
 
 WORD = r"[\p{L}\p{N}_]"
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
+MAIL_END = r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 NAME = r"\p{Lu}[\p{L}’'-]{1,40}"
 SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
-    "mail": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": rf"\d(?:[ -]?\d){{12,18}}(?!{WORD})",
-    "address": rf"(?<!\d\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!{WORD}|\.\d)",
+    "mail": rf"[A-Za-z0-9._%+-]{{1,64}}+{MAIL_END}",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "address": rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD}|\.\d)",
     "key": rf"AKIA[0-9A-Z]{{16}}(?!{WORD})",
     "secret": rf"{SECRET}[0-9A-Za-z+/_-]{{8,256}}",
     "person": rf"(?:{MALE}|{FEMALE})\.? {{1,2}}{NAME}(?: {NAME})?",
 }
-ANY = rf"(?<!{WORD})(?:{'|'.join(PATTERNS.values())})"
+#: Digit groups that may hold a card number, up to the end of the last one (and a letter after it, if
+#: there is one), unless that is the start of a mail address. What is in them is told by ``inside``.
+NUMBERS = rf"(?=\d(?:[ -]?\d){{12}})\d[\d .-]*\d(?!\d)(?![A-Za-z0-9._%+-]{{0,64}}{MAIL_END}){WORD}?"
+ANY = rf"(?<!{WORD})(?:{'|'.join(PATTERNS.values())}|{NUMBERS})"
+#: Cards: the usual groupings, found wherever a group begins, and any other, from left to right.
+CARD = rf"\d(?:[ -]?\d){{12,18}}(?!{WORD})"
+CARDS = [rf"(?<!{WORD})(?=({grouping})(?!{WORD}))" for grouping in (
+    r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}")]
+AMONG_NUMBERS = [rf"(?<!{WORD}){PATTERNS[kind]}" for kind in ("ssn", "phone", "address")]
 
 
 def _digits(text: Column) -> Column:
@@ -77,16 +86,32 @@ def _luhn_sum(digits: Column, doubled_from_last: int) -> Column:
     return F.aggregate(F.transform(places, term), F.lit(0), lambda a, x: a + x)
 
 
+def valid_cards(found: Column) -> Column:
+    return F.filter(found, lambda hit: F.pmod(_luhn_sum(_digits(hit), 0), F.lit(10)) == 0)
+
+
+def _quoted(values: Column) -> Column:
+    """Patterns that find exactly these digit groups."""
+    return F.transform(values, lambda v: F.concat(F.lit(rf"(?<!{WORD})\Q"), v, F.lit(rf"\E(?!{WORD})")))
+
+
+def inside(numbers: DataFrame) -> DataFrame:
+    """``hit``, digit groups, with a ``pattern`` of the entities in them. A card's check digit is tested
+    for every grouping at every place, so that no number beside it hides it; a card in an unusual
+    grouping is looked for in what the other kinds leave."""
+    usual = valid_cards(F.flatten(F.array(*[F.regexp_extract_all("hit", F.lit(c), F.lit(1)) for c in CARDS])))
+    first = numbers.withColumn("first", F.concat(_quoted(F.array_distinct(usual)), F.array(*map(F.lit, AMONG_NUMBERS))))
+    gaps = F.split("hit", F.array_join("first", "|"), -1)
+    unusual = valid_cards(F.flatten(F.transform(gaps, lambda gap: F.regexp_extract_all(gap, F.lit(rf"(?<!{WORD}){CARD}"), F.lit(0)))))
+    pattern = F.array_join(F.concat("first", _quoted(F.array_distinct(unusual))), "|")
+    return first.select("hit", pattern.alias("pattern"))
+
+
 def kind_of(hit: Column) -> Column:
-    """Kind of a detected string; null if it only looks like one (check digit, octets)."""
-    valid = {
-        "card": F.pmod(_luhn_sum(_digits(hit), 0), F.lit(10)) == 0,
-        "address": ~F.exists(F.split(hit, r"\."), lambda o: o.cast("int") > 255),
-    }
+    """Kind of a detected string; null for digit groups and cards."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
-        matches = hit.rlike(f"^(?:{pattern})$")
-        kind = F.when(matches & valid.get(name, F.lit(True)), F.lit(name)).otherwise(kind)
+        kind = F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
     return kind
 
 
@@ -204,6 +229,11 @@ def formatted(hit: Column, kind: Column, found: Column) -> Column:
     )
 
 
+def _filled(between: Column, new: Column) -> Column:
+    """What lies between hits, with the new strings in place of the hits."""
+    return F.array_join(F.zip_with(between, new, lambda piece, n: F.concat(piece, F.coalesce(n, F.lit("")))), "")
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with surrogates in their texts, and ``n_entities``, how many were put in."""
     names = [c for c in docs.columns if c != "n_entities"]
@@ -214,25 +244,30 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     clean = rows.filter(F.size(hits) == 0).withColumn("n_entities", F.lit(0).cast("long"))
     dirty = written(rows.withColumn("hits", hits).filter(F.size("hits") > 0).withColumn("content", F.sha2(target, 256)), "entities")
 
-    found = dirty.select(F.explode("hits").alias("hit")).distinct().withColumn("kind", kind_of(F.col("hit")))
-    mentions = written(found.filter("kind is not null").withColumn("parts", parts_of(F.col("hit"), F.col("kind"))), "mentions")
-    parts = mentions.select("hit", F.col("kind").alias("of"), F.posexplode("parts").alias("pos", "part")).select(
-        "hit", "of", "pos", "part.kind", "part.value")
+    found = written(dirty.select(F.explode("hits").alias("hit")).distinct().withColumn("of", kind_of(F.col("hit"))), "hits")
+    numbers = inside(found.filter("of is null")).select(
+        "hit", F.regexp_extract_all("hit", F.col("pattern"), F.lit(0)).alias("inner"), F.split("hit", F.col("pattern"), -1).alias("between"))
+    whole = found.filter("of is not null").select("hit", F.array("hit").alias("inner"), F.array(F.lit(""), F.lit("")).alias("between"))
+    mentions = written(whole.unionByName(numbers).filter(F.size("inner") > 0), "mentions")
+    inner = mentions.select(F.explode("inner").alias("entity")).distinct().withColumn("of", F.coalesce(kind_of(F.col("entity")), F.lit("card")))
+    parts = written(inner.select("entity", "of", F.posexplode(parts_of(F.col("entity"), F.col("of"))).alias("pos", "part")).select(
+        "entity", "of", "pos", "part.kind", "part.value"), "parts")
     entities = written(parts.select("kind", "value").distinct(), "distinct-entities")
     surrogate = resolved(entities, key)
-    replaced = parts.join(surrogate, ["kind", "value"]).groupBy("hit", "of").agg(
+    renamed = parts.join(surrogate, ["kind", "value"]).groupBy("entity", "of").agg(
         F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("parts")  # two at most
-    ).select("hit", formatted(F.col("hit"), F.col("of"), F.col("parts.surrogate")).alias("new"))
+    ).select("entity", formatted(F.col("entity"), F.col("of"), F.col("parts.surrogate")).alias("new"))
+    # One row per hit; only stretches of numbers hold more than one entity.
+    replaced = mentions.select("hit", "between", F.posexplode("inner").alias("pos", "entity")).join(renamed, "entity").groupBy("hit").agg(
+        F.first("between").alias("between"), F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new")
+    ).select("hit", _filled(F.col("between"), F.col("new.new")).alias("new"), F.size("new").alias("n"))
 
     texts = dirty.groupBy("content").agg(F.first("hits").alias("hits"))
     placed = texts.select("content", F.posexplode("hits").alias("pos", "hit")).join(replaced, "hit", "left").groupBy("content").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("new", "hit").alias("new")))).alias("placed"),
-        F.count("new").alias("n_entities"),
-    )
-    pieces = F.split(target, ANY, -1)
-    joined = F.array_join(
-        F.zip_with(pieces, F.col("placed.new"), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))), ""
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_entities"),
     )
+    joined = _filled(F.split(target, ANY, -1), F.col("placed.new"))
     treated = dirty.join(placed, "content").withColumn(target, joined).select(*own.values(), "n_entities")
     return clean.unionByName(treated).select(*[F.col(c).alias(n) for n, c in own.items()], "n_entities")
 

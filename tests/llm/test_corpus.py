@@ -305,6 +305,26 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert got[6:] == ["no: 4041894974608796, 1.2.3.4.5, 300.1.1.1, 12345", None, ""]
 
 
+def test_entities_beside_other_numbers_are_replaced(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    cases = {
+        f"card {card} 12/27": [card], f"{spaced} 123": [spaced], f"17 {card}": [card], f"{card} 97.51.17.173": [card, "97.51.17.173"],
+        "2024-01-15 555-123-4567": ["555-123-4567"], "12345 555-123-4567": ["555-123-4567"], f"123-45-6789 {spaced}": ["123-45-6789", spaced],
+        f"{spaced} 378282246310005 5": [spaced, "378282246310005"], f"1234 {spaced} 3782 822463 10005": [spaced, "3782 822463 10005"],
+        f"{spaced} 555-123-4567x9": [spaced, "555-123-4567"], f"{spaced} 12.bob@mail.example.org": [spaced, "12.bob@mail"],
+        "41-1111 1111-111111 / 99": ["41-1111 1111-111111"], f"{card[:-1]}2 {card}": [card], f"1.2.3.4.5 {spaced}.": [spaced],
+        f"{spaced} {card} 12 {card}": [spaced, card], "no 1234 5678 9012 3456, 4111111111111111x": []}
+    for (text, values), got in zip(cases.items(), replaced(spark, *cases), strict=True):
+        assert all(v not in got for v in values) and (got == text) == (not values), (text, got)
+        assert len(got) == len(text) or "97." in text, (text, got)
+        for v in values:
+            if v.replace(" ", "").isdigit():
+                at = text.index(v)
+                assert "97." in text or luhn(got[at:at + len(v)]), (text, got)
+    df = spark.createDataFrame([(1, f"{spaced} {card} 12 {card} 97.51.17.173")], "doc_id long, text string")
+    assert surrogates.pseudonymised(df, "k").first().n_entities == 4
+
+
 def test_surrogates_are_distinct_and_none_is_real(spark):
     names = [a + b + c for a in "BCDFGH" for b in "aeiou" for c in ("rt", "nn", "lk", "mm")]
     texts = [f"Mr {n} and 1.1.1.{k % 200}" for k, n in enumerate(names)]
