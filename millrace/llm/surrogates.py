@@ -55,7 +55,7 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "address": rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD}|\.\d)",
     "key": rf"AKIA[0-9A-Z]{{16}}(?!{WORD})",
-    "secret": rf"{SECRET}[0-9A-Za-z+/_-]{{8,256}}",
+    "secret": rf"{SECRET}(?=[+/_-]{{0,255}}[0-9A-Za-z])[0-9A-Za-z+/_-]{{8,256}}",
     "person": rf"(?:{MALE}|{FEMALE})\.? {{1,2}}{NAME}(?: {NAME})?",
 }
 #: Digit groups that may hold a card number, up to the end of the last one (and a letter after it, if
@@ -136,8 +136,8 @@ def parts_of(hit: Column, kind: Column) -> Column:
 
 
 def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
-    """What the key's hash proposes for an entity. Later attempts give other and, where a format has
-    few values, more varied proposals."""
+    """What the key's hash proposes for an entity. Later attempts give other and more varied proposals,
+    so that every kind has more of them than a corpus has entities."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(attempt))), 512)
     digit = F.translate(digest, "abcdef", "284617")
     letter = F.translate(digest, "0123456789abcdef", "bcdfghjklmnpqrst")
@@ -146,14 +146,14 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
         at = place if isinstance(place, Column) else F.lit(place)
         return F.conv(F.substring(digest, at * 8 + 1, F.lit(7)), 16, 10).cast("long")
 
-    def masked(text: Column) -> Column:
-        """Digits for digits and letters for letters, place by place."""
+    def masked(text: Column, signs: bool = False) -> Column:
+        """Digits for digits and letters for letters, place by place; letters for signs if so told."""
 
         def swap(c: Column, i: Column) -> Column:
             at = F.pmod(i, F.lit(128)) + 1
             other = F.substring(letter, at, F.lit(1))
             return (F.when(c.rlike("[0-9]"), F.substring(digit, at, F.lit(1))).when(c.rlike("[a-z]"), other)
-                    .when(c.rlike("[A-Z]"), F.upper(other)).otherwise(c))
+                    .when(c.rlike("[A-Z]"), F.upper(other)).otherwise(other if signs else c))
 
         return F.array_join(F.transform(F.split(text, ""), swap), "")
 
@@ -161,10 +161,14 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (F.pmod(number(place), F.lit(len(words))) + 1).cast("int"))
 
     ending = F.regexp_extract(value, r"\.[^.]*$", 0)
-    mail = F.concat(masked(F.substring(value, F.lit(1), F.length(value) - F.length(ending))), ending)
+    longer = F.substring(letter, 65, max(attempt - 1, 0))  # at most 64 more letters
+    mail = F.concat(longer, masked(F.substring(value, F.lit(1), F.length(value) - F.length(ending))), ending)
     length = F.length(value)
-    phone = F.concat((F.pmod(number(0), F.lit(8)) + 2).cast("string"), F.substring(digit, 9, 2), F.lit("555"), F.substring(digit, 11, 4))
+    exchange = F.lit("555") if attempt < 3 else F.substring(digit, 17, 3)
+    phone = F.concat((F.pmod(number(0), F.lit(8)) + 2).cast("string"), F.substring(digit, 9, 2), exchange, F.substring(digit, 11, 4))
     body = F.concat(F.substring(value, 1, 1), F.substring(digit, F.lit(1), length - 2))
+    if attempt > 2:
+        body = F.substring(digit, F.lit(1), length - 1)
     card = F.concat(body, F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string"))
 
     def octet(o: Column, i: Column) -> Column:
@@ -178,25 +182,33 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
     found = (
         F.when(kind == "mail", mail).when(kind == "phone", phone).when(kind == "card", card)
         .when(kind == "address", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digit, 1, 8)))
-        .when(kind == "key", F.concat(F.lit("AKIA"), masked(F.substring(value, 5, 16)))).when(kind == "secret", masked(value))
+        .when(kind == "ssn", F.concat(F.lit("9") if attempt < 3 else F.substring(digit, 9, 1), F.substring(digit, 1, 8)))
+        .when(kind == "key", F.concat(F.lit("AKIA"), masked(F.substring(value, 5, 16))))
+        .when(kind == "secret", F.concat(masked(value, attempt > 1), longer))
     )
     more = attempt // 2
     for (gender, script), words in GIVEN.items():
-        name = F.concat(chosen(words, 0), *[F.lower(chosen(words, 1 + n)) for n in range(min(more, 6))])
+        name = F.concat(chosen(words, 0), *[F.lower(chosen(words, 1 + n)) for n in range(min(more, 14))])
         found = found.when(kind == f"given-{gender}-{script}", name)
     for script in FIRST:
-        name = F.concat(chosen(FIRST[script], 0), *[chosen(NEXT[script], 1 + n) for n in range(min(1 + more, 8))])
+        name = F.concat(chosen(FIRST[script], 0), *[chosen(NEXT[script], 1 + n) for n in range(min(1 + more, 14))])
         found = found.when(kind == f"surname-{script}", name)
     return found
 
 
+#: Attempts after which what still collides is an error; the proposals of every kind are widest long before.
+ATTEMPTS = 60
+
+
 def resolved(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): one to one within a kind, and no surrogate
-    is one of the values."""
+    is one of the values. If a kind's values are so many that its format leaves none, that is an error."""
     waiting, done, attempt = entities, None, 0
     real = entities.select("kind", F.col("value").alias("surrogate"))
     while not waiting.isEmpty():
+        if attempt == ATTEMPTS:
+            left = sorted(r.kind for r in waiting.select("kind").distinct().collect())  # a handful of kinds
+            raise ValueError(f"no surrogates left after {ATTEMPTS} attempts for entities of the kinds {left}")
         tried = waiting.withColumn("surrogate", candidate(key, F.col("kind"), F.col("value"), attempt))
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:

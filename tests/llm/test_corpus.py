@@ -333,6 +333,21 @@ def test_surrogates_are_distinct_and_none_is_real(spark):
     assert len({f[3] for f in found}) == len({t.split()[3] for t in texts})
 
 
+def test_every_kind_has_more_proposals_than_entities(spark):
+    signs = ["Password: ________", "Token:\n--------", "secret=+/+/+/+/"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.org" for a in letters for b in letters[:14]]  # 364; the first proposals are 256
+    secrets = [f"token=_______{a}" for a in letters + "0123456789"]
+    found = replaced(spark, *signs, " ".join(mails), " ".join(secrets), "-@-.org")
+    assert found[:3] == signs
+    for before, after in ((mails, found[3].split()), (secrets, found[4].split())):
+        assert len(set(after)) == len(before) == len(after) and not set(after) & set(before)
+    assert found[5] != "-@-.org" and found[5].endswith(".org")
+    value = F.col("id").cast("string")
+    first, later = (spark.range(40).select(surrogates.candidate("k", F.lit("phone"), value, n).alias("p")).collect() for n in (0, 3))
+    assert all(r.p[3:6] == "555" for r in first) and len({r.p[3:6] for r in later}) > 10 and all(len(r.p) == 10 for r in later)
+
+
 def test_personal_data_of_given_and_awkward_documents(spark, given, awkward, nothing):
     pattern = re.compile(r"[\w.%+-]+@[\w-]+\.[\w.-]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA[0-9A-Z]{16}")
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in (given, surrogates.digest(given)))
