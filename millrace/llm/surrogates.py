@@ -9,7 +9,7 @@ the same case, digits digits.
 
 The same entity gets the same surrogate wherever it is found, in whatever
 formatting (telephone numbers by their last ten digits); parts of names are entities of their own, so that a full name and the
-bare surname still agree. Distinct entities get distinct surrogates, none of which
+bare surname still agree, also where the same text has them without a title. Distinct entities get distinct surrogates, none of which
 is itself an entity of the corpus: what collides is hashed again, until nothing
 does. That needs the distinct entities only, as tables; texts without an entity are
 passed on as they are and never shuffled.
@@ -47,16 +47,23 @@ NEXT = {"latin": "ba den fer gan hol jin kas len mo nel pin ros sen tor vin wick
 WORD = r"[\p{L}\p{N}_]"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 MAIL_END = r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-NAME = r"\p{Lu}[\p{L}’'-]{1,40}"
+#: A capitalised word that is no title, or initials; between them, words such as "von".
+NAME = rf"(?!(?:{MALE}|{FEMALE})(?!\p{{L}}))(?:\p{{Lu}}[\p{{L}}’'-]{{1,40}}|(?:\p{{Lu}}\.){{1,4}})"
+PARTICLE = r"(?:von|van|der|den|de|del|della|di|da|dos|du|ten|ter|zu|bin|ibn)"
+TITLE = rf"(?:{MALE}|{FEMALE})\.? {{1,2}}"
+#: A word of a name, without what makes it a genitive.
+NAME_WORD = r"(?<![\p{L}’'-])(?:\p{Lu}\.|\p{L}+(?:[’'-](?!s(?!\p{L}))\p{L}+)*)"
 SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
     "mail": rf"[A-Za-z0-9._%+-]{{1,64}}+{MAIL_END}",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+    # Ten digits in a row as in North America, and any grouping of 8 to 15 digits after a plus sign.
+    rf"|[2-9]\d{{2}}[2-9]\d{{6}}(?!{WORD}|\.\d)|\+[1-9](?:[ .-]?\(?\d\)?){{7,14}}(?!\d))",
     "address": rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD}|\.\d)",
     "key": rf"AKIA[0-9A-Z]{{16}}(?!{WORD})",
     "secret": rf"{SECRET}(?=[+/_-]{{0,255}}[0-9A-Za-z])[0-9A-Za-z+/_-]{{8,256}}",
-    "person": rf"(?:{MALE}|{FEMALE})\.? {{1,2}}{NAME}(?: {NAME})?",
+    "person": rf"{TITLE}{NAME}(?:(?:(?: {PARTICLE}){{0,3}} |(?<=\.)){NAME}){{0,7}}",
 }
 #: Digit groups that may hold a card number, up to the end of the last one (and a letter after it, if
 #: there is one), unless that is the start of a mail address. What is in them is told by ``inside``.
@@ -120,19 +127,25 @@ def _script(text: Column) -> Column:
 
 
 def parts_of(hit: Column, kind: Column) -> Column:
-    """The entities of a detected string, each by kind and by a value free of formatting."""
-    names = F.split(F.regexp_replace(hit, rf"^(?:{MALE}|{FEMALE})\.? {{1,2}}", ""), " ")
-    gender = F.when(hit.rlike(rf"^(?:{FEMALE})\b"), "female").otherwise("male")
-    given = F.struct(F.concat_ws("-", F.lit("given"), gender, _script(names[0])).alias("kind"), F.initcap(names[0]).alias("value"))
-    last = F.element_at(names, -1)
-    surname = F.struct(F.concat_ws("-", F.lit("surname"), _script(last)).alias("kind"), F.initcap(last).alias("value"))
+    """The entities of a detected string, each by kind and by a value free of formatting, with the words
+    of a name as they are written. Words such as "von" have no kind."""
+    words = F.regexp_extract_all(F.regexp_replace(hit, f"^{TITLE}", ""), F.lit(NAME_WORD), F.lit(0))
+    gender = F.when(hit.rlike(rf"^(?:{FEMALE})(?!\p{{L}})"), "female").otherwise("male")
+
+    def name(word: Column, i: Column) -> Column:
+        last = (i == F.size(words) - 1) & ~word.rlike(r"\.$")
+        of = F.when(last, F.concat_ws("-", F.lit("surname"), _script(word))).otherwise(F.concat_ws("-", F.lit("given"), gender, _script(word)))
+        return F.struct(F.when(~word.rlike(f"^{PARTICLE}$"), of).alias("kind"), F.initcap(word).alias("value"), word.alias("word"))
+
     value = (
-        F.when(kind == "mail", F.lower(hit)).when(kind == "phone", F.right(_digits(hit), F.lit(10)))
+        F.when(kind == "mail", F.lower(hit))
+        .when(kind == "phone", F.when(F.length(_digits(hit)) < 10, _digits(hit)).otherwise(F.right(_digits(hit), F.lit(10))))
         .when(kind.isin("card", "ssn"), _digits(hit))
         .when(kind == "secret", F.regexp_replace(hit, f"^{SECRET}", "")).otherwise(hit)
     )
-    single = F.array(F.struct(kind.alias("kind"), value.alias("value")))
-    return F.when(kind != "person", single).when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    short = (kind == "phone") & (F.length(value) < 10)
+    single = F.array(F.struct(F.when(short, "short-phone").otherwise(kind).alias("kind"), value.alias("value"), value.alias("word")))
+    return F.when(kind != "person", single).otherwise(F.transform(words, name))
 
 
 def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
@@ -183,6 +196,7 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
         F.when(kind == "mail", mail).when(kind == "phone", phone).when(kind == "card", card)
         .when(kind == "address", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
         .when(kind == "ssn", F.concat(F.lit("9") if attempt < 3 else F.substring(digit, 9, 1), F.substring(digit, 1, 8)))
+        .when(kind == "short-phone", F.concat(F.substring(value, 1, 1 if attempt < 10 else 0), F.substring(digit, F.lit(1), length - (1 if attempt < 10 else 0))))
         .when(kind == "key", F.concat(F.lit("AKIA"), masked(F.substring(value, 5, 16))))
         .when(kind == "secret", F.concat(masked(value, attempt > 1), longer))
     )
@@ -220,6 +234,34 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
     return entities.withColumn("surrogate", F.lit("")).limit(0) if done is None else done
 
 
+def _filled(between: Column, new: Column) -> Column:
+    """What lies between hits, with the new strings in place of the hits."""
+    return F.array_join(F.zip_with(between, new, lambda piece, n: F.concat(piece, F.coalesce(n, F.lit("")))), "")
+
+
+def _named(word: Column, surrogate: Column) -> Column:
+    """A name's surrogate in the form of a word: an initial, capitals, or as it is."""
+    initial = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.lit("."))
+    return F.when(word.rlike(r"^\p{Lu}\.$"), initial).when(word == F.upper(word), F.upper(surrogate)).otherwise(surrogate)
+
+
+def bare(pieces: Column, names: Column) -> Column:
+    """What lies between hits, as (pieces, n): with words that stand in one of ``names``, (length,
+    word, value, surrogate), replaced, and how many were."""
+    forms = F.flatten(F.transform(names, lambda n: F.array(n.word, F.upper(n.word), n.value)))
+    quoted = F.transform(F.array_distinct(forms), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    pattern = F.concat(F.lit(rf"(?<!{WORD})(?:"), F.array_join(quoted, "|"), F.lit(rf")(?!{WORD})"))
+
+    def surrogate(word: Column) -> Column:
+        return _named(word, F.get(F.filter(names, lambda n: n.value == F.initcap(word)), F.lit(0)).surrogate)
+
+    def treated(piece: Column) -> Column:
+        found = F.regexp_extract_all(piece, pattern, F.lit(0))
+        return F.struct(_filled(F.split(piece, pattern, -1), F.transform(found, surrogate)).alias("piece"), F.size(found).alias("n"))
+
+    return F.transform(pieces, treated)
+
+
 def formatted(hit: Column, kind: Column, found: Column) -> Column:
     """A detected string with its surrogates in place of its entities."""
     country = F.substring(_digits(hit), F.lit(1), F.length(_digits(hit)) - F.length(found[0]))
@@ -230,9 +272,10 @@ def formatted(hit: Column, kind: Column, found: Column) -> Column:
         .otherwise(F.struct(F.concat(a.s, c).alias("s"), a.n.alias("n"))),
         lambda a: a.s,
     )
-    title = F.regexp_extract(hit, rf"^(?:{MALE}|{FEMALE})\.? {{1,2}}", 0)
-    words = F.split(F.substring(hit, F.length(title) + 1, F.length(hit)), " ")
-    names = F.concat(title, F.array_join(F.zip_with(words, found, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(s)), " "))
+    title = F.regexp_extract(hit, f"^{TITLE}", 0)
+    rest = F.substring(hit, F.length(title) + 1, F.length(hit))
+    words = F.regexp_extract_all(rest, F.lit(NAME_WORD), F.lit(0))
+    names = F.concat(title, _filled(F.split(rest, NAME_WORD, -1), F.zip_with(words, found, _named)))
     loud = hit.rlike(r"\p{Lu}") & ~hit.rlike(r"\p{Ll}")
     return (
         F.when(kind.isin("phone", "card", "ssn"), refilled).when(kind == "mail", F.when(loud, F.upper(found[0])).otherwise(found[0]))
@@ -241,11 +284,6 @@ def formatted(hit: Column, kind: Column, found: Column) -> Column:
     )
 
 
-def _filled(between: Column, new: Column) -> Column:
-    """What lies between hits, with the new strings in place of the hits."""
-    return F.array_join(F.zip_with(between, new, lambda piece, n: F.concat(piece, F.coalesce(n, F.lit("")))), "")
-
-
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with surrogates in their texts, and ``n_entities``, how many were put in."""
     names = [c for c in docs.columns if c != "n_entities"]
@@ -263,24 +301,33 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     mentions = written(whole.unionByName(numbers).filter(F.size("inner") > 0), "mentions")
     inner = mentions.select(F.explode("inner").alias("entity")).distinct().withColumn("of", F.coalesce(kind_of(F.col("entity")), F.lit("card")))
     parts = written(inner.select("entity", "of", F.posexplode(parts_of(F.col("entity"), F.col("of"))).alias("pos", "part")).select(
-        "entity", "of", "pos", "part.kind", "part.value"), "parts")
-    entities = written(parts.select("kind", "value").distinct(), "distinct-entities")
+        "entity", "of", "pos", "part.kind", "part.value", "part.word"), "parts")
+    entities = written(parts.filter("kind is not null").select("kind", "value").distinct(), "distinct-entities")
     surrogate = resolved(entities, key)
-    renamed = parts.join(surrogate, ["kind", "value"]).groupBy("entity", "of").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("parts")  # two at most
-    ).select("entity", formatted(F.col("entity"), F.col("of"), F.col("parts.surrogate")).alias("new"))
+    new = F.col("parts.surrogate")
+    renamed = parts.join(surrogate, ["kind", "value"], "left").groupBy("entity", "of").agg(F.sort_array(F.collect_list(  # some eight words at most
+        F.struct("pos", F.coalesce("surrogate", "word").alias("surrogate"), "kind", "word", "value"))).alias("parts")
+    ).select("entity", formatted(F.col("entity"), F.col("of"), new).alias("new"), F.transform(
+        F.filter("parts", lambda p: (F.col("of") == "person") & p.kind.isNotNull() & ~p.word.rlike(r"\.$")),
+        lambda p: F.struct(F.length(p.word).alias("length"), p.word.alias("word"), p.value.alias("value"), p.surrogate.alias("surrogate"))).alias("names"))
     # One row per hit; only stretches of numbers hold more than one entity.
     replaced = mentions.select("hit", "between", F.posexplode("inner").alias("pos", "entity")).join(renamed, "entity").groupBy("hit").agg(
-        F.first("between").alias("between"), F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new")
-    ).select("hit", _filled(F.col("between"), F.col("new.new")).alias("new"), F.size("new").alias("n"))
+        F.first("between").alias("between"), F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new"),
+        F.first("names").alias("names"),
+    ).select("hit", _filled(F.col("between"), F.col("new.new")).alias("new"), F.size("new").alias("n"), "names")
 
     texts = dirty.groupBy("content").agg(F.first("hits").alias("hits"))
     placed = texts.select("content", F.posexplode("hits").alias("pos", "hit")).join(replaced, "hit", "left").groupBy("content").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("new", "hit").alias("new")))).alias("placed"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_entities"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("names"))), asc=False).alias("names"),
     )
-    joined = _filled(F.split(target, ANY, -1), F.col("placed.new"))
-    treated = dirty.join(placed, "content").withColumn(target, joined).select(*own.values(), "n_entities")
+    # Names found with a title are replaced without one, too.
+    between = F.split(target, ANY, -1)
+    unnamed = F.transform(between, lambda piece: F.struct(piece.alias("piece"), F.lit(0).alias("n")))
+    joined = dirty.join(placed, "content").withColumn("between", F.when(F.size("names") == 0, unnamed).otherwise(bare(between, F.col("names"))))
+    treated = joined.withColumn(target, _filled(F.col("between.piece"), F.col("placed.new"))).withColumn(
+        "n_entities", F.col("n_entities") + F.aggregate("between.n", F.lit(0), lambda a, n: a + n)).select(*own.values(), "n_entities")
     return clean.unionByName(treated).select(*[F.col(c).alias(n) for n, c in own.items()], "n_entities")
 
 

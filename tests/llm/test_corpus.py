@@ -348,6 +348,21 @@ def test_every_kind_has_more_proposals_than_entities(spark):
     assert all(r.p[3:6] == "555" for r in first) and len({r.p[3:6] for r in later}) > 10 and all(len(r.p) == 10 for r in later)
 
 
+def test_whole_names_are_replaced_with_and_without_a_title(spark):
+    got = replaced(
+        spark, "Mrs. Anna Maria Schmidt and Mr. J. Smith", "Mr. John Smith came. Smith said: SMITH's, Smithson, John Smith.", "Smith alone",
+        "Herr Otto von Bismarck, Mr. J.R. O'Neil Jr Mrs. Jones's hat", "Mr. Smith Mrs. Lee", "+44 20 7946 0958, 5551234567 2345678901, 3161484100, +47 22 33 44", "Mr. X. Y.")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) and Mr\. (\w)\. (\w+)", got[0])
+    assert m and not {"Anna", "Maria", "Schmidt", "Smith"} & set(m.groups())
+    n = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) said: (\w+)'s, Smithson, (\w+) (\w+)\.", got[1])
+    assert n[2] == n[3] == n[6] == m[5] and n[4] == n[2].upper() and n[1] == n[5] and "Smith" not in n.groups() and "John" not in n.groups()
+    assert got[2] == "Smith alone"
+    assert re.fullmatch(r"Herr \w+ von \w+, Mr\. \w\.\w\. \w+ \w+ Mrs\. \w+'s hat", got[3]) and not re.search("Otto|Bismarck|Neil|Jones", got[3])
+    assert re.fullmatch(r"Mr\. \w+ Mrs\. \w+", got[4]) and not re.search("Smith|Lee", got[4])
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}, \d{10} \d{10}, 3161484100, \+4\d \d\d \d\d \d\d", got[5])
+    assert not re.search("7946|5551234567|2345678901|22 33 44", got[5])
+
+
 def test_personal_data_of_given_and_awkward_documents(spark, given, awkward, nothing):
     pattern = re.compile(r"[\w.%+-]+@[\w-]+\.[\w.-]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA[0-9A-Z]{16}")
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in (given, surrogates.digest(given)))
