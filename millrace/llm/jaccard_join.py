@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import components, spanning_between, spanning_edges
@@ -196,6 +196,11 @@ def tiled(rows: DataFrame, group: str, uid: str, blocks: str) -> DataFrame:
     ).drop("other", blocks)
 
 
+def _same_text(texts: DataFrame, docs: DataFrame) -> Column:
+    """A text's row of the documents: that with its smallest key, or any if all of its rows have none."""
+    return (texts["content"] == docs["content"]) & texts["doc_id"].eqNullSafe(docs["doc_id"])
+
+
 def candidate_edges(texts: DataFrame, docs: DataFrame, words: int, threshold: float, bucket: int, levels: int) -> DataFrame:
     """(a, b): edges that connect all texts which may be similar."""
     rows = texts.select(F.explode("paths").alias("path"), "uid", "size", "sketch")
@@ -214,8 +219,8 @@ def candidate_edges(texts: DataFrame, docs: DataFrame, words: int, threshold: fl
             return edges
         if level < levels - 1:
             paths = large.groupBy("uid").agg(F.collect_list("path").alias("more"))  # a few per text
-            again = paths.join(texts.select("uid", "size", "sketch", "doc_id", "content"), "uid")
-            with_text = again.join(docs, ["content", "doc_id"]).dropDuplicates(["uid"])
+            again = paths.join(texts.select("uid", "size", "sketch", "content", "doc_id"), "uid")
+            with_text = again.join(docs, _same_text(again, docs)).dropDuplicates(["uid"])
             rows = written(
                 with_text.select("uid", "size", "sketch", "more", "text")
                 .mapInArrow(_deeper(words, threshold), "path long, uid long, size int, sketch binary"),
@@ -298,16 +303,16 @@ def near_duplicates(
     texts = written(
         texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "content", "copies", "s.size", "s.sketch", "s.paths"), "texts"
     )
-    contents = own.filter("doc_id is not null")
+    # Rows without a key may be many for one text: one is enough.
+    contents = own.filter("doc_id is not null").unionByName(own.filter("doc_id is null").dropDuplicates(["content"]))
     candidates = components(candidate_edges(texts, contents, words, threshold, bucket, levels))
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias("blocks"))
     members = candidates.join(sizes, "component").join(
         texts.select(F.col("uid").alias("node"), "doc_id", "content", "copies"), "node"
     )
-    with_text = members.select(F.col("node").alias("uid"), "component", "blocks", "doc_id", "content", "copies").join(
-        contents, ["content", "doc_id"]
-    ).select("uid", "component", "blocks", "copies", "text")
+    with_text = members.join(contents, _same_text(members, contents)).select(
+        F.col("node").alias("uid"), "component", "blocks", "copies", "text")
     found = written(
         tiled(with_text, "component", "uid", "blocks").groupBy("component", "low", "high")
         .applyInPandas(_verified(words, threshold), "uid long, other long, links long"),

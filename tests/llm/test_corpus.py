@@ -191,6 +191,25 @@ def test_large_buckets_are_split_and_tiled_without_loss(awkward):
     assert classes(got) == plain_links(awkward.collect())
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 2, "levels": 3, "tile": 2}])
+def test_texts_without_any_key_keep_their_links(spark, sizes):
+    words = [f"w{n}" for n in range(100)]
+    near = [" ".join([*words[:n], f"other{n}", *words[n + 1:]]) for n in (3, 3, 96, 40)]
+    ends = [" ".join(words[:-6] + [f"end{k}{n}" for n in range(6)]) for k in range(2)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (None, near[3]), (8, " ".join(words)), (None, "a text alone"), (5, ends[0]), (6, ends[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_links(df.collect())
+    assert classes(jaccard_join.near_duplicates(df, **sizes)) == want and sum(n > 0 for k, _, n in want if k is None) == 4
+    keyless = df.filter("doc_id is null")
+    assert classes(jaccard_join.near_duplicates(keyless, **sizes)) == plain_links(keyless.collect())
+    # Two documents with keys that only a text without one links.
+    bridge = [(1, " ".join(words[6:])), (None, " ".join(words)), (2, " ".join(words[:-6]))]
+    bridge = [(k, t.replace("w50 ", "w50 x ") if k == 2 else t) for k, t in bridge]
+    df = spark.createDataFrame(bridge, "doc_id long, text string")
+    want = plain_links(df.collect())
+    assert classes(jaccard_join.near_duplicates(df, **sizes)) == want and {c for _, c, _ in want} == {1}, want
+
+
 def test_one_document_of_each_class_stays(awkward):
     kept = jaccard_join.first_of_each(awkward)
     assert kept.columns == awkward.columns
