@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     language = language_codes.predicted(F.col("`text`"), language_codes.train(docs), spark)
     found = docs.select(row.alias("row"), language.alias("language"))
-    return found.filter(F.col("language.lang_pred") != language_codes.UNKNOWN).select("row.*")
+    return found.filter("language.known").select("row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

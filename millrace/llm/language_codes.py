@@ -14,8 +14,9 @@ several for its smallest distance.
 Learned from a bounded sample (SAMPLE documents at most in expectation, chosen by a
 hash of the key) of the documents with a language whose crc32(key) mod 4 is not 2;
 applied to whole texts of all. Defined cases: a null text or one without a letter is
-``und`` with score 0; without any training document so is every text; with one
-language in training it is always that; a null key is neither held out nor learned
+``und`` with score 0 and not known; without any training document every text is
+``und``, but with a letter known, as nothing tells otherwise; with one language in
+training it is always that; a null key is neither held out nor learned
 from; rows that repeat a key are predicted each; an empty table gives no rows.
 """
 
@@ -193,17 +194,18 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
 
 
 def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
-    """(lang_pred, score, ambiguous) of whole texts, as a column."""
+    """(lang_pred, score, ambiguous, known) of whole texts, as a column. ``known`` is false for what is
+    in none of the model's languages."""
     shared = spark.sparkContext.broadcast(model)  # buckets x places numbers
 
-    @pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @pandas_udf("lang_pred string, score double, ambiguous boolean, known boolean")
     def of(texts: pd.Series) -> pd.DataFrame:
         known, found = shared.value, []
         for text in texts:
             counts = grams(text)
             lang, score = (UNKNOWN, 0.0) if counts is None or not known.languages else known.decode(counts)
-            found.append((lang, score, lang != UNKNOWN and score < AMBIGUOUS))
-        return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous"])
+            found.append((lang, score, lang != UNKNOWN and score < AMBIGUOUS, counts is not None))
+        return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous", "known"])
 
     return of(text)
 

@@ -403,6 +403,14 @@ def test_personal_data_stays_in_the_jvm(given):
 
 # Pipeline
 
+def test_without_language_labels_only_texts_without_a_letter_go(spark, awkward, sf_dir):
+    import corpus_pipeline
+
+    want = Counter(r.text for r in awkward.collect() if any(c.isalpha() for c in r.text or ""))
+    bare = awkward.withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(r.text for r in corpus_pipeline.identify_language(spark, bare, sf_dir).collect()) == want
+
+
 def test_pipeline_equals_its_parts(spark, sf_dir):
     import corpus_pipeline
 
