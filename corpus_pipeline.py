@@ -16,7 +16,7 @@ from millrace.sources.tables import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any letter, for which there is no language, go."""
+    """Texts without any letter, and those that decoding finds to be in none of the known languages, go."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     language = language_codes.predicted(F.col("`text`"), language_codes.train(docs), spark)
     found = docs.select(row.alias("row"), language.alias("language"))

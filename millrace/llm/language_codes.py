@@ -6,7 +6,9 @@ languages a text belongs to: the log ratio of the halves' n-gram frequencies,
 averaged over the text. Decoding is loss-weighted: a codeword's distance is the sum
 of exp(-bit * margin) over the places, each weighted by how often its classifier
 was right about that language in training. The nearest codeword is the prediction;
-if the next one is hardly farther, the text is flagged as ambiguous.
+if the next one is hardly farther, the text is flagged as ambiguous. If even the
+nearest is half as far as for a text that tells nothing, the text is in no known
+language; the half is counted from what the clean training documents keep to.
 
 Few languages get the exhaustive code, many a seeded random one, chosen among
 several for its smallest distance.
@@ -42,6 +44,8 @@ EXHAUSTIVE, PLACES, SEED = 6, 12, 7
 #: Margins are cut to this before the loss; a score below AMBIGUOUS means two codewords are near.
 MARGIN, SMOOTH, AMBIGUOUS = 4.0, 0.5, 0.55
 UNKNOWN = "und"
+#: Share of the training documents whose distance sets the limit, and the steps it is measured in.
+CLEAN, STEPS, STEP = 0.99, 200, 0.01
 STRETCH = 1 << 20
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
@@ -110,19 +114,25 @@ class Model:
     code: np.ndarray  # languages x places
     weights: np.ndarray  # buckets x places
     trust: np.ndarray  # languages x places; rows sum to 1
+    limit: float = np.inf  # distance beyond which a text is in none of the languages
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(counts)
         n = counts[used]
         return np.clip((n @ self.weights[used]) * (4.0 / n.sum()), -MARGIN, MARGIN)
 
-    def decode(self, counts: np.ndarray) -> tuple[str, float]:
-        """Nearest codeword's language, and how much nearer it is than the next (0.5 to 1)."""
+    def distances(self, counts: np.ndarray) -> np.ndarray:
+        """Loss-weighted distances from the codewords; 1 if a text tells nothing."""
+        return (self.trust * np.exp(-self.code * self.margins(counts))).sum(axis=1)
+
+    def decode(self, counts: np.ndarray) -> tuple[str, float, bool]:
+        """Nearest codeword's language, how much nearer it is than the next (0.5 to 1), and whether it
+        is near enough for the text to be in that language."""
         if len(self.languages) == 1:
-            return self.languages[0], 1.0
-        distance = (self.trust * np.exp(-self.code * self.margins(counts))).sum(axis=1)
+            return self.languages[0], 1.0, True
+        distance = self.distances(counts)
         first, second = np.argsort(distance, kind="stable")[:2]
-        return self.languages[first], float(distance[second] / (distance[first] + distance[second]))
+        return self.languages[first], float(distance[second] / (distance[first] + distance[second])), bool(distance[first] <= self.limit)
 
 
 SUMS = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("value", pa.float64())])
@@ -190,6 +200,13 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
         hits = _table(rows, right, code.shape[1] + 1)
         trust = np.array([hits[x][:-1] / hits[x][-1] for x in languages])
         model.trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-12)
+
+        def step(lang: str, counts: np.ndarray) -> np.ndarray:
+            return np.eye(1, STEPS, min(int(model.distances(counts).min() / STEP), STEPS - 1))[0]
+
+        shares = np.cumsum(sum(_table(rows, step, STEPS).values()))
+        clean = (np.searchsorted(shares, CLEAN * shares[-1]) + 1) * STEP
+        model.limit = max(clean, (clean + 1) / 2)  # half way to a text that tells nothing
     return model
 
 
@@ -203,8 +220,8 @@ def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
         known, found = shared.value, []
         for text in texts:
             counts = grams(text)
-            lang, score = (UNKNOWN, 0.0) if counts is None or not known.languages else known.decode(counts)
-            found.append((lang, score, lang != UNKNOWN and score < AMBIGUOUS, counts is not None))
+            lang, score, near = (UNKNOWN, 0.0, counts is not None) if counts is None or not known.languages else known.decode(counts)
+            found.append((lang, score, lang != UNKNOWN and score < AMBIGUOUS, near))
         return pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous", "known"])
 
     return of(text)

@@ -58,8 +58,8 @@ PATTERNS = {
     "mail": rf"[A-Za-z0-9._%+-]{{1,64}}+{MAIL_END}",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})",
     "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-    # Ten digits in a row as in North America, and any grouping of 8 to 15 digits after a plus sign.
-    rf"|[2-9]\d{{2}}[2-9]\d{{6}}(?!{WORD}|\.\d)|\+[1-9](?:[ .-]?\(?\d\)?){{7,14}}(?!\d))",
+    # Ten digits in a row that begin as in North America, and any grouping of 8 to 15 digits after a plus sign.
+    rf"|[2-9]\d{{9}}(?!{WORD}|\.\d)|\+[1-9](?:[ .-]?\(?\d\)?){{7,14}}(?!\d))",
     "address": rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD}|\.\d)",
     "key": rf"AKIA[0-9A-Z]{{16}}(?!{WORD})",
     "secret": rf"{SECRET}(?=[+/_-]{{0,255}}[0-9A-Za-z])[0-9A-Za-z+/_-]{{8,256}}",
