@@ -6,16 +6,21 @@ a restarted batch must replace its own output. State size and the state store
 are the session's choice (``spark.sql.streaming.stateStore.providerClass``;
 RocksDB for large state). A micro-batch reads at most BATCH_BYTES.
 
+Rows behind the watermark would be missing from the result, so a stream that drops
+any is an error. ``disorder`` tells the delay that a table of files needs.
+
 A caller that names the folder can run the same stream again: it goes on after
 the last batch that was finished. Without a name, the folder is the run's own.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..sources.workspace import file_system, fresh_folder
@@ -24,15 +29,32 @@ from ..sources.workspace import file_system, fresh_folder
 BATCH_BYTES = 4 << 30
 
 
+#: Seconds between looks at a running stream.
+POLL_S = 5
+
+
+def _dropped(query: StreamingQuery) -> dict[int, int]:
+    """Rows dropped behind the watermark, by batch."""
+    found: dict[int, int] = {}
+    for p in query.recentProgress:
+        late = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+        found[p["batchId"]] = max(late, found.get(p["batchId"], 0))
+    return found
+
+
 def finish(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None) -> None:
-    """Start a stream, process all available input, stop. Failures are raised."""
+    """Start a stream, process all available input, stop. Failures are raised, and dropped rows are one."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         # awaitTermination raises the stream's own error if it failed.
-        if timeout_s is not None and not query.awaitTermination(timeout_s):
-            raise TimeoutError(f"stream did not finish in {timeout_s} s")
-        if timeout_s is None:
-            query.awaitTermination()
+        end, dropped = None if timeout_s is None else time.monotonic() + timeout_s, {}
+        while not query.awaitTermination(POLL_S):
+            dropped |= _dropped(query)  # only the last progresses are kept
+            if end is not None and time.monotonic() > end:
+                raise TimeoutError(f"stream did not finish in {timeout_s} s")
+        dropped |= _dropped(query)
+        if late := sum(dropped.values()):
+            raise RuntimeError(f"{late} rows came later than the stream's delay and were dropped; choose a longer one")
     finally:
         query.stop()
 
@@ -111,6 +133,17 @@ def table_stream(
     return reader.load(path)
 
 
+def disorder(rows: DataFrame, ts: str) -> int:
+    """Microseconds by which a table's file may lie behind what files read before it hold, wherever
+    micro-batches are cut: files are streamed in the order of their modification, equal ones in any."""
+    files = rows.select("_metadata.file_path", F.col("_metadata.file_modification_time").alias("at"), ts).groupBy("file_path", "at").agg(
+        *[F.unix_micros(x(F.col(ts)).cast("timestamp_ntz").cast("timestamp")).alias(n) for n, x in (("low", F.min), ("high", F.max))])
+    together = files.groupBy("at").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    before = F.max("high").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # a row per time of modification
+    behind = F.greatest(before, F.when(F.col("n") > 1, F.col("high"))) - F.col("low")
+    return max(together.select(behind.alias("behind")).agg(F.max("behind")).first()[0] or 0, 0)
+
+
 def as_stream(
     df: DataFrame, closing: DataFrame | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:

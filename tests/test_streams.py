@@ -133,6 +133,32 @@ def test_layout_of_a_table_makes_no_difference(spark, sf_dir, laid_out, name, la
     assert Counter(got.select(columns).collect()) == Counter(want.select(columns).collect())
 
 
+@pytest.mark.parametrize("name", ["stream_nexmark_q5", "stream_nexmark_q8", "stream_ev_hot_types"])
+def test_files_out_of_order_lose_nothing(spark, sf_dir, tmp_path, monkeypatch, name):
+    """The latest events are in the first file, and every file is a micro-batch."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = df.orderBy(F.desc("ts")).collect()
+    step = -(-len(rows) // 3)
+    for i in range(0, len(rows), step):
+        spark.createDataFrame(rows[i:i + step], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(0.05)
+    want = queries()[name](spark, sf_dir)
+    columns, expected = sorted(want.columns), want.collect()
+    monkeypatch.setattr(runs, "BATCH_BYTES", 1)
+    got = queries()[name](spark, str(tmp_path))
+    assert expected and Counter(got.select(columns).collect()) == Counter(want.select(columns).collect())
+
+
+def test_dropped_rows_are_an_error(spark):
+    df = events(spark)
+    late = in_files(spark, df.withColumn("order", -F.col("id")), "order", 3)
+    stream = runs.table_stream(spark, late, spark.read.parquet(late).schema, files_per_trigger=1).select("key", auctions.instant("ts").alias("ts"))
+    with pytest.raises(RuntimeError, match="dropped"):
+        auctions.hot_items_stream(stream, "key", "ts", "20 seconds", "10 seconds", "5 seconds", timeout_s=TIMEOUT)
+    table = spark.read.parquet(late)
+    assert runs.disorder(table, "ts") > 150_000_000 and runs.disorder(table.filter("id < 0"), "ts") == 0
+
+
 def test_a_missing_table_is_an_error(spark, sf_dir):
     with pytest.raises(FileNotFoundError):
         runs.table_stream(spark, f"{sf_dir}/nothing.parquet", spark.range(1).schema)
