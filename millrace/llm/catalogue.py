@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.sources.tables import table
 
 from . import (
-    bpe_roundtrip, decision_lists, grid_order_join, jaccard_join, language_codes, packing, prefix_counts, sharding,
-    surrogates, token_files,
+    answers, bpe_roundtrip, centroid_clustering, decision_lists, decontamination, fill_in_middle, grid_order_join, jaccard_join,
+    language_codes, packing, prefix_counts, sharding, surrogates, token_files,
 )
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = (
@@ -60,13 +60,25 @@ def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.digest(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_sharding, op2_bpe_roundtrip, op3_surrogates, op4_packing, op5_language_codes, op6_decision_lists, op7_jaccard_join,
-        op8_grid_order_join, op9_token_files, op10_prefix_counts,
+        op8_grid_order_join, op9_token_files, op10_prefix_counts, op11_decontamination, op12_fill_in_middle, op13_centroid_clustering,
     )}
 
 
 def statements() -> dict[str, str]:
-    """None yet: text_crc32, token ids and learned models have no DuckDB form."""
-    return {}
+    """Of those that SQL can express: token ids, learned models and keyed surrogates have no DuckDB form."""
+    return answers.statements()
