@@ -88,6 +88,8 @@ class Automaton:
         self.words = np.array([w.count(" ") + 1 for w, _ in block], np.int64)
         for n, (window, _) in enumerate(block):
             self.search.add_word(f" {window} ", n)
+        if not block:
+            self.search.add_word("  ", 0)  # in no normalised text; without any word there is no automaton
         self.search.make_automaton()
 
     def scan(self, text: str) -> tuple[int, np.ndarray, np.ndarray, set[int]]:
