@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.event_windows import hot_items, micros, utc_micros
+from ..operators.event_windows import micros, utc_micros
 from ..operators.row_kernels import overhead
 from ..sources.tables import table
 from ..streaming import auctions, prices
@@ -78,36 +79,25 @@ def hot_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_windows(bids, rows, "auction", EVENT_HOP_SIZE, EVENT_HOP_SLIDE, event_delay(spark, sf_dir))
 
 
-def new_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_sellers(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     """Signups as persons, purchases as the auctions they open."""
     signups = given_table_stream(spark, sf_dir, "events").filter(col("event_type") == "signup").select(
         col("user_id").alias("p_id"), F.concat(F.lit("user_"), col("user_id").cast("string")).alias("name"),
         auctions.instant("ts").alias("p_ts"))
     purchases = given_table_stream(spark, sf_dir, "events").filter(col("event_type") == "purchase").select(
         col("event_id").alias("a_id"), col("user_id").alias("seller"), auctions.instant("ts").alias("a_ts"))
-    matches = auctions.new_sellers_stream(signups, purchases, EVENT_TUMBLE, event_delay(spark, sf_dir))
+    matches = auctions.new_sellers_stream(signups, purchases, EVENT_TUMBLE, event_delay(spark, sf_dir), how=how)
     return matches.select("*", overhead())
 
 
 def all_windows(
     stream: DataFrame, rows: DataFrame, key: str, size: str, slide: str, delay: str
 ) -> DataFrame:
-    """Hot items of every window: the final ones from the stream, and those that its watermark has
-    not passed at the end of the input from the tail of the same rows as a table."""
-    # One row: the first and the last time.
-    low, high = rows.agg(F.min("ts"), F.max("ts")).select(*[utc_micros(c.cast("timestamp_ntz")) for c in (col("min(ts)"), col("max(ts)"))]).first()
-    if low is None:
-        low = high = 0
-    origin = low // micros(slide) * micros(slide)
-    final = high - micros(delay)
-    found = auctions.hot_items_stream(stream, key, "ts", size, slide, delay, origin_ms=origin // 1000)
-    ts = F.timestamp_micros(utc_micros(col("ts").cast("timestamp_ntz")))
-    # A window is open if it ends after the watermark, so nothing before its start matters.
-    tail = rows.select(key, ts.alias("ts")).filter(col("ts") >= F.timestamp_micros(F.lit(final - micros(size))))
-    counted = hot_items(tail, key, "ts", size, slide, F.timestamp_micros(F.lit(origin))).select(
-        F.unix_millis("w_start").alias("w_start"), F.unix_millis("w_end").alias("w_end"), key, "num")
-    watermark = final // 1000  # Spark keeps it in milliseconds
-    return found.filter(col("w_end") <= watermark).unionByName(counted.filter(col("w_end") > watermark))
+    """Hot items of every window, all from the stream. Of ``rows``, the same events as a table, only the
+    first time is read: windows begin with its slide."""
+    first = rows.agg(F.min("ts").alias("ts")).select(utc_micros(col("ts").cast("timestamp_ntz"))).first()[0] or 0
+    origin = first // micros(slide) * micros(slide)
+    return auctions.hot_items_stream(stream, key, "ts", size, slide, delay, origin_ms=origin // 1000, to_the_end=True)
 
 
 def hot_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +117,6 @@ def queries() -> dict[str, Query]:
         "stream_statement_set": statement_set,
         "stream_nexmark_q5": hot_auctions,
         "stream_nexmark_q8": new_sellers,
+        "stream_nexmark_q8_outer": partial(new_sellers, how="left"),
         "stream_ev_hot_types": hot_event_types,
     }

@@ -1,9 +1,11 @@
 """Hot items and new sellers as event-time streams.
 
 A window is final once the watermark (latest event time less the allowed delay)
-has passed its end. Streams emit final windows only, so what a run over the
-available input returns is the batch result up to that point. Rows later than
-the delay are dropped by Spark; choose it above the disorder of the input.
+has passed its end, and streams emit final windows only: what a run over the
+available input returns is the batch result up to that point. With ``to_the_end`` a
+closing event follows the input, so that all of its windows become final and the
+result is that of the batch. Rows later than the delay would be dropped by Spark,
+which is an error; choose it above the disorder of the input.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.event_windows import hottest, utc_micros
-from .runs import batches_to_tables, to_table
+from .runs import ClosingEvent, batches_to_tables, to_table
 
 col = F.col
 SALTS = 8
@@ -50,6 +52,7 @@ def hot_items_stream(
     delay: str,
     origin_ms: int | None = None,
     timeout_s: float | None = None,
+    to_the_end: bool = False,
 ) -> DataFrame:
     """(w_start, w_end, key, num) with bounds in epoch milliseconds.
 
@@ -58,7 +61,8 @@ def hot_items_stream(
     counts, and no window's keys are gathered in one place. Windows that start
     before ``origin_ms`` are left out.
     """
-    counts = window_counts_stream(events, key, ts, size, slide, delay)
+    closing = [ClosingEvent(events, ts)] if to_the_end else []
+    counts = window_counts_stream(closing[0].after if closing else events, key, ts, size, slide, delay)
 
     def winners(batch: DataFrame) -> DataFrame:
         hot = hottest(batch, "window").select(
@@ -69,7 +73,7 @@ def hot_items_stream(
         )
         return hot if origin_ms is None else hot.filter(col("w_start") >= origin_ms)
 
-    return batches_to_tables(counts, "hot-items", {"winners": winners}, timeout_s)["winners"]
+    return batches_to_tables(counts, "hot-items", {"winners": winners}, timeout_s, closing=closing)["winners"]
 
 
 def new_sellers_stream(
@@ -79,14 +83,25 @@ def new_sellers_stream(
     delay: str,
     timeout_s: float | None = None,
     salts: int = SALTS,
+    how: str = "inner",
 ) -> DataFrame:
     """Auctions opened in the window their seller registered in.
 
+    With ``how="left"`` an auction without such a seller gives a row of NULLs: once
+    the watermark has passed its window, and never before, since until then the
+    seller may still register. A closing event follows both inputs then, so that the
+    last windows give theirs. The salt is part of the key, so an auction meets all
+    persons that could match it in the one share it is in, and gives its NULLs once.
+
     Input persons (p_id, name, p_ts), auctions (a_id, seller, a_ts). Both sides
     are joined on key and window, so Spark drops a window's buffered rows once
     the watermark passes its end. A stateful join is never split at run time, so
     auctions are spread over ``salts`` shares and each person is in all of them.
     """
+    # The closing person has a key, the closing auction has none, so they don't match.
+    closing = [ClosingEvent(persons, "p_ts", p_id=0), ClosingEvent(auctions, "a_ts")] if how == "left" else []
+    if closing:
+        persons, auctions = (c.after for c in closing)
     p = persons.withWatermark("p_ts", delay).select(
         "p_id", "name", F.window("p_ts", size).alias("p_window"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("p_salt"),
@@ -96,14 +111,15 @@ def new_sellers_stream(
         F.pmod(F.hash("a_id"), F.lit(salts)).alias("a_salt"),
     )
     same = (col("seller") == col("p_id")) & (col("a_window") == col("p_window")) & (col("a_salt") == col("p_salt"))
-    joined = a.join(p, same)
+    joined = a.join(p, same, how)
     return to_table(
         joined.select(
             col("p_id").alias("person_id"),
             "name",
             F.unix_millis("p_window.start").alias("starttime"),
-            col("a_id").alias("auction_id"),
+            F.when(col("p_id").isNotNull(), col("a_id")).alias("auction_id"),
         ),
         "new-sellers",
         timeout_s,
+        closing=closing,
     )

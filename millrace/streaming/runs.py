@@ -9,6 +9,10 @@ RocksDB for large state). A micro-batch reads at most BATCH_BYTES.
 Rows behind the watermark would be missing from the result, so a stream that drops
 any is an error. ``disorder`` tells the delay that a table of files needs.
 
+A watermark never passes the last windows of an input that ends. ``ClosingEvent`` holds
+an event back that is later than any other, and lets it in once all else is read: the
+stream is then run on, from its checkpoint, and ends its windows itself.
+
 A caller that names the folder can run the same stream again: it goes on after
 the last batch that was finished. Without a name, the folder is the run's own.
 """
@@ -16,12 +20,13 @@ the last batch that was finished. Without a name, the folder is the run's own.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.workspace import file_system, fresh_folder
 
@@ -42,8 +47,43 @@ def _dropped(query: StreamingQuery) -> dict[int, int]:
     return found
 
 
-def finish(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None) -> None:
-    """Start a stream, process all available input, stop. Failures are raised, and dropped rows are one."""
+#: Later than any event, and early enough for windows and delays to stay within a timestamp.
+CLOSING_TIME = datetime(9000, 1, 1)
+
+
+class ClosingEvent:
+    """An event after all others, as a source of its own that is empty until ``let_in``.
+
+    Its columns are null but for the time and ``values``, and its own window stays open. The key of a
+    join's side that drops null keys needs a value: the filter for it comes before the watermark.
+    """
+
+    def __init__(self, stream: DataFrame, ts: str, **values):
+        self.spark, self.schema, self.values = stream.sparkSession, stream.schema, {**values, ts: CLOSING_TIME}
+        self.path = fresh_folder(self.spark, "closing-event")
+        system, path = file_system(self.spark, self.path)
+        system.mkdirs(path)
+        nullable = StructType([StructField(f.name, f.dataType) for f in self.schema])
+        self.after = stream.unionByName(self.spark.readStream.schema(nullable).parquet(self.path))
+
+    def let_in(self) -> None:
+        columns = [F.lit(self.values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).coalesce(1).select(*columns).write.mode("append").parquet(self.path)
+
+
+def finish(
+    writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None, closing: Sequence[ClosingEvent] = ()
+) -> None:
+    """Start a stream, process all available input, let its closing events in and process them, stop.
+    Failures are raised, and dropped rows are one."""
+    _drain(writer, checkpoint, timeout_s)
+    if closing:
+        for event in closing:
+            event.let_in()
+        _drain(writer, checkpoint, timeout_s)
+
+
+def _drain(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None) -> None:
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         # awaitTermination raises the stream's own error if it failed.
@@ -59,12 +99,14 @@ def finish(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None =
         query.stop()
 
 
-def to_table(stream: DataFrame, name: str, timeout_s: float | None = None, folder: str | None = None) -> DataFrame:
+def to_table(
+    stream: DataFrame, name: str, timeout_s: float | None = None, folder: str | None = None, closing: Sequence[ClosingEvent] = ()
+) -> DataFrame:
     """Append a stream's rows to a parquet table and return that table."""
     spark = stream.sparkSession
     base = folder or fresh_folder(spark, name)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows")
-    finish(writer, f"{base}/checkpoint", timeout_s)
+    finish(writer, f"{base}/checkpoint", timeout_s, closing)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
@@ -86,6 +128,7 @@ def batches_to_tables(
     outputs: dict[str, Callable[[DataFrame], DataFrame]],
     timeout_s: float | None = None,
     folder: str | None = None,
+    closing: Sequence[ClosingEvent] = (),
 ) -> dict[str, DataFrame]:
     """Several sinks fed from one pass: each micro-batch goes through every transform.
 
@@ -104,7 +147,7 @@ def batches_to_tables(
         finally:
             batch.unpersist()
 
-    finish(stream.writeStream.outputMode("append").foreachBatch(write), f"{base}/checkpoint", timeout_s)
+    finish(stream.writeStream.outputMode("append").foreachBatch(write), f"{base}/checkpoint", timeout_s, closing)
     tables = {}
     for output, transform in outputs.items():
         system, path = file_system(spark, f"{base}/{output}")

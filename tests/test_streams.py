@@ -133,7 +133,7 @@ def test_layout_of_a_table_makes_no_difference(spark, sf_dir, laid_out, name, la
     assert Counter(got.select(columns).collect()) == Counter(want.select(columns).collect())
 
 
-@pytest.mark.parametrize("name", ["stream_nexmark_q5", "stream_nexmark_q8", "stream_ev_hot_types"])
+@pytest.mark.parametrize("name", ["stream_nexmark_q5", "stream_nexmark_q8", "stream_nexmark_q8_outer", "stream_ev_hot_types"])
 def test_files_out_of_order_lose_nothing(spark, sf_dir, tmp_path, monkeypatch, name):
     """The latest events are in the first file, and every file is a micro-batch."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -164,6 +164,58 @@ def test_a_missing_table_is_an_error(spark, sf_dir):
         runs.table_stream(spark, f"{sf_dir}/nothing.parquet", spark.range(1).schema)
 
 
+def sides(spark):
+    """Persons and auctions over ten windows of ten seconds; of the auctions, some sellers never register."""
+    start = datetime(2024, 1, 1)
+    persons = [(i, f"p{i}", start + timedelta(seconds=i)) for i in range(100)] + [(5, "again", start + timedelta(seconds=6))]
+    opened = [(i, (i * 7) % 130, start + timedelta(seconds=i / 3)) for i in range(300)] + [(900, None, start), (901, 5, start + timedelta(seconds=9))]
+    return (spark.createDataFrame(persons, "p_id long, name string, p_ts timestamp"),
+            spark.createDataFrame(opened, "a_id long, seller long, a_ts timestamp"))
+
+
+def outer_answer(persons, opened):
+    return ew.match_in_window(opened, persons, "seller", "p_id", "a_ts", "p_ts", "10 seconds", "left").select(
+        F.col("p_id").alias("person_id"), "name", F.unix_millis("w_start").alias("starttime"),
+        F.when(F.col("p_id").isNotNull(), F.col("a_id")).alias("auction_id"))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("salts", [1, 8])
+def test_auctions_without_a_seller_give_a_row_of_nulls(spark, files, salts):
+    persons, opened = sides(spark)
+    p = runs.table_stream(spark, in_files(spark, persons, "p_ts", files), persons.schema, files_per_trigger=1)
+    a = runs.table_stream(spark, in_files(spark, opened, "a_ts", files), opened.schema, files_per_trigger=1)
+    got = auctions.new_sellers_stream(p, a, "10 seconds", "1 minute", TIMEOUT, salts, "left").collect()
+    want = outer_answer(persons, opened).collect()
+    assert Counter(got) == Counter(want) and 0 < sum(r.person_id is None for r in want) < len(want) == len(got)
+
+
+def test_rows_of_nulls_wait_for_the_watermark(spark, monkeypatch):
+    """Without the closing event the windows of the last minute may still find their sellers."""
+    monkeypatch.setattr(runs.ClosingEvent, "let_in", lambda self: None)
+    persons, opened = sides(spark)
+    got = auctions.new_sellers_stream(runs.as_stream(persons), runs.as_stream(opened), "10 seconds", "1 minute", TIMEOUT, how="left")
+    want = outer_answer(persons, opened.filter("a_ts < '2024-01-01 00:00:30'")).filter("person_id IS NULL")
+    assert got.filter("person_id IS NULL").count() == want.count() > 0
+    assert got.filter("person_id IS NOT NULL").count() == outer_answer(persons, opened).filter("person_id IS NOT NULL").count()
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_a_closing_event_ends_every_window(spark, files):
+    df = events(spark)
+    stream = runs.table_stream(spark, in_files(spark, df, "ts", files), df.schema, files_per_trigger=1).select("key", auctions.instant("ts").alias("ts"))
+    origin = df.agg(ew.utc_micros(F.min("ts"))).first()[0] // 1000
+    got = auctions.hot_items_stream(stream, "key", "ts", "20 seconds", "10 seconds", "5 seconds", origin, TIMEOUT, to_the_end=True)
+    want = ew.hot_items(df, "key", "ts", "20 seconds", "10 seconds").select(
+        *[(ew.utc_micros(F.col(w)) / 1000).cast("long").alias(w) for w in ("w_start", "w_end")], "key", "num")
+    assert Counter(got.collect()) == Counter(want.collect())
+
+
+def test_no_windows_without_events(spark):
+    empty = spark.createDataFrame([], "key string, ts timestamp")
+    assert auctions.hot_items_stream(runs.as_stream(empty), "key", "ts", "20 seconds", "10 seconds", "5 seconds", timeout_s=TIMEOUT, to_the_end=True).count() == 0
+
+
 def test_a_hot_seller_is_spread(spark):
     start = datetime(2024, 1, 1)
     persons = spark.createDataFrame([(i, f"p{i}", start) for i in range(9)], "p_id long, name string, p_ts timestamp")
