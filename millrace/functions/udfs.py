@@ -8,6 +8,7 @@ same values. Use the native twin in a real plan.
 from __future__ import annotations
 
 import math
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..sources.fixed_values import DAY_1998_09_02, ERF_A, ERF_P
 
@@ -220,22 +224,96 @@ def geometric_mean_batches(df: DataFrame, group: str, value: str) -> DataFrame:
     return parts.groupBy(group).agg(F.coalesce(mean, F.lit(1.0)).alias("geomean"))
 
 
-def lookup_in_tasks(df: DataFrame, lookup: DataFrame, key: str, value: str, most_rows: int = 10_000) -> DataFrame:
-    """Add ``value`` by looking ``key`` up in a table that each task indexes once.
+#: Rows and keys that one task of a lookup holds at a time.
+SHARE_ROWS = 200_000
 
-    The table travels with the function, so the caller has to know that it is
-    small: a table of more than ``most_rows`` keys is an error - join it. Of
-    several values of a key, the smallest is taken; keys not found give null.
+
+def dealt_shares(rows: DataFrame, entries: DataFrame, key: str, share_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows, and entries (key, value) with one row per key, with ``share`` and ``part``: where they meet.
+
+    Keys are dealt into shares by hash. Of a key with more rows than a share holds, the rows are dealt into
+    as many parts as they fill, and its entry goes to each."""
+    counted = rows.groupBy(F.col(key).alias("busy")).agg(F.count(F.lit(1)).alias("n"))
+    total = (counted.agg(F.sum("n")).first()[0] or 0) + entries.count()
+    shares = F.lit(max(1, math.ceil(total / share_rows)))
+    busy = counted.filter(F.col("n") > share_rows).select("busy", F.ceil(F.col("n") / share_rows).alias("parts"))
+    # Which part a row is in follows from its columns and the task that reads it: equal rows are spread too.
+    hashed = [F.col(n) for n, t in rows.dtypes if not re.search("map|variant", t)]
+    placed = rows.withColumn("spread", F.xxhash64(F.spark_partition_id(), *hashed)).join(busy, F.col(key).eqNullSafe(F.col("busy")), "left")
+    placed = placed.select(
+        *rows.columns, F.pmod(F.xxhash64(key), shares).alias("share"), F.pmod("spread", F.coalesce("parts", F.lit(1))).alias("part"))
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
+    index = entries.join(busy, F.col("key") == F.col("busy"), "left").select(
+        "key", "value", F.pmod(F.xxhash64("key"), shares).alias("share"), F.explode(parts).alias("part"))
+    return placed, index
+
+
+def lookup_in_tasks(df: DataFrame, lookup: DataFrame, key: str, value: str, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """Add ``value`` by looking ``key`` up in an index that each task builds of its share of the table.
+
+    Both tables are dealt into shares and meet share by share, so either may be of any size, and so may be
+    the rows of one key. Of several values of a key, the smallest is taken; keys not found, and null ones,
+    give null. ``value`` must not be a column of ``df``.
     """
-    rows = lookup.groupBy(key).agg(F.min(value).alias(value)).take(most_rows + 1)
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} keys do not travel with a function: join the table")
-    index = pd.Series({r[0]: r[1] for r in rows}, dtype=object)
-    value_type = dict(lookup.dtypes)[value]
+    inner = {c: f"c{n}" for n, c in enumerate(df.columns)}
+    rows = df.select(*[F.col(quoted(c)).alias(n) for c, n in inner.items()])
+    entries = lookup.filter(F.col(quoted(key)).isNotNull()).groupBy(F.col(quoted(key)).alias("key")).agg(F.min(quoted(value)).alias("value"))
+    placed, index = dealt_shares(rows, entries, inner[key], share_rows)
+
+    def add(part: pa.Table, known: pa.Table) -> pa.Table:
+        place = pc.index_in(part[inner[key]], value_set=known["key"].combine_chunks())
+        return part.select(list(inner.values())).append_column("value", known["value"].take(place))
+
+    schema = ", ".join(f"{n} {t}" for n, t in [*rows.dtypes, ("value", dict(entries.dtypes)["value"])])
+    met = placed.groupBy("share", "part").cogroup(index.groupBy("share", "part")).applyInArrow(add, schema)
+    return met.toDF(*df.columns, value)
+
+
+class PriceProgress:
+    """Table function over a table argument: a running report of each partition, in the order of its rows.
+
+    The argument has columns ``part``, ``id`` and ``price``; the caller partitions it by ``part`` and orders
+    it by ``id``. After every ``every`` rows, and at the end of the partition, a row tells how many rows
+    there were, the last id, the sum of their stepped prices in hundredths, and the nanoseconds they took.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, every: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the first argument is a table")
+        if not isinstance(every.value, int) or every.value < 1:
+            raise ValueError("the second argument is a positive number of rows")
+        missing = {"part", "id", "price"} - set(rows.dataType.names)
+        if missing:
+            raise ValueError(f"the table lacks {sorted(missing)}")
+        report = StructType().add("part", rows.dataType["part"].dataType).add("rows", "long")
+        return AnalyzeResult(report.add("last_id", rows.dataType["id"].dataType).add("total_cents", "long").add("spent_ns", "long"))
+
+    def __init__(self):
+        self.rows = self.cents = self.spent = self.reported = 0
+        self.part = self.last = None
+
+    def eval(self, row, every: int):
+        started = time.perf_counter_ns()
+        self.part, self.last = row["part"], row["id"]
+        if row["price"] is not None:
+            self.cents += round((row["price"] + 1) * 100)
+        self.rows += 1
+        self.spent += time.perf_counter_ns() - started
+        if self.rows % every == 0:
+            self.reported = self.rows
+            yield self._report()
+
+    def terminate(self):
+        if self.rows > self.reported:
+            yield self._report()
+
+    def _report(self):
+        return self.part, self.rows, self.last, self.cents, self.spent
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{value: batch[key].map(index)})
 
-    schema = ", ".join(f"{quoted(c)} {t}" for c, t in [*df.dtypes, (value, value_type)])
-    return df.mapInPandas(add, schema)
+def price_progress(df: DataFrame, part: Column, order: Column, price: Column, every: int) -> DataFrame:
+    """(part, rows, last_id, total_cents, spent_ns) of each partition, every so many rows and at its end.
+    A partition is read by one task, row by row: choose ones of bounded size."""
+    rows = df.select(part.alias("part"), order.alias("id"), price.alias("price"))
+    return F.udtf(PriceProgress)(rows.asTable().partitionBy("part").orderBy("id"), F.lit(every))

@@ -38,6 +38,62 @@ def run_report(df: DataFrame, tag: str, input_rows: int, expected_rows: int = -1
     )
 
 
+def function_overhead(
+    df: DataFrame, tag: str, duration: str, further: dict[str, Column] | None = None, at_once: int | None = None
+) -> DataFrame:
+    """What a function costs inside a running query: one row (tag, rows, wall_s, function_s, mean_function_ns,
+    mean_overhead_ns, rows_per_s, and what ``further`` aggregates).
+
+    ``duration`` is the column of nanoseconds that each row spent in the function, null where it was not
+    called. Rows, nanoseconds and further aggregates are observed in the pass that is timed, which goes to
+    the noop sink: nothing is computed twice, and each task sends one row of sums.
+
+    Overhead is the time the tasks had less the time in the function, by row: transport, the plan around
+    the function, scheduling and idle slots. The tasks have as many times the wall time as run ``at_once``:
+    unless told, the tasks of the last stage or the session's parallelism, whichever is less. Where one
+    task runs at a time, that is the wall time less the function's time. Without rows all means are null.
+    """
+    further = further or {}
+    seen = Observation(f"overhead of {tag}")
+    task = "task of the observed pass"
+    metrics = {
+        "rows": F.count(F.lit(1)), "function_ns": F.coalesce(F.sum(duration), F.lit(0)).cast("long"), "last_task": F.max(f"`{task}`"), **further,
+    }
+    observed = df.withColumn(task, F.spark_partition_id()).observe(seen, *[c.alias(n) for n, c in metrics.items()])
+    started = time.perf_counter()
+    discard(observed)
+    wall = time.perf_counter() - started
+    found = seen.get
+    rows, function_ns = found["rows"], found["function_ns"]
+    if at_once is None:
+        at_once = min(df.sparkSession.sparkContext.defaultParallelism, (found["last_task"] or 0) + 1)
+    had_ns = wall * 1e9 * at_once
+    report = df.sparkSession.createDataFrame(
+        [(tag, rows, at_once, wall, function_ns / 1e9, function_ns / rows if rows else None, (had_ns - function_ns) / rows if rows else None,
+          rows / wall if rows else None)],
+        "tag string, rows long, at_once long, wall_s double, function_s double, mean_function_ns double, mean_overhead_ns double, rows_per_s double",
+    )
+    kinds = observed.select(*[c.alias(n) for n, c in further.items()]).dtypes if further else []
+    return report.select("*", *[F.lit(found[n]).cast(kind).alias(n) for n, kind in kinds])
+
+
+def overhead_by_batch(progress: list[dict], observation: str) -> list[dict]:
+    """The same by micro-batch of a stream that observes ``rows`` and ``function_ns`` under this name: from
+    the progress Spark keeps, one entry per batch that had rows. As a batch ends, its sums begin anew."""
+    found = {}
+    for batch in progress:
+        seen = (batch.get("observedMetrics") or {}).get(observation)
+        if not seen or not seen["rows"]:
+            continue
+        rows, wall_ns = seen["rows"], batch["durationMs"]["triggerExecution"] * 1_000_000
+        function_ns = seen["function_ns"] or 0
+        found[batch["batchId"]] = {
+            "batch": batch["batchId"], "rows": rows, "mean_function_ns": function_ns / rows,
+            "mean_overhead_ns": (wall_ns - function_ns) / rows, "rows_per_s": rows * 1e9 / max(wall_ns, 1),
+        }
+    return list(found.values())
+
+
 def _captured(pattern: str) -> Column:
     return F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
 
@@ -134,6 +190,19 @@ def comparison_table(measured: DataFrame) -> DataFrame:
     return body.unionByName(foot)
 
 
+def wide_table(cells: DataFrame) -> DataFrame:
+    """The comparison table with a row per benchmark: (seq, benchmark, unit, values), where ``values`` maps
+    each file to its value, in the order of the files' names. However many files there are, their names
+    are data: none is known to the plan or the driver. Parts of a map are made in every task and put together."""
+    entries = F.array_sort(F.collect_list(F.struct("file", "value")))
+    return cells.groupBy("seq", "benchmark", "unit").agg(F.map_from_entries(entries).alias("values"))
+
+
+def with_columns(wide: DataFrame, files: list[str]) -> DataFrame:
+    """Columns for some of the files, cut from the map; null where a file has no value."""
+    return wide.select("seq", "benchmark", "unit", *[F.try_element_at("values", F.lit(f)).alias(f) for f in files])
+
+
 def side_by_side(cells: DataFrame, files: list[str]) -> DataFrame:
     """The comparison table with a column for each of the files the caller names."""
     return cells.groupBy("seq", "benchmark", "unit").pivot("file", files).agg(F.first("value"))

@@ -63,6 +63,15 @@ COMPARED = (
 )
 
 
+WIDE = (
+    f"{COMPARED}, cells AS (SELECT 0 AS seq, benchmark, unit, file, scaled AS value FROM s UNION ALL "
+    "SELECT 1 AS seq, 'geometric mean' AS benchmark, 'NA' AS unit, file, geomean AS value FROM g) "
+    "SELECT seq, benchmark, unit, count(*) AS n_files, min(file) AS first_file, round(arg_min(value, file), 6) AS first_value, "
+    "max(file) AS last_file, round(arg_max(value, file), 6) AS last_value, "
+    "string_agg(file || '=' || CAST(round_even(value * 1000000, 0) AS BIGINT), ';' ORDER BY file) AS cells FROM cells GROUP BY ALL"
+)
+
+
 def statements() -> dict[str, str]:
     return {
         "src_driver_tables": " UNION ALL ".join(
@@ -79,6 +88,7 @@ def statements() -> dict[str, str]:
         "bench_compare": f"{COMPARED} SELECT file, benchmark, round(ratio, 6) AS ratio FROM c",
         "bench_summary": f"{COMPARED} SELECT file, round(geomean, 6) AS geomean FROM g",
         "bench_units": f"{COMPARED} SELECT file, benchmark, unit, round(scaled, 6) AS scaled FROM s",
+        "bench_wide": WIDE,
         "bench_pivot": (
             f"{COMPARED} SELECT 0 AS seq, benchmark, unit, file, round(scaled, 6) AS value FROM s UNION ALL "
             "SELECT 1 AS seq, 'geometric mean' AS benchmark, 'NA' AS unit, file, round(geomean, 6) AS value FROM g"

@@ -121,6 +121,19 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("value", F.round("value", 6))
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table, with its first and last file as columns, and all of it in millionths as one text."""
+    values, files = col("values"), F.map_keys("values")
+    cell = F.transform(F.map_entries(values), lambda e: F.concat_ws(
+        "=", e["key"], F.rint(e["value"] * 1_000_000).cast("long").cast("string")))
+    first, last = F.element_at(files, 1), F.element_at(files, -1)
+    return reports.wide_table(reports.comparison_table(measurements(spark, sf_dir))).select(
+        "seq", "benchmark", "unit", F.size(values).cast("long").alias("n_files"), first.alias("first_file"),
+        F.round(F.element_at(values, first), 6).alias("first_value"), last.alias("last_file"),
+        F.round(F.element_at(values, last), 6).alias("last_value"), F.array_join(cell, ";").alias("cells"),
+    )
+
+
 def timed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = row_count(spark, sf_dir, "lineitem")
     report = reports.run_report(KERNELS["tpch_q6"](row_input(spark, sf_dir, "tpch_q6")), "tpch_q6", rows, rows)
@@ -139,4 +152,5 @@ def queries() -> dict[str, Query]:
         "bench_summary": compare_summary,
         "bench_units": units,
         "bench_pivot": pivot,
+        "bench_wide": wide,
     }

@@ -19,9 +19,9 @@ What the given tables lack is a stated function of what they have:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import fixed_values as fx
@@ -94,12 +94,15 @@ def with_parts(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_part_quantities(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """avg_quantity of the part, ps_availqty and shipped_qty of the part and supplier."""
+    """avg_quantity of the part, ps_availqty and shipped_qty of the part and supplier. The lines are
+    aggregated once; the part's numbers are sums over its few rows of that."""
+    part = Window.partitionBy("k_part")
     by_supplier = table(spark, sf_dir, "lineitem").groupBy(col("l_partkey").alias("k_part"), col("l_suppkey").alias("k_supp")).agg(
         F.sum("l_quantity").alias("shipped_qty"), F.count("*").alias("n"))
-    of_part = by_supplier.groupBy(col("k_part").alias("a_part")).agg(
-        (F.sum("shipped_qty") / F.sum("n")).alias("avg_quantity"), (F.sum("shipped_qty") / F.count("*")).alias("ps_availqty"))
-    both = by_supplier.join(of_part, col("k_part") == col("a_part")).drop("a_part", "n")
+    shipped = F.sum("shipped_qty").over(part)
+    both = by_supplier.select(
+        "k_part", "k_supp", "shipped_qty", (shipped / F.sum("n").over(part)).alias("avg_quantity"),
+        (shipped / F.count("*").over(part)).alias("ps_availqty"))
     return df.join(both, (col("l_partkey") == col("k_part")) & (col("l_suppkey") == col("k_supp")))
 
 
@@ -108,17 +111,19 @@ def with_order_quantities(df: DataFrame, spark: SparkSession, sf_dir: str) -> Da
     return df.join(totals, col("l_orderkey") == col("k_order"))
 
 
-def with_other_suppliers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an order has another supplier, and one that was late: by the smallest and largest keys,
-    so that an order's lines are never paired."""
+def with_order_and_other_suppliers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order's status and commit date, whether it has another supplier, and one that was late: by the
+    smallest and largest keys, so that an order's lines are never paired. The orders are joined once, to
+    tell which lines are late; what is kept of them is then a row per order, and that meets the lines."""
     late = F.when(col("l_receiptdate_days") > col("l_commitdate_days"), col("l_suppkey"))
-    seen = with_orders(lines(spark, sf_dir), spark, sf_dir).groupBy(col("l_orderkey").alias("k_order")).agg(
-        F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"), F.min(late).alias("late_low"), F.max(late).alias("late_high"))
+    order = with_orders(lines(spark, sf_dir), spark, sf_dir).groupBy(
+        col("l_orderkey").alias("k_order"), "o_orderstatus", "l_commitdate_days"
+    ).agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"), F.min(late).alias("late_low"), F.max(late).alias("late_high"))
 
     def other(low: str, high: str) -> Column:
         return F.when((col(low) != col("l_suppkey")) | (col(high) != col("l_suppkey")), 1).otherwise(0)
 
-    return df.join(seen, col("l_orderkey") == col("k_order")).withColumns(
+    return df.join(order, col("l_orderkey") == col("k_order")).withColumns(
         {"has_other_supplier": other("low", "high"), "other_also_late": other("late_low", "late_high")}
     )
 
@@ -150,7 +155,7 @@ STEPS: dict[str, tuple[Step, ...]] = {
     "tpch_q10": (with_customers,), "tpch_q11": (with_suppliers, with_parts, with_part_quantities), "tpch_q12": (with_orders,),
     "tpch_q14": (with_parts,), "tpch_q15": (), "tpch_q16": (with_suppliers, with_parts),
     "tpch_q17": (with_parts, with_part_quantities), "tpch_q18": (with_customers, with_order_quantities), "tpch_q19": (with_parts,),
-    "tpch_q20": (with_suppliers, with_parts, with_part_quantities), "tpch_q21": (with_orders, with_suppliers, with_other_suppliers),
+    "tpch_q20": (with_suppliers, with_parts, with_part_quantities), "tpch_q21": (with_suppliers, with_order_and_other_suppliers),
 }
 
 
@@ -179,28 +184,37 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the names that belong to them."""
-    rows = with_parts(lines(spark, sf_dir), spark, sf_dir)
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), col("n_regionkey") == col("r_regionkey"))
-    return rows.join(suppliers, col("l_suppkey") == col("s_suppkey")).join(
-        nation.select("n_nationkey", "n_name", "r_name"), col("s_nationkey") == col("n_nationkey"))
+def names(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> DataFrame:
+    """Lines with those of the names that belong to them: only the tables that hold one are joined."""
+    rows = lines(spark, sf_dir)
+    if any(c.startswith("p_") for c in wanted):
+        rows = with_parts(rows, spark, sf_dir)
+    places = {"n_name", "r_name"} & set(wanted)
+    if places or "s_name" in wanted:
+        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        if places:
+            nation = table(spark, sf_dir, "nation")
+            if "r_name" in places:
+                nation = nation.join(table(spark, sf_dir, "region"), col("n_regionkey") == col("r_regionkey"))
+            suppliers = suppliers.join(nation.select("n_nationkey", *places), col("s_nationkey") == col("n_nationkey"))
+        rows = rows.join(suppliers, col("l_suppkey") == col("s_suppkey"))
+    return rows.select(*wanted)
 
 
 def _strings(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         outputs = ["s_in"] if len(columns) == 1 else [f"s_in{n}" for n in range(1, len(columns) + 1)]
-        return names(spark, sf_dir).select(*[col(c).alias(o) for c, o in zip(columns, outputs, strict=True)])
+        return names(spark, sf_dir, columns).select(*[col(c).alias(o) for c, o in zip(columns, outputs, strict=True)])
 
     return build
 
 
+NUMBERS = {"a": "l_quantity", "b": "l_discount", "c": "l_tax", "d": "l_extendedprice", "s_in": "s_name"}
+
+
 def sums(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        named = dict(zip("abcd", ("l_quantity", "l_discount", "l_tax", "l_extendedprice"), strict=True))
-        return names(spark, sf_dir).select(
-            *[col(named[c]).alias(c) if c in named else col("s_name").alias(c) for c in columns])
+        return names(spark, sf_dir, [NUMBERS[c] for c in columns]).select(*[col(NUMBERS[c]).alias(c) for c in columns])
 
     return build
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,22 +11,26 @@ from pyspark.sql import functions as F
 from ..functions.numeric import geometric_mean
 from ..functions.udfs import (
     PRICING_INPUTS,
+    TRANSPORTS,
     call_struct,
     call_struct_sql,
     geometric_mean_batches,
     lookup_in_tasks,
     norm_cdf_udf,
+    price_progress,
     price_step,
     pricing_udf,
     string_batch_udf,
 )
-from ..operators.row_kernels import overhead
+from ..operators.reports import function_overhead
+from ..operators.row_kernels import KERNELS, overhead
 from ..sources.tables import table
 from .generated import kernel_input, priced_lines
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 STRINGS = 8
+REPORT_EVERY = 100
 
 
 def price_rows(spark: SparkSession, sf_dir: str, transport: str) -> DataFrame:
@@ -42,6 +47,29 @@ def _without_timing(df: DataFrame) -> DataFrame:
     return df.drop("py_duration").select("*", overhead())
 
 
+def pricing_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pricing kernel by every transport and natively, each in one observed pass: mean time in the
+    function, mean overhead and rows per second, beside what the pass computed."""
+    lines = priced_lines(spark, sf_dir)
+    computed = {"passed": F.sum("passed_filter"), "charged_cents": F.sum(F.rint(col("charge") * 100).cast("long"))}
+    reports = [
+        function_overhead(call_struct(lines, pricing_udf(transport), PRICING_INPUTS), transport, "py_duration", computed)
+        for transport in TRANSPORTS
+    ]
+    native = KERNELS["tpch_q1"](lines).withColumn("py_duration", F.lit(None).cast("long"))
+    reports.append(function_overhead(native, "native", "py_duration", computed))
+    return reduce(DataFrame.unionAll, reports)
+
+
+def pricing_overhead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the times, but whether they are there and add up."""
+    report = pricing_overhead(spark, sf_dir)
+    had = col("wall_s") * col("at_once") * 1e9 / col("rows")
+    sums = F.abs(col("mean_function_ns") + col("mean_overhead_ns") - had) < 1e-6 * had
+    called = (col("mean_function_ns") > 0) == (col("tag") != "native")
+    return report.select("tag", "rows", "passed", "charged_cents", (sums & called & (col("rows_per_s") > 0)).alias("timed"))
+
+
 def cdf_rows(spark: SparkSession, sf_dir: str, transport: str) -> DataFrame:
     values = kernel_input(spark, sf_dir, "norm_cdf")
     result = norm_cdf_udf(transport)("v")
@@ -78,6 +106,12 @@ def priced_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_step(stamped).select("id", "price")
 
 
+def progress_of_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running report of each kind of event and day, every hundred events and at the end."""
+    part = F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd"))
+    return price_progress(table(spark, sf_dir, "events"), part, col("event_id"), col("value"), REPORT_EVERY).drop("spent_ns")
+
+
 def priced_natively(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_prices(spark, sf_dir).select("id", (col("price") + 1.0).alias("price"))
 
@@ -96,6 +130,8 @@ def geomeans_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "x_str16_arrow": strings_in_batches,
+        "udf_overhead": pricing_overhead,
+        "udf_overhead_rows": pricing_overhead_rows,
         "udf_scalar_struct": price_rows_sql,
         "udf_arrow_scalar": lambda spark, sf_dir: price_rows(spark, sf_dir, "arrow"),
         "udf_pandas_struct": lambda spark, sf_dir: price_rows(spark, sf_dir, "pandas"),
@@ -103,6 +139,7 @@ def queries() -> dict[str, Query]:
         "udf_pandas_norm_cdf": lambda spark, sf_dir: cdf_rows(spark, sf_dir, "pandas"),
         "udf_closure_lookup": customer_nations,
         "udtf_price": priced_by_table_function,
+        "udtf_price_progress": progress_of_prices,
         "udf_timed_java_equiv": priced_natively,
         "udaf_geomean": geomeans,
         "udaf_geomean_pandas": geomeans_in_batches,

@@ -72,27 +72,31 @@ class ClosingEvent:
 
 
 def finish(
-    writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None, closing: Sequence[ClosingEvent] = ()
+    writer: DataStreamWriter, checkpoint: str, timeout_s: float | None = None, closing: Sequence[ClosingEvent] = (),
+    watch: Callable[[list], None] | None = None,
 ) -> None:
     """Start a stream, process all available input, let its closing events in and process them, stop.
-    Failures are raised, and dropped rows are one."""
-    _drain(writer, checkpoint, timeout_s)
+    Failures are raised, and dropped rows are one. ``watch`` is handed the latest progresses again and again."""
+    _drain(writer, checkpoint, timeout_s, watch)
     if closing:
         for event in closing:
             event.let_in()
-        _drain(writer, checkpoint, timeout_s)
+        _drain(writer, checkpoint, timeout_s, watch)
 
 
-def _drain(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None) -> None:
+def _drain(writer: DataStreamWriter, checkpoint: str, timeout_s: float | None, watch: Callable[[list], None] | None) -> None:
+    watch = watch or (lambda progress: None)
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         # awaitTermination raises the stream's own error if it failed.
         end, dropped = None if timeout_s is None else time.monotonic() + timeout_s, {}
         while not query.awaitTermination(POLL_S):
             dropped |= _dropped(query)  # only the last progresses are kept
+            watch(query.recentProgress)
             if end is not None and time.monotonic() > end:
                 raise TimeoutError(f"stream did not finish in {timeout_s} s")
         dropped |= _dropped(query)
+        watch(query.recentProgress)
         if late := sum(dropped.values()):
             raise RuntimeError(f"{late} rows came later than the stream's delay and were dropped; choose a longer one")
     finally:

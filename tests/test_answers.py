@@ -23,8 +23,12 @@ def con(sf_dir):
     return open_tables(sf_dir)
 
 
+#: Measured times, which differ from run to run. What is the same in every run is ``udf_overhead_rows``.
+MEASURED = {"udf_overhead"}
+
+
 def test_every_query_has_an_answer():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) | MEASURED
 
 
 def test_entry(spark):

@@ -12,7 +12,7 @@ ROOT = pathlib.Path(__file__).resolve().parent.parent
 # The training-data operators have tests of their own.
 QUERIES = {n: q for n, q in queries().items() if not re.match(r"op\d+_|pipeline$", n)}
 PYTHON_ON_PURPOSE = ("udf_", "udtf_", "udaf_geomean_pandas", "x_str16_arrow", "stream_", "run_report")
-BATCH = [n for n in QUERIES if not n.startswith(("stream_", "src_stream", "run_report"))]
+BATCH = [n for n in QUERIES if not n.startswith(("stream_", "src_stream", "run_report", "udf_overhead"))]
 
 
 LARGER_DIR = "/root/testdata/sf0.01"
@@ -55,6 +55,28 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     }
 
 
+#: Scans and joins when nothing is broadcast: of the tables whose columns a kernel reads, and no others.
+SHAPES = {
+    "x_str0": (1, 0), "x_str2": (2, 1), "x_len_medium": (2, 1), "x_str4": (3, 2), "x_len_short": (3, 2), "x_str6": (4, 3), "x_str8": (5, 4),
+    "rows_tpch_q17": (3, 2), "rows_tpch_q11": (6, 5), "rows_tpch_q20": (6, 5),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_kernels_join_what_their_columns_need(spark, sf_dir, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (len(re.findall("FileScan parquet", plan)), len(re.findall("SortMergeJoin", plan))) == SHAPES[name], plan
+
+
+def test_late_orders_are_joined_once(spark, sf_dir):
+    plan = plan_of(QUERIES["rows_tpch_q21"](spark, sf_dir))
+    assert len(re.findall(r"FileScan parquet [^\n]*o_orderstatus", plan)) == 1 and len(re.findall(r"FileScan parquet [^\n]*l_orderkey", plan)) == 2
+
+
 @pytest.mark.parametrize("name", [n for n in BATCH if n.startswith(("tpch_", "ev_", "log_", "bench_"))])
 def test_results_are_not_empty(spark, name):
     assert QUERIES[name](spark, LARGER_DIR).limit(1).count() == 1

@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from millrace.functions import udfs
 from millrace.functions.numeric import display_unit, geometric_mean, in_unit
 from millrace.operators import reports
@@ -13,6 +14,7 @@ from millrace.sources.bench_results import read_bench_results
 from millrace.sources.generated import wide_table
 from millrace.sources.run_logs import read_run_log, write_run_log
 from millrace.sources.tables import table
+from millrace.streaming import prices, runs
 
 
 def run(*values, name=None):
@@ -163,12 +165,62 @@ def test_lookup_in_tasks(spark):
     rows = spark.range(100).select("id", (F.col("id") % 12).alias("k"))
     lookup = spark.range(20).select((F.col("id") % 10).alias("k"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("name"))
     mapped = udfs.lookup_in_tasks(rows, lookup, "k", "name")
-    assert "MapInPandas" in plan_of(mapped) and mapped.columns == ["id", "k", "name"]
+    assert "FlatMapCoGroupsInArrow" in plan_of(mapped) and mapped.columns == ["id", "k", "name"]
     # Of two values the smaller; no value, no row lost.
     assert {(r.id, r.k, r.name) for r in mapped.collect()} == {
         (n, n % 12, f"n{n % 12:02d}" if n % 12 < 10 else None) for n in range(100)}
-    with pytest.raises(ValueError):
-        udfs.lookup_in_tasks(rows, lookup, "k", "name", most_rows=9)
+
+
+@pytest.mark.parametrize("share_rows", [7, 50, 10_000])
+def test_lookup_in_shares_with_hot_and_null_keys(spark, share_rows):
+    """A third of the rows on one key, a fifth without any, equal rows among them, and a null key in the table."""
+    data = [(n if n % 4 else 7, "k1" if n % 3 == 0 else None if n % 5 == 0 else f"k{n % 40}") for n in range(600)] + [(1, "k1")] * 200
+    rows = spark.createDataFrame(data, "`the id` long, `value` string").repartition(5).withColumnRenamed("value", "share")
+    lookup = spark.createDataFrame([(f"k{n}", n) for n in range(30)] + [(None, 99), ("k1", 0)], "share string, part long")
+    got = udfs.lookup_in_tasks(rows, lookup, "share", "part", share_rows)
+    known = {f"k{n}": n for n in range(30)} | {"k1": 0}
+    assert got.columns == ["the id", "share", "part"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, k, known.get(k)) for i, k in data), key=repr)
+    assert udfs.lookup_in_tasks(rows, lookup.limit(0), "share", "part", share_rows).filter("part IS NOT NULL").count() == 0
+    assert udfs.lookup_in_tasks(rows.limit(0), lookup, "share", "part", share_rows).count() == 0
+
+
+def test_no_share_of_a_lookup_is_much_larger_than_asked_for(spark):
+    rows = spark.range(6000, numPartitions=8).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("c0"), F.lit("same").alias("c1"))
+    entries = spark.range(500).select(F.col("id").alias("key"), F.col("id").alias("value"))
+    placed, index = udfs.dealt_shares(rows, entries, "c0", 400)
+    sizes = [r["count"] for r in placed.groupBy("share", "part").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000 and len(sizes) > 15
+    assert index.filter("key = 1").count() == 5 and index.count() == 504
+
+
+def test_progress_of_partitions_in_order(spark):
+    data = [(n, "ab"[n % 2], float(n) if n % 7 else None) for n in range(25)]
+    df = spark.createDataFrame(data, "id long, kind string, price double").repartition(4)
+    got = udfs.price_progress(df, F.col("kind"), F.col("id"), F.col("price"), 5)
+    want = set()
+    for kind in "ab":
+        own = [r for r in data if r[1] == kind]
+        for n in range(len(own)):
+            if (n + 1) % 5 == 0 or n == len(own) - 1:
+                want.add((kind, n + 1, own[n][0], sum(round((p + 1) * 100) for _, _, p in own[:n + 1] if p is not None)))
+    rows = got.collect()
+    assert {tuple(r)[:4] for r in rows} == want and len(rows) == len(want) and all(r.spent_ns > 0 for r in rows)
+    assert udfs.price_progress(df.limit(0), F.col("kind"), F.col("id"), F.col("price"), 5).count() == 0
+    for every in (0, -1):
+        with pytest.raises(Exception, match="positive"):
+            udfs.price_progress(df, F.col("kind"), F.col("id"), F.col("price"), every).collect()
+
+
+def test_wide_table_of_any_files(spark):
+    rows = [(f"f{n % 5}", b, float(v)) for n in range(20) for b, v in (("x", n + 1), ("y", 2 * n + 1))]
+    cells = reports.comparison_table(spark.createDataFrame(rows, "file string, benchmark string, value double"))
+    wide = reports.wide_table(cells)
+    got = {r.benchmark: r["values"] for r in wide.collect()}
+    assert set(got) == {"x", "y", reports.SUMMARY_LABEL} and all(list(v) == [f"f{n}" for n in range(5)] for v in got.values())
+    assert {(r.benchmark, r.file): r.value for r in cells.collect()} == {(b, f): x for b, v in got.items() for f, x in v.items()}
+    cut, pivoted = reports.with_columns(wide, ["f1", "f9"]), reports.side_by_side(cells, ["f1", "f9"])
+    assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, pivoted.collect()), key=repr)
 
 
 def test_two_table_functions_at_once_and_their_report(spark):
@@ -184,3 +236,28 @@ def test_comparison_of_many_files(spark):
     many = spark.range(1500).select(
         F.format_string("f%05d", "id").alias("file"), F.lit("b").alias("benchmark"), (F.col("id") + 1).cast("double").alias("value"))
     assert reports.comparison_table(many).count() == 3000
+
+
+def test_overhead_is_what_the_tasks_had_less_the_function(spark):
+    df = spark.range(1000, numPartitions=4).select("id", (F.col("id") * 10).alias("spent"), F.when(F.col("id") > 5, 1).alias("x"))
+    r = reports.function_overhead(df, "t", "spent", {"x": F.sum("x"), "top": F.max("id")}).first()
+    assert (r.tag, r.rows, r.x, r.top, r.at_once) == ("t", 1000, 994, 999, 4) and r.mean_function_ns == 4995
+    assert abs(r.mean_function_ns + r.mean_overhead_ns - r.wall_s * 4e9 / 1000) < 1e-3 and abs(r.rows_per_s - 1000 / r.wall_s) < 1e-6
+    assert reports.function_overhead(df, "t", "spent", at_once=1).first().at_once == 1
+    nothing = reports.function_overhead(df.filter("id < 0").withColumn("spent", F.lit(None).cast("long")), "none", "spent").first()
+    assert nothing.rows == 0 and nothing.mean_function_ns is None and nothing.mean_overhead_ns is None
+
+
+def test_every_transport_has_its_times(spark, sf_dir):
+    report = {r.tag: r for r in queries()["udf_overhead"](spark, sf_dir).collect()}
+    assert set(report) == {"row", "arrow", "pandas", "native"}
+    assert report["native"].mean_function_ns == 0 and all(report[t].mean_function_ns > 0 for t in ("row", "arrow", "pandas"))
+    assert len({(r.rows, r.passed, r.charged_cents) for r in report.values()}) == 1
+
+
+def test_overhead_of_a_stream_by_micro_batch(spark):
+    rows = spark.range(300).repartition(3).select("id", F.col("id").cast("double").alias("price"))
+    found = prices.step_overhead(runs.as_stream(rows, files_per_trigger=1), 180).collect()
+    assert len(found) == 3 and sum(r.rows for r in found) == 300
+    assert all(r.mean_function_ns > 0 and r.mean_overhead_ns > 0 and r.rows_per_s > 0 for r in found)
+    assert prices.step_overhead(runs.as_stream(rows.limit(0)), 180).count() == 0
