@@ -16,11 +16,17 @@ A tile emits, for each text, how many documents it is linked to, and edges that
 connect the linked ones. So a group of k near copies costs k * k comparisons of
 numbers, but never k * k rows.
 
-Equal texts are one set, and count with their copies. Defined cases: a text of
-fewer words than an n-gram is one n-gram; null texts and texts without a word are
-linked with nothing; rows that repeat a key are further copies if the text is the
-same, and texts of their own if not; null keys are kept; an empty table gives no
-rows; other columns are not read.
+Equal texts are one set, and count with their copies: from the first grouping on, a
+text is one row, however many rows of the table hold it. Texts themselves are fetched
+again only for candidates, one row for each, by their hashes: a filter of the
+candidates' hashes keeps all other texts out of the shuffle, at every size.
+
+Of a class one row stays: that with the smallest key, null keys last, and of equal keys
+that with the smallest content. Defined cases: a text of fewer words than an n-gram is
+one n-gram; null texts and texts without a word are linked with nothing, and stay; rows
+that repeat a key are further copies if the text is the same, and texts of their own if
+not; the class of texts that all lack a key has no class id, but one of them stays; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import components, spanning_between, spanning_edges
-from .shared import Rows, own_columns, spread, strings, written
+from .shared import HashFilter, Rows, dropped, own_columns, spread, strings, written
 from .shingles import BASE, WORDS, mixed, shingles
 
 THRESHOLD = 0.8
@@ -196,15 +202,19 @@ def tiled(rows: DataFrame, group: str, uid: str, blocks: str) -> DataFrame:
     ).drop("other", blocks)
 
 
-def _same_text(texts: DataFrame, docs: DataFrame) -> Column:
-    """A text's row of the documents: that with its smallest key, or any if all of its rows have none."""
-    return (texts["content"] == docs["content"]) & texts["doc_id"].eqNullSafe(docs["doc_id"])
+def texts_of(wanted: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, text), a row for each content of ``wanted``, a written table. Rows of other texts are
+    not shuffled, and of equal ones each task sends one at most."""
+    known = HashFilter(wanted.select(F.xxhash64("content")))
+    return known.marked(contents, F.xxhash64("content")).filter("maybe").groupBy("content").agg(F.first("text").alias("text"))
 
 
-def candidate_edges(texts: DataFrame, docs: DataFrame, words: int, threshold: float, bucket: int, levels: int) -> DataFrame:
-    """(a, b): edges that connect all texts which may be similar."""
+def candidate_edges(
+    texts: DataFrame, contents: DataFrame, words: int, threshold: float, bucket: int, levels: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): edges that connect all texts which may be similar; and the written tables they are read from."""
     rows = texts.select(F.explode("paths").alias("path"), "uid", "size", "sketch")
-    edges = None
+    edges, tables = None, []
     for level in range(levels):
         partitions = spread(rows.count(), ROWS_PER_TASK, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         found = written(
@@ -212,24 +222,27 @@ def candidate_edges(texts: DataFrame, docs: DataFrame, words: int, threshold: fl
             .mapInArrow(_buckets(threshold, bucket), "a long, b long, path long"),
             "found",
         )
+        tables.append(found)
         pairs = found.filter("b is not null").select("a", "b")
         edges = pairs if edges is None else edges.unionByName(pairs)
         large = found.filter("path is not null").select(F.col("a").alias("uid"), "path")
         if large.isEmpty():
-            return edges
+            return edges, tables
         if level < levels - 1:
             paths = large.groupBy("uid").agg(F.collect_list("path").alias("more"))  # a few per text
-            again = paths.join(texts.select("uid", "size", "sketch", "content", "doc_id"), "uid")
-            with_text = again.join(docs, _same_text(again, docs)).dropDuplicates(["uid"])
+            again = written(paths.join(texts.select("uid", "size", "sketch", "content"), "uid"), "large")
+            with_text = again.join(texts_of(again, contents), "content")
             rows = written(
                 with_text.select("uid", "size", "sketch", "more", "text")
                 .mapInArrow(_deeper(words, threshold), "path long, uid long, size int, sketch binary"),
                 "deeper",
             )
+            dropped(again)
+            tables.append(rows)
     members = large.join(texts.select("uid", "size", "sketch"), "uid")
     counts = large.groupBy("path").agg(F.ceil(F.count("*") / bucket).cast("long").alias("blocks"))
     tiles = tiled(members.join(counts, "path"), "path", "uid", "blocks")
-    return edges.unionByName(tiles.groupBy("path", "low", "high").applyInPandas(_tiles(threshold), "a long, b long"))
+    return edges.unionByName(tiles.groupBy("path", "low", "high").applyInPandas(_tiles(threshold), "a long, b long")), tables
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -286,64 +299,83 @@ def near_duplicates(
     docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
     text: str = "text", key: str = "doc_id", bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE,
 ) -> DataFrame:
-    """One row per document: (doc_id, content, class_id, text_id, copies, n_shingles, n_links), where
-    ``content`` is the md5 of the text.
+    """One row per document: (doc_id, content, class_id, text_id, copies, n_shingles, n_links, kept),
+    where ``content`` is the md5 of the text.
 
     ``class_id`` is the smallest key that links lead to, ``text_id`` the smallest key with the same
     text, ``copies`` the documents with that text, ``n_links`` the other documents that are at least
-    as similar as the threshold, those with the same text included."""
+    as similar as the threshold, those with the same text included. ``kept`` tells the one row of its
+    class that stays, with all rows that repeat its key and text."""
     own = own_columns(docs, doc_id=key, text=text).withColumn("content", F.unhex(F.md5("text"))).select("doc_id", "content", "text")
     sets = written(
         own.mapInArrow(_sets(words, threshold, runs_for(recall)), "doc_id long, content binary, size int, sketch binary, paths array<long>"),
         "sets",
     )
-    filled = sets.filter("size > 0")
-    texts = filled.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
-                                          F.min(F.struct("size", "sketch", "paths")).alias("s"))
+    texts = sets.filter("size > 0").groupBy("content").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("size", "sketch", "paths")).alias("s"))
     texts = written(
         texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "content", "copies", "s.size", "s.sketch", "s.paths"), "texts"
     )
-    # Rows without a key may be many for one text: one is enough.
-    contents = own.filter("doc_id is not null").unionByName(own.filter("doc_id is null").dropDuplicates(["content"]))
-    candidates = components(candidate_edges(texts, contents, words, threshold, bucket, levels))
+    rows = written(sets.select("doc_id", "content", "size"), "rows")
+    dropped(sets)
+    contents = own.select("content", "text")
+    edges, tables = candidate_edges(texts, contents, words, threshold, bucket, levels)
+    candidates = components(edges)
+    narrow = written(texts.select("uid", "doc_id", "content", "copies"), "narrow")
+    dropped(texts, *tables)
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias("blocks"))
-    members = candidates.join(sizes, "component").join(
-        texts.select(F.col("uid").alias("node"), "doc_id", "content", "copies"), "node"
-    )
-    with_text = members.join(contents, _same_text(members, contents)).select(
+    members = written(
+        candidates.join(sizes, "component").join(narrow.select(F.col("uid").alias("node"), "content", "copies"), "node"), "members")
+    with_text = members.join(texts_of(members, contents), "content").select(
         F.col("node").alias("uid"), "component", "blocks", "copies", "text")
     found = written(
         tiled(with_text, "component", "uid", "blocks").groupBy("component", "low", "high")
         .applyInPandas(_verified(words, threshold), "uid long, other long, links long"),
         "verified",
     )
+    dropped(candidates, members)
     groups = components(found.filter("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    narrow = texts.select("uid", "doc_id", "content", "copies")
     classed = narrow.join(groups.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left").withColumn(
         "component", F.coalesce("component", "uid")
     )
-    smallest = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classed = classed.join(smallest, "component").select(
-        "content", "class_id", F.col("doc_id").alias("text_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")
+    survivor = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "content"))
+    survivors = classed.groupBy("component").agg(survivor.alias("first"))
+    classed = classed.join(survivors, "component").select(
+        "content", "first", F.col("doc_id").alias("text_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")
     )
-    rows = sets.select("doc_id", F.col("content").alias("md5"), F.when(F.col("size") > 0, F.col("content")).alias("content"), F.col("size").cast("long").alias("n_shingles"))
+    rows = rows.select("doc_id", F.col("content").alias("md5"), F.when(F.col("size") > 0, F.col("content")).alias("content"), F.col("size").cast("long").alias("n_shingles"))
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("md5") == F.col("first.content")))
     return rows.join(classed, "content", "left").select(
-        "doc_id", F.col("md5").alias("content"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_id", "doc_id").alias("text_id"),
+        "doc_id", F.col("md5").alias("content"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("text_id", "doc_id").alias("text_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_shingles",
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), stays.alias("kept"),
     )
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with the smallest key of their class, one row each, with their own columns."""
-    kept = near_duplicates(docs, text=text, key=key).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "content").distinct()
+    """The documents that stay, one row of each class, with their own columns. Texts without a word are
+    linked with nothing, so all their rows stay.
+
+    Only rows whose key and text may be those of a linked document are shuffled; a filter of these
+    tells them, and all others stay where they are."""
+    idkey = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    linked = near_duplicates(docs, text=text, key=key).filter("n_links > 0")
+    linked = written(linked.select(idkey.alias("idkey"), "content", "kept").distinct(), "linked")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.select(row.alias("row"), F.col(f"`{key}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("md5"))
-    found = named.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("md5").eqNullSafe(F.col("content")))
-    return found.dropDuplicates(["id", "md5"]).select("row.*")
+    named = docs.select(
+        row.alias("row"), F.col(f"`{key}`").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("content"),
+        F.coalesce(F.col(f"`{text}`").rlike(r"[^\t-\r ]"), F.lit(False)).alias("has_word"),
+    ).withColumn("idkey", idkey)
+    hashed = F.xxhash64("idkey", "content")
+    marked = HashFilter(linked.select(hashed)).marked(named, hashed)
+    alone = marked.filter(~F.col("maybe") | ~F.col("has_word")).select("row.*")
+    rest = marked.filter(F.col("maybe") & F.col("has_word")).groupBy("idkey", "content").agg(F.first("row").alias("row"))
+    rest = rest.join(linked, ["idkey", "content"], "left").filter(F.coalesce("kept", F.lit(True)))
+    return alone.unionByName(rest.select("row.*"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("content").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_duplicates(docs).drop("content")

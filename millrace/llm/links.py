@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 
 def spanning_edges(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -58,15 +58,16 @@ def components(edges: DataFrame) -> DataFrame:
         nodes = lowest.unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("into"))).groupBy("a").agg(
             F.min("into").alias("into")
         )
-        into = written(nodes, "pointers")
+        first = into = written(nodes, "pointers")
         for _ in range(2):
             up = into.select(F.col("a").alias("into"), F.col("into").alias("up"))
             into = into.join(up, "into").select("a", F.col("up").alias("into"))
-        into = written(into, "pointers")
+        into, before = written(into, "pointers"), [first, edges]
         if merged is None:
             merged = into.select(F.col("a").alias("node"), F.col("into").alias("component"))
         else:
             up = into.select(F.col("a").alias("component"), F.col("into").alias("up"))
+            before.append(merged)
             merged = merged.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         merged = written(merged, "merged")
         of_a, of_b = into.select("a", F.col("into").alias("x")), into.select(F.col("a").alias("b"), F.col("into").alias("y"))
@@ -75,6 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(),
             "edges",
         )
+        dropped(*before, into)
     if merged is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return merged

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decision_lists, grid_order_join, jaccard_join, language_codes, sharding, surrogates
+from millrace.llm import decision_lists, grid_order_join, jaccard_join, language_codes, shared, sharding, surrogates
 from millrace.llm.links import components, spanning_between, spanning_edges
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,11 +211,72 @@ def test_texts_without_any_key_keep_their_links(spark, sizes):
     assert classes(jaccard_join.near_duplicates(df, **sizes)) == want and {c for _, c, _ in want} == {1}, want
 
 
-def test_one_document_of_each_class_stays(awkward):
+def plain_survivors(rows):
+    """(key, text) of the rows that stay: of a class the smallest key, null keys last, and of equal ones the smallest md5."""
+    sets = [{tuple(w[i:i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set() for w in (WORDS.findall(r.text or "") for r in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    classes = defaultdict(list)
+    for i, r in enumerate(rows):
+        classes[label[i]].append((r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).digest(), (r.doc_id, r.text)))
+    return sorted((min(c)[3] for c in classes.values()), key=repr)
+
+
+def test_one_document_of_each_class_stays(spark, awkward):
     kept = jaccard_join.first_of_each(awkward)
     assert kept.columns == awkward.columns
-    want = {r.doc_id for r in jaccard_join.digest(awkward).collect() if r.kept}
-    assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter(k for k in want if k is not None)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == plain_survivors(awkward.collect())
+    words = [f"w{n}" for n in range(100)]
+    near = [" ".join([*words[:n], f"other{n}", *words[n + 1:]]) for n in (3, 40, 96)]
+    # Three linked texts without keys, one of them twice; a key with two near texts; rows without a word, twice.
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (None, near[2])]
+    rows += [(k, t.replace("w", "v")) for k, t in ((5, near[0]), (5, near[1]), (7, near[2]), (None, near[2]))]
+    rows += [(None, None), (None, None), (9, " "), (9, " "), (10, ""), (11, "one"), (11, "one")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, `kept` int")
+    stay = sorted(((r.doc_id, r.text) for r in jaccard_join.first_of_each(df).collect()), key=repr)
+    assert stay == plain_survivors(df.collect()) and len(stay) == 8
+    assert jaccard_join.first_of_each(df.limit(0)).count() == 0
+
+
+def test_a_row_repeated_many_times_is_one_text(spark, monkeypatch):
+    """20,000 times one row beside two near copies: a text is verified once, and fetched once from each task."""
+    words = [f"w{n}" for n in range(60)]
+    one, other = " ".join(words), " ".join([*words[:-2], "x", "y"])
+    df = spark.range(20_000).select(F.lit(4).cast("long").alias("doc_id"), F.lit(one).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(5, other), (6, other.replace("y", "z"))], "doc_id long, text string"))
+    seen, real = [], jaccard_join.tiled
+    monkeypatch.setattr(jaccard_join, "tiled", lambda rows, *names: seen.append(rows.count()) or real(rows, *names))
+    got = Counter((r.doc_id, r.class_id, r.copies, r.n_links, r.kept) for r in jaccard_join.digest(df).collect())
+    assert got == {(4, 4, 20_000, 20_001, True): 20_000, (5, 4, 1, 20_001, False): 1, (6, 4, 1, 20_001, False): 1} and seen == [3]
+    assert [r.doc_id for r in jaccard_join.first_of_each(df).collect()] == [4]
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_a_hash_filter_never_misses(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "MOST_BITS", most)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    marked = shared.HashFilter(rows.filter("id % 20 = 0").select("h")).marked(rows, F.col("h"))
+    assert marked.columns == ["id", "h", "maybe"] and marked.count() == 20_000
+    assert marked.filter("id % 20 = 0 and not maybe").count() == 0
+    assert marked.filter("id % 20 <> 0 and maybe").count() < (20_000 if most == 64 else 2500)
+    assert shared.HashFilter(rows.limit(0).select("h")).marked(rows, F.col("h")).filter("maybe").count() == 0
+
+
+def test_only_candidates_texts_are_shuffled(spark, given, monkeypatch):
+    seen, real = [], jaccard_join.texts_of
+
+    def counted(wanted, contents):
+        texts = real(wanted, contents)
+        seen.append((wanted.count(), texts.count()))
+        return texts
+
+    monkeypatch.setattr(jaccard_join, "texts_of", counted)
+    jaccard_join.near_duplicates(given).count()
+    assert seen and all(wanted <= fetched < 1.2 * wanted + 20 < given.count() for wanted, fetched in seen)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -430,7 +492,7 @@ def test_pipeline_equals_its_parts(spark, sf_dir):
     kept = [r for r in docs.collect() if any(c.isalpha() for c in r.text)]
     good = {r.doc_id for r in decision_lists.digest(docs, labels).collect() if r.kept}
     kept = [r for r in kept if r.doc_id in good]
-    first = {k for k, c, _ in plain_links(kept) if k == c}
+    first = {k for k, _ in plain_survivors(kept)}
     got = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == first
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
