@@ -10,8 +10,8 @@ right encoding, which makes the whole right, since merges work on neighbours
 alone. A window never needs to go beyond white space, across which nothing merges.
 
 Defined cases: a null text is an empty one (no ids, empty decoded text); rows that
-repeat a key are encoded each on its own; an empty table gives no rows; strings of
-special tokens become these tokens, as in the library; other columns are not read.
+repeat a key are encoded each on its own, but equal long texts once; an empty table
+gives no rows; strings of special tokens become these tokens, as in the library; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoders import WordEncoder, word_encoder
@@ -146,18 +146,18 @@ def _short(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-LEAVES = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("leaf", pa.int64()), ("special", pa.int64()), ("text", pa.string())])
+LEAVES = pa.schema([("copy", pa.binary()), ("leaf", pa.int64()), ("special", pa.int64()), ("text", pa.string())])
 
 
 def _leaves(vocabulary: str, leaf_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, out = word_encoder(vocabulary), Rows(LEAVES)
         for batch in batches:
-            for key, copy, text in zip(*(strings(batch.column(c)) for c in range(3)), strict=True):
+            for copy, text in zip(*(strings(batch.column(c)) for c in range(2)), strict=True):
                 n = 0
                 for normal, token in coder.segments(text):
                     for part in halves(normal, leaf_chars):
-                        yield from out.add((key, copy, n, token, part), 2 * len(part))
+                        yield from out.add((copy, n, token, part), 2 * len(part))
                         n += 1
         yield from out.rest()
 
@@ -165,20 +165,20 @@ def _leaves(vocabulary: str, leaf_chars: int) -> Callable[[Iterator[pa.RecordBat
 
 
 NODES = pa.schema([
-    ("doc_id", pa.int64()), ("copy", pa.string()), ("leaf", pa.int64()), ("ids", pa.binary()), ("head", pa.string()),
+    ("copy", pa.binary()), ("leaf", pa.int64()), ("ids", pa.binary()), ("head", pa.string()),
     ("tail", pa.string()), ("head_n", pa.int64()), ("tail_n", pa.int64()), ("whole", pa.bool_()),
 ])
-NODE_COLUMNS = "doc_id long, copy string, leaf long, ids binary, head string, tail string, head_n long, tail_n long, whole boolean"
+NODE_COLUMNS = "copy binary, leaf long, ids binary, head string, tail string, head_n long, tail_n long, whole boolean"
 
 
 def _nodes(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, out = word_encoder(vocabulary), Rows(NODES)
         for batch in batches:
-            for key, copy, n, token, text in zip(*(strings(batch.column(c)) for c in range(5)), strict=True):
+            for copy, n, token, text in zip(*(strings(batch.column(c)) for c in range(4)), strict=True):
                 node = leaf(coder, text) if token is None else special(token)
-                row = (key, copy, n, node.ids.tobytes(), node.head, node.tail, node.head_n, node.tail_n, node.whole)
-                yield from out.add(row, len(row[3]) + 64)
+                row = (copy, n, node.ids.tobytes(), node.head, node.tail, node.head_n, node.tail_n, node.whole)
+                yield from out.add(row, len(row[2]) + 64)
         yield from out.rest()
 
     return run
@@ -186,32 +186,35 @@ def _nodes(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def _joined(vocabulary: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        coder = word_encoder(vocabulary)
-        copies = int((rows.leaf == 0).sum())
-        rows = rows.drop_duplicates("leaf").sort_values("leaf")
+        coder, rows = word_encoder(vocabulary), rows.sort_values("leaf")
         nodes = [Node(np.frombuffer(r.ids, np.uint32), r.head, r.tail, r.head_n, r.tail_n, r.whole) for r in rows.itertuples()]
-        key = rows.doc_id.iloc[0]
-        row = _row(coder, None if pd.isna(key) else int(key), tree(coder, nodes).ids)
-        return pd.DataFrame([row] * copies, columns=ENCODED.names).astype({"doc_id": "Int64"})
+        row = _row(coder, None, tree(coder, nodes).ids)
+        return pd.DataFrame([(rows.copy_of.iloc[0], *row[1:])], columns=["copy_of", *ENCODED.names[1:]])
 
     return run
 
 
-def encoded(docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of whole texts; ids are little-endian unsigned 32-bit integers."""
+def encoded(
+    docs: DataFrame, vocabulary: str, leaf_chars: int = LEAF, text: str = "text", key: str = "doc_id", made: dict[str, Column] | None = None,
+) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of whole texts; ids are little-endian unsigned 32-bit integers.
+    ``made`` are the columns to return beside the key instead, from ``n_tokens``, ``ids`` and ``decoded``;
+    they are made once for equal long texts."""
+    made = made or {name: F.col(name) for name in ENCODED.names[1:]}
+    columns = [c.alias(n) for n, c in made.items()]
     rows = own_columns(docs, doc_id=key, text=text)
     long = F.coalesce(F.char_length("text") > leaf_chars, F.lit(False))
-    short = rows.filter(~long).mapInArrow(_short(vocabulary), ENCODED_COLUMNS)
-    # The leaves of a long text are found again by key and content; rows that repeat both are encoded
-    # alike, and come out as often as their first leaf came in.
-    named = rows.filter(long).select("doc_id", F.md5("text").alias("copy"), "text")
-    leaves = named.mapInArrow(_leaves(vocabulary, leaf_chars), "doc_id long, copy string, leaf long, special long, text string")
-    nodes = leaves.repartition(F.xxhash64("copy", "leaf")).mapInArrow(_nodes(vocabulary), NODE_COLUMNS)
-    joined = nodes.groupBy("doc_id", "copy").applyInPandas(_joined(vocabulary), ENCODED_COLUMNS)
-    return short.unionByName(joined)
+    short = rows.filter(~long).mapInArrow(_short(vocabulary), ENCODED_COLUMNS).select("doc_id", *columns)
+    # A long text is known by its content. However many rows hold it, each task sends a leaf of it once.
+    named = rows.filter(long).select("doc_id", F.unhex(F.md5("text")).alias("copy"), "text")
+    leaves = named.select("copy", "text").mapInArrow(_leaves(vocabulary, leaf_chars), "copy binary, leaf long, special long, text string")
+    distinct = leaves.groupBy("copy", "leaf").agg(F.first("special").alias("special"), F.first("text").alias("text"))
+    nodes = distinct.mapInArrow(_nodes(vocabulary), NODE_COLUMNS).withColumnRenamed("copy", "copy_of")
+    joined = nodes.groupBy("copy_of").applyInPandas(_joined(vocabulary), "copy_of binary, n_tokens long, ids binary, decoded string")
+    of_rows = named.select("doc_id", "copy").join(joined.select("copy_of", *columns), F.col("copy") == F.col("copy_of"))
+    return short.unionByName(of_rows.select("doc_id", *made))
 
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return encoded(docs, vocabulary).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return encoded(docs, vocabulary, made={
+        "n_tokens": F.col("n_tokens"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)})

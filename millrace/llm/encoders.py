@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 
@@ -79,6 +81,51 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+class ChunkTable:
+    """Sequences of numbers by string, in flat arrays, bounded by the bytes they take.
+
+    What is over the limit is forgotten as a whole, before more is learned. Strings beyond LONGEST
+    characters hardly come twice; they are kept only until the next forgetting, which their bytes hasten."""
+
+    #: Bytes of a dictionary entry beside its string, and of its place in the arrays.
+    ENTRY, LONGEST = 120, 256
+
+    def __init__(self, limit: int, kind):
+        self.limit, self.kind = limit, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.filled, self.held, self.long = np.zeros(8192, self.kind), 0, 0, False
+
+    def learn(self, keys: list[str], lengths: np.ndarray, new: np.ndarray) -> None:
+        first = len(self.number)
+        while first + len(keys) > len(self.length):
+            self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
+        if self.filled + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.filled], np.zeros(max(len(new), len(self.flat)), self.kind)])
+        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.length[first:first + len(keys)] = lengths
+        self.start[first:first + len(keys)] = self.filled + np.cumsum(lengths) - lengths
+        self.flat[self.filled:self.filled + len(new)] = new
+        self.filled += len(new)
+        self.held += sum(map(getsizeof, keys)) + self.ENTRY * len(keys) + 2 * new.nbytes
+        self.long = self.long or max(map(len, keys)) > self.LONGEST
+
+    def places(self, keys: list[str], values_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of the keys. Those that are new are learned: ``values_of`` them is how many values each
+        has, and all values in a row."""
+        new = set(keys).difference(self.number)
+        if new:
+            if self.held > self.limit or self.long and self.held > self.limit // 4:
+                self.forget()
+                new = set(keys)
+            ordered = sorted(new)
+            self.learn(ordered, *values_of(ordered))
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+
 class WordEncoder:
     """Ids of a BPE file with word ends, as the tokenizers library gives them.
 
@@ -87,8 +134,8 @@ class WordEncoder:
     before normalisation, as the library does.
     """
 
-    #: Chunks kept: about 150 MB in a worker at the most.
-    CACHED = 800_000
+    #: Bytes of the chunks kept in a worker; what a single text adds comes on top.
+    CACHED_BYTES = 160 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -110,26 +157,11 @@ class WordEncoder:
         symbols = byte_of_symbol()
         self.bytes_of = np.array([sum(c in symbols for c in s.removesuffix(self.suffix)) for s in self.strings], np.int64)
         self.ends_word = np.array([s.endswith(self.suffix) for s in self.strings])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.length, self.start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.filled = np.zeros(4096, np.uint32), 0
+        self.known = ChunkTable(self.CACHED_BYTES, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = [c.ids for c in self.plain.encode_batch_fast(chunks, add_special_tokens=False)]
-        first, lengths = len(self.number), np.array([len(c) for c in codes], np.int64)
-        new = np.array([n for c in codes for n in c], np.uint32)
-        while first + len(chunks) > len(self.length):
-            self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
-        while self.filled + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.length[first:first + len(chunks)] = lengths
-        self.start[first:first + len(chunks)] = self.filled + np.cumsum(lengths) - lengths
-        self.flat[self.filled:self.filled + len(new)] = new
-        self.filled += len(new)
+        return np.array([len(c) for c in codes], np.int64), np.array([n for c in codes for n in c], np.uint32)
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Normalised texts between special tokens, (text, None), and those tokens, ("", id)."""
@@ -151,17 +183,11 @@ class WordEncoder:
 
     def chunk_ids(self, text: str) -> np.ndarray:
         """Ids of a normalised text."""
-        chunks = text.split(" ")
-        new = set(chunks).difference(self.number)
-        if new:
-            if len(new) + len(self.number) > self.CACHED:
-                self._forget()
-                new = set(chunks) - {""}
-            self._learn(list(new))
-        n = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        lengths = self.length[n]
+        known = self.known
+        n = known.places(text.split(" "), self._encoded)
+        lengths = known.length[n]
         before = np.cumsum(lengths) - lengths
-        return self.flat[np.arange(lengths.sum()) + np.repeat(self.start[n] - before, lengths)]
+        return known.flat[np.arange(lengths.sum()) + np.repeat(known.start[n] - before, lengths)]
 
     def ids(self, text: str) -> np.ndarray:
         parts = [np.array([n], np.uint32) if n is not None else self.chunk_ids(s) for s, n in self.segments(text)]

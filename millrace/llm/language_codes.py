@@ -14,8 +14,9 @@ Few languages get the exhaustive code, many a seeded random one, chosen among
 several for its smallest distance.
 
 Learned from a bounded sample (SAMPLE documents at most in expectation, chosen by a
-hash of the key) of the documents with a language whose crc32(key) mod 4 is not 2;
-applied to whole texts of all. Defined cases: a null text or one without a letter is
+hash of the key, half of them evenly from all languages, so that a rare one is not
+left out) of the documents with a language whose crc32(key) mod 4 is not 2; the sample
+is written once. Applied to whole texts of all. Defined cases: a null text or one without a letter is
 ``und`` with score 0 and not known; without any training document every text is
 ``und``, but with a letter known, as nothing tells otherwise; with one language in
 training it is always that; a null key is neither held out nor learned
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import own_columns, strings
+from .shared import dropped, strings, written
 
 SAMPLE, SAMPLE_TASKS = 20_000, 24
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
@@ -174,13 +175,22 @@ def _frequencies(lang: str, counts: np.ndarray) -> np.ndarray:
     return np.round(counts / counts.sum(), 9)
 
 
+def sample_shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """Which share of each language's documents to learn from, so that they are at most so many together:
+    half of them dealt out evenly over the languages, half by their documents."""
+    total = sum(counts.values())
+    return {x: min(1.0, (sample / len(counts) + sample * n / total) / 2 / n) for x, n in counts.items()}
+
+
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    usable = docs.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & ~held_out(key))
-    count = usable.count()
-    if count > sample:
-        place = F.pmod(F.xxhash64(F.lit(SEED), F.col(f"`{key}`")), F.lit(1 << 40))
-        usable = usable.filter(place < int(sample / count * (1 << 40)))
-    rows = own_columns(usable, lang=lang, text=text).repartition(SAMPLE_TASKS)
+    usable = docs.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & ~held_out(key)).select(
+        F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    shares = sample_shares(dict(map(tuple, usable.groupBy("lang").count().collect())), sample)
+    if shares:
+        place = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 40))
+        share_of = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        usable = usable.filter(place < F.element_at(share_of, F.col("lang")) * (1 << 40))
+    rows = written(usable.select("lang", "text").repartition(SAMPLE_TASKS), "sample")
     counts = _table(rows, _frequencies, BUCKETS)
     languages = sorted(counts)
     code = codewords(len(languages))
@@ -207,6 +217,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
         shares = np.cumsum(sum(_table(rows, step, STEPS).values()))
         clean = (np.searchsorted(shares, CLEAN * shares[-1]) + 1) * STEP
         model.limit = max(clean, (clean + 1) / 2)  # half way to a text that tells nothing
+    dropped(rows)
     return model
 
 

@@ -9,7 +9,8 @@ costs, is then looked up and never encoded again.
 
 Pieces of the vocabulary hold spaces only in front, so a text falls into segments
 (spaces, then other characters) that are encoded independently; the counts of a
-segment's prefixes are kept in a bounded cache.
+segment's prefixes are kept in a cache bounded in bytes. A segment without a space, however
+long, is worked through in stretches, of which the next needs the last few prefixes only.
 
 Defined cases: a null text is an empty one, with no tokens; rows that repeat a key
 are counted each on its own; an empty table gives no rows; other columns are not
@@ -20,6 +21,7 @@ special tokens being ordinary text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,18 +32,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
+from .encoders import ChunkTable
 from .shared import Rows, own_columns, strings
 
 LIMIT = 4096
+#: Characters of the texts whose new segments are learned together.
+GROUP_CHARS = 4 << 20
 SPACE = "▁"
+ONE = (1,)
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class PieceCounter:
     """Prefix counts under a sentencepiece BPE model."""
 
-    #: Segments kept, and pairs of tokens: about 250 MB in a worker at the most.
-    CACHED, PAIRS = 1_000_000, 600_000
+    #: Bytes of the segments kept in a worker, and pairs of tokens, about 100 bytes each.
+    CACHED_BYTES, PAIRS = 200 << 20, 600_000
+    #: Characters of a segment whose counts are Python objects at a time.
+    STRETCH = 1 << 16
 
     def __init__(self, path: str):
         import sentencepiece
@@ -55,17 +63,22 @@ class PieceCounter:
         # Pieces that the merges never make of their characters end no prefix.
         real = [p for p in self.score if len(p) == 1 or self.merged(p) == [p]]
         self.code = {p: n for n, p in enumerate(real)}
-        # No longer piece ends with these two characters.
-        self.reach: dict[str, int] = {}
+        # Lengths of the pieces, longest first, by how they end: in these two characters, or in these three.
+        two: dict[str, set[int]] = {}
+        three: dict[str, set[int]] = {}
         for p in real:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            if len(p) > 1:
+                two.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) > 2:
+                three.setdefault(p[-3:], {1}).add(len(p))
+        for end, found in three.items():
+            if 2 in two.get(end[-2:], ()):
+                found.add(2)
+        self.two = {end: tuple(sorted((n for n in found if n < 3), reverse=True)) for end, found in two.items()}
+        self.three = {end: tuple(sorted(found, reverse=True)) for end, found in three.items()}
+        self.longest = max(map(len, real), default=1)
         self.fits: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.filled = np.zeros(8192, np.int32), 0
+        self.known = ChunkTable(self.CACHED_BYTES, np.int32)
 
     def merged(self, text: str) -> list[str]:
         """The merges of one or two tokens' characters: best score first, leftmost of equals."""
@@ -85,82 +98,95 @@ class PieceCounter:
         """Whether the two tokens' characters together make just these two."""
         return self.merged(left + right) == [left, right]
 
-    def counts(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, the shortest first."""
-        code, fits, reach = self.code, self.fits, self.reach
-        last, begin, counts = [0], [0], [0]  # of each prefix: its last token, where that begins, all tokens
-        for end in range(1, len(segment) + 1):
-            longest = reach.get(segment[end - 2:end], 1) if end > 1 else 1
-            for start in range(end - longest if end > longest else 0, end):
-                text = segment[start:end]
-                token = code.get(text)
-                if token is None:
-                    if end - start > 1:
-                        continue
-                    token = len(code) + ord(text)  # outside the vocabulary: never merged
-                if start:
-                    pair = last[start] << 24 | token
-                    fitting = fits.get(pair)
-                    if fitting is None:
-                        if len(fits) >= self.PAIRS:
-                            fits.clear()
-                        fitting = fits[pair] = self.stands(segment[begin[start]:start], text)
-                    if not fitting:
+    def counts(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many prefixes each segment has, and the tokens of each, the shortest first. The segments are
+        sorted: what one has in common with the one before is not worked through again."""
+        code, fits, two, three, tokens = self.code, self.fits, self.two, self.three, len(self.code)
+        found, lengths, before = array("i"), np.array([len(s) for s in segments], np.int64), ""
+        # Of each prefix from ``base`` on: its last token, where that begins, all tokens.
+        last, begin, counts, base = [0], [0], [0], 0
+        for segment in segments:
+            if base:
+                last, begin, counts, base, before = [0], [0], [0], 0, ""
+            shared, most = 0, min(len(before), len(segment))
+            while shared < most and before[shared] == segment[shared]:
+                shared += 1
+            del last[shared + 1:], begin[shared + 1:], counts[shared + 1:]
+            told, before = 0, segment
+            for end in range(shared + 1, len(segment) + 1):
+                sizes = three.get(segment[end - 3:end]) if end > 2 else None
+                if sizes is None:
+                    sizes = two.get(segment[end - 2:end], ONE) if end > 1 else ONE
+                for size in sizes:
+                    if size > end:
                         continue
-                last.append(token)
-                begin.append(start)
-                # A character outside the vocabulary is spelled in its bytes.
-                counts.append(counts[start] + (1 if token < len(code) else len(text.encode())))
-                break
-            else:
-                raise AssertionError(f"no token ends at {end} of {segment!r}")
-        return counts[1:]
-
-    def _learn(self, segments: list[str]) -> None:
-        found = [self.counts(s) for s in segments]
-        first, lengths = len(self.number), np.array([len(c) for c in found], np.int64)
-        new = np.array([n for c in found for n in c], np.int32)
-        while first + len(segments) > len(self.length):
-            self.length, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start))
-        while self.filled + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.number.update(zip(segments, range(first, first + len(segments)), strict=True))
-        self.length[first:first + len(segments)] = lengths
-        self.start[first:first + len(segments)] = self.filled + np.cumsum(lengths) - lengths
-        self.flat[self.filled:self.filled + len(new)] = new
-        self.filled += len(new)
-
-    def _segments(self, text: str) -> tuple[np.ndarray, int]:
-        """Numbers of a text's segments; the text is not empty."""
+                    start = end - size
+                    text = segment[start:end]
+                    token = code.get(text)
+                    if token is None:
+                        if size > 1:
+                            continue
+                        token = tokens + ord(text)  # outside the vocabulary: never merged
+                    if start:
+                        pair = last[start - base] << 24 | token
+                        fitting = fits.get(pair)
+                        if fitting is None:
+                            if len(fits) >= self.PAIRS:
+                                fits.clear()
+                            fitting = fits[pair] = self.stands(segment[begin[start - base]:start], text)
+                        if not fitting:
+                            continue
+                    last.append(token)
+                    begin.append(start)
+                    # A character outside the vocabulary is spelled in its bytes.
+                    counts.append(counts[start - base] + (1 if token < tokens else len(text.encode())))
+                    break
+                else:
+                    raise AssertionError(f"no token ends at {end} of {segment!r}")
+                if len(counts) > self.STRETCH + self.longest:
+                    drop = len(counts) - self.longest
+                    found.extend(counts[told + 1 - base:drop])
+                    told, base = base + drop - 1, base + drop
+                    del last[:drop], begin[:drop], counts[:drop]
+            found.extend(counts[told + 1 - base:])
+        return lengths, np.frombuffer(found, np.int32) if found else np.zeros(0, np.int32)
+
+    @staticmethod
+    def segments(text: str) -> tuple[list[str], int]:
+        """A text's segments, and its characters with the space put before it; the text is not empty."""
         spaced = SPACE + text.replace(" ", SPACE)
         # Single spaces are by far the usual case: then each part but the first has one before it.
-        segments = SEGMENT.findall(spaced) if SPACE * 2 in spaced else [SPACE + p for p in spaced.split(SPACE)[1:]]
+        found = SEGMENT.findall(spaced) if SPACE * 2 in spaced else [SPACE + p for p in spaced.split(SPACE)[1:]]
         if spaced[-1] == SPACE and SPACE * 2 not in spaced:
-            segments[-1] = SPACE
-        new = set(segments).difference(self.number)
-        if new:
-            if len(new) + len(self.number) > self.CACHED:
-                self._forget()
-                new = set(segments)
-            self._learn(list(new))
-        return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments)), len(spaced)
+            found[-1] = SPACE
+        return found, len(spaced)
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the segments of several texts together: the more are sorted at once, the more is shared."""
+        self.known.places(list({s for t in texts if t for s in self.segments(t)[0]}), self.counts)
+
+    def _segments(self, text: str) -> tuple[np.ndarray, int]:
+        """Numbers of a text's segments."""
+        found, size = self.segments(text)
+        return self.known.places(found, self.counts), size
 
     def total(self, text: str) -> int:
         """Tokens of the whole text: its counts' last, segment by segment."""
         if not text:
             return 0
         n, _ = self._segments(text)
-        return int(self.flat[self.start[n] + self.length[n] - 1].sum())
+        known = self.known
+        return int(known.flat[known.start[n] + known.length[n] - 1].sum())
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:0], text[:1], ... up to the whole text."""
         if not text:
             return np.zeros(1, np.int32)
         n, size = self._segments(text)
-        lengths, start = self.length[n], self.start[n]
-        whole = self.flat[start + lengths - 1]
+        flat, lengths, start = self.known.flat, self.known.length[n], self.known.start[n]
+        whole = flat[start + lengths - 1]
         before = np.cumsum(lengths) - lengths
-        counts = self.flat[np.arange(size) + np.repeat(start - before, lengths)]
+        counts = flat[np.arange(size) + np.repeat(start - before, lengths)]
         counts = counts + np.repeat(np.cumsum(whole) - whole, lengths)
         counts[0] = 0  # the space put before a text counts for nothing if no text follows
         return counts.astype(np.int32)
@@ -183,12 +209,26 @@ def _schema(keep: bool) -> pa.Schema:
     ])
 
 
+def prepared(counter: PieceCounter, batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
+    """Keys and texts of a batch; the texts are prepared in groups of bounded size."""
+    group: list[tuple[int | None, str]] = []
+    size = 0
+    for key, text in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
+        group.append((key, text or ""))
+        size += len(text or "")
+        if size > GROUP_CHARS:
+            counter.prepare([t for _, t in group])
+            yield from group
+            group, size = [], 0
+    counter.prepare([t for _, t in group])
+    yield from group
+
+
 def _run(model: str, budget: int, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, out = piece_counter(model), Rows(_schema(keep))
         for batch in batches:
-            for key, text in zip(strings(batch.column(0)), strings(batch.column(1)), strict=True):
-                text = text or ""
+            for key, text in prepared(counter, batch):
                 total = counter.total(text)
                 counts = counter.prefixes(text) if keep or total > budget else None
                 fit = len(text) if total <= budget else longest_within(counts, budget)

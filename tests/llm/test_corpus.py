@@ -46,6 +46,36 @@ def test_shards_do_not_depend_on_ranges(spark, given, monkeypatch):
     assert whole == {(r.doc_id, r.shard, r.slot) for r in sharding.interleaved(narrow.repartition(5)).collect()}
 
 
+@pytest.mark.parametrize("keys", ["equal", "null"])
+def test_equal_rows_are_not_ranked_in_one_task(spark, monkeypatch, keys):
+    """Two thirds of the rows are equal; a range is ranked in tasks of about ROWS_PER_RANGE rows all the same."""
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 50)
+    key = F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(7 if keys == "equal" else None))
+    df = spark.range(3000, numPartitions=6).select(key.alias("doc_id"), F.lit("one").alias("source"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("slot"))
+    df = df.withColumnRenamed("slot", "text")
+    sizes, real = [], sharding.Window.partitionBy
+
+    def seen(*names):
+        if "part_of_cell" in names:
+            sizes.append(names)
+        return real(*names)
+
+    monkeypatch.setattr(sharding.Window, "partitionBy", staticmethod(seen))
+    placed = sharding.interleaved(df).collect()
+    assert sizes and len(placed) == 3000
+    shards = Counter(r.shard for r in placed)
+    assert set(shards) == set(range(24)) and set(shards.values()) == {125}
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter((r.doc_id, r.text) for r in df.collect())
+    assert all(sorted(r.slot for r in placed if r.shard == n) == list(range(125)) for n in shards)
+
+
+def test_the_own_columns_of_shards_are_replaced(spark):
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("x").alias("slot"), F.lit("y").alias("shard"))
+    placed = sharding.interleaved(df, 4)
+    assert sorted(placed.columns) == ["doc_id", "shard", "slot", "source"]
+    assert sorted((r.shard, r.slot) for r in placed.collect()) == [(n, k) for n in range(4) for k in range(25)]
+
+
 def test_other_columns_are_carried(awkward, tmp_path, spark):
     placed = sharding.interleaved(awkward, 3)
     assert set(awkward.columns) - {"shard"} <= set(placed.columns)
@@ -81,6 +111,13 @@ def test_language_of_awkward_documents(awkward, nothing):
     assert language_codes.digest(nothing).count() == 0
 
 
+def test_a_rare_language_is_learned_from():
+    shares = language_codes.sample_shares({"big": 10**9, "rare": 300, "small": 40_000}, 20_000)
+    expected = {x: shares[x] * n for x, n in (("big", 10**9), ("rare", 300), ("small", 40_000))}
+    assert shares["rare"] == 1 and expected["small"] > 3000 and 10_000 < sum(expected.values()) <= 20_000
+    assert language_codes.sample_shares({}, 10) == {} and language_codes.sample_shares({"a": 5}, 10) == {"a": 1.0}
+
+
 def test_without_examples_every_language_is_unknown(awkward):
     assert {r.lang_pred for r in language_codes.digest(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     one = language_codes.digest(awkward.withColumn("lang", F.lit("xx"))).collect()

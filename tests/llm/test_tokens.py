@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -58,6 +60,52 @@ def test_prefix_counts_equal_encoding_every_prefix():
         assert counter.total(text) == len(library.encode(text))
 
 
+def unspaced(rng: random.Random, length: int) -> str:
+    return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(length))
+
+
+@pytest.mark.parametrize("make", [lambda: word_encoder.__wrapped__(WORD), lambda: prefix_counts.PieceCounter(PIECE)])
+def test_caches_are_bounded_in_bytes_for_texts_without_spaces(make):
+    """Two thousand new texts without a space hold no more than the limit and what one of them adds."""
+    coder, rng = make(), random.Random(9)
+    coder.known.limit = 8 << 20
+    encode = coder.ids if hasattr(coder, "ids") else coder.total
+    most = 0
+    for _ in range(2000):
+        encode(unspaced(rng, 1500))
+        arrays = coder.known.flat.nbytes + coder.known.length.nbytes + coder.known.start.nbytes
+        most = max(most, arrays + sum(map(sys.getsizeof, coder.known.number)))
+    assert most < 12 << 20
+    assert encode("a b c d") is not None and coder.known.held < 9 << 20
+
+
+def test_counts_of_a_long_text_without_a_space(monkeypatch):
+    library, counter = sentencepiece.SentencePieceProcessor(model_file=PIECE), prefix_counts.PieceCounter(PIECE)
+    monkeypatch.setattr(prefix_counts.PieceCounter, "STRETCH", 20)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["ab", "tion", "the", "中", "é", "7", "in"], k=120)) for _ in range(8)]
+    texts += [texts[0] + "x", texts[0][:90], texts[0] + " and " + texts[1]]
+    counter.prepare(texts)
+    for text in texts:
+        assert counter.total(text) == len(library.encode(text))
+        assert counter.prefixes(text)[::40].tolist() == [len(library.encode(text[:n])) for n in range(0, len(text) + 1, 40)]
+    monkeypatch.undo()
+    long = unspaced(rng, 150_000)
+    assert prefix_counts.PieceCounter(PIECE).total(long) == len(library.encode(long))
+
+
+def test_equal_long_texts_are_encoded_once(spark, monkeypatch):
+    text = "some words of a long text " * 40
+    df = spark.range(300, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(text)).otherwise(F.concat(F.lit(text), F.col("id").cast("string"))).alias("text"))
+    got = bpe_roundtrip.encoded(df, WORD, leaf_chars=100)
+    library = Tokenizer.from_file(WORD)
+    want = [(r.doc_id, library.encode(r.text, add_special_tokens=False).ids) for r in df.collect()]
+    assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"partial_first\(text", plan)  # a task sends a leaf once, however many rows hold it
+
+
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
