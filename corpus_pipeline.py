@@ -24,13 +24,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base rules or one of the learned rules go."""
-    rules = decision_lists.train(decision_lists.statistics_table(docs), table(spark, sf_dir, "labels"))
-    return decision_lists.with_statistics(docs).filter(decision_lists.judgement(rules)["kept"]).select("row.*")
+    """Texts that fail the base rules or one of the learned rules go; null texts have no words and fail.
+    The statistics are computed once: documents are written with them, and the rules learned from that."""
+    judged = written(decision_lists.with_statistics(docs), "judged")
+    numbers = judged.select(F.col("row.doc_id").alias("doc_id"), *decision_lists.STATISTICS)
+    rules = decision_lists.train(numbers, table(spark, sf_dir, "labels"))
+    return judged.filter(decision_lists.judgement(rules)["kept"]).select("row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    """Of each group of linked documents one row stays: that with the smallest doc_id, and if all lack one,
+    that with the smallest content. Null texts and texts without a word are linked with nothing."""
     return jaccard_join.first_of_each(docs)
 
 
