@@ -231,6 +231,12 @@ def _sources() -> dict[str, str]:
             f"CAST({day('l_shipdate')} AS INT) AS l_shipdate_days FROM lineitem"
         ),
         "src_options_gen": from_wide(OPTIONS),
+        "src_wide_rows": from_wide(
+            "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipmode, status AS o_orderstatus, c_name, c_nation, s_name, s_nation, s_address, "
+            "complaint AS is_complaint, p_type, p_name, p_container, ps_supplycost, avg_quantity, avail AS ps_availqty, shipped AS shipped_qty, "
+            "total_quantity AS order_total_qty, CASE WHEN low <> l_suppkey OR high <> l_suppkey THEN 1 ELSE 0 END AS has_other_supplier, "
+            "CASE WHEN coalesce(late_low <> l_suppkey OR late_high <> l_suppkey, false) THEN 1 ELSE 0 END AS other_also_late"
+        ),
         "src_nexmark_persons": PERSONS,
         "src_nexmark_auctions": AUCTIONS,
         "src_nexmark_bids": BIDS,

@@ -47,8 +47,21 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Of the wide table, a column of every table and all that is not in the given ones.
+WIDE_COLUMNS = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipmode", "o_orderstatus", "c_name", "c_nation", "s_name", "s_nation", "s_address",
+    "is_complaint", "p_type", "p_name", "p_container", "ps_supplycost", "avg_quantity", "ps_availqty", "shipped_qty", "order_total_qty",
+    "has_other_supplier", "other_also_late",
+)
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_inputs.wide_rows(spark, sf_dir).select(*WIDE_COLUMNS)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "src_wide_rows": wide_lines,
         "src_lineitem_gen": priced_lines,
         "src_options_gen": row_inputs.options,
         "src_nexmark_persons": persons,

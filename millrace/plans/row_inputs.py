@@ -23,9 +23,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import fixed_values as fx
-from ..sources.tables import table
+from ..sources.tables import table, version
+from ..sources.workspace import fresh_folder
 
 col = F.col
 
@@ -106,24 +108,19 @@ def with_part_quantities(df: DataFrame, spark: SparkSession, sf_dir: str) -> Dat
     return df.join(both, (col("l_partkey") == col("k_part")) & (col("l_suppkey") == col("k_supp")))
 
 
-def with_order_quantities(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = table(spark, sf_dir, "lineitem").groupBy(col("l_orderkey").alias("k_order")).agg(F.sum("l_quantity").alias("order_total_qty"))
-    return df.join(totals, col("l_orderkey") == col("k_order"))
-
-
-def with_order_and_other_suppliers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order's status and commit date, whether it has another supplier, and one that was late: by the
-    smallest and largest keys, so that an order's lines are never paired. The orders are joined once, to
-    tell which lines are late; what is kept of them is then a row per order, and that meets the lines."""
+def with_order_facts(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order's lines the total quantity, whether there is another supplier, and one that was late:
+    by the smallest and largest keys, so that an order's lines are never paired. Which lines are late the
+    orders tell; a row per order is kept of both, and that meets the lines."""
     late = F.when(col("l_receiptdate_days") > col("l_commitdate_days"), col("l_suppkey"))
-    order = with_orders(lines(spark, sf_dir), spark, sf_dir).groupBy(
-        col("l_orderkey").alias("k_order"), "o_orderstatus", "l_commitdate_days"
-    ).agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"), F.min(late).alias("late_low"), F.max(late).alias("late_high"))
+    facts = with_orders(lines(spark, sf_dir), spark, sf_dir).groupBy(col("l_orderkey").alias("k_order")).agg(
+        F.sum("l_quantity").alias("order_total_qty"), F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"),
+        F.min(late).alias("late_low"), F.max(late).alias("late_high"))
 
     def other(low: str, high: str) -> Column:
         return F.when((col(low) != col("l_suppkey")) | (col(high) != col("l_suppkey")), 1).otherwise(0)
 
-    return df.join(order, col("l_orderkey") == col("k_order")).withColumns(
+    return df.join(facts, col("l_orderkey") == col("k_order")).withColumns(
         {"has_other_supplier": other("low", "high"), "other_also_late": other("late_low", "late_high")}
     )
 
@@ -147,16 +144,33 @@ def exact_cents() -> Column:
     return F.sum(F.rint(col("c_acctbal") * 100).cast("long")) / F.count("*")
 
 
-Step = Callable[[DataFrame, SparkSession, str], DataFrame]
-STEPS: dict[str, tuple[Step, ...]] = {
-    "tpch_q1": (), "tpch_q2": (with_parts, with_suppliers), "tpch_q3": (with_customers,), "tpch_q4": (with_orders,),
-    "tpch_q5": (with_customers, with_suppliers), "tpch_q6": (), "tpch_q7": (with_customers, with_suppliers),
-    "tpch_q8": (with_customers, with_suppliers, with_parts), "tpch_q9": (with_orders, with_suppliers, with_parts),
-    "tpch_q10": (with_customers,), "tpch_q11": (with_suppliers, with_parts, with_part_quantities), "tpch_q12": (with_orders,),
-    "tpch_q14": (with_parts,), "tpch_q15": (), "tpch_q16": (with_suppliers, with_parts),
-    "tpch_q17": (with_parts, with_part_quantities), "tpch_q18": (with_customers, with_order_quantities), "tpch_q19": (with_parts,),
-    "tpch_q20": (with_suppliers, with_parts, with_part_quantities), "tpch_q21": (with_suppliers, with_order_and_other_suppliers),
-}
+#: What the wide table is made of, and the kernels that read the lines alone.
+WIDE_FROM = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
+STEPS = (with_customers, with_suppliers, with_parts, with_part_quantities, with_order_facts)
+OF_LINES = ("tpch_q1", "tpch_q6", "tpch_q15")
+_written: dict[tuple, tuple[str, StructType]] = {}
+
+
+def wide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line with all that a kernel reads of it."""
+    df = lines(spark, sf_dir)
+    for step in STEPS:
+        df = step(df, spark, sf_dir)
+    keys = {"k_part", "k_supp", "k_order", "c_key", "s_key", "low", "high", "late_low", "late_high", "l_shipdate", "o_orderdate"}
+    return df.drop(*keys)
+
+
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table, written once for all kernels of an application: each of them then scans its few
+    columns of it and joins and shuffles nothing. It is written anew when a table it is made of has
+    changed, and goes when the application ends."""
+    key = (spark.sparkContext.applicationId, *(version(spark, sf_dir, name) for name in WIDE_FROM))
+    if key not in _written:
+        plan, path = wide_plan(spark, sf_dir), fresh_folder(spark, "wide-rows")
+        plan.write.parquet(path)
+        _written[key] = path, plan.schema
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def row_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,10 +179,7 @@ def row_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return comments(spark, sf_dir)
     if name == "tpch_q22":
         return accounts(spark, sf_dir)
-    df = lines(spark, sf_dir)
-    for step in STEPS[name]:
-        df = step(df, spark, sf_dir)
-    return df
+    return lines(spark, sf_dir) if name in OF_LINES else wide_rows(spark, sf_dir)
 
 
 # --- numeric and payload kernels --------------------------------------------
