@@ -1,11 +1,16 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
-Detected entities - mail addresses, telephone and card numbers, network addresses,
-social-security numbers, access keys, secrets after a telling word, and names after
-a title - are replaced by values of the same kind that a keyed hash chooses. A name
-keeps its gender (told by the title) and script; a number keeps its grouping, and
-what makes it valid (card check digit, octets below 256); letters stay letters of
-the same case, digits digits.
+Detected entities - mail addresses, telephone, card and bank account numbers, network
+addresses, social-security numbers, access keys, secrets after a telling word, and
+names after a title - are replaced by values of the same kind that a keyed hash
+chooses. A name keeps its gender (told by the title, if it tells one) and script; a
+number keeps its grouping, and what makes it valid (check digits, octets below 256);
+letters stay letters of the same case, digits digits.
+
+A name that a title introduces is replaced in the same text without it, too, word by
+word, but for a word that the text also has in lower case, and for a given name that
+opens a sentence without the rest of the name: these are mostly other words. Words are
+looked up in buckets by hash, so the time does not grow with words times names.
 
 The same entity gets the same surrogate wherever it is found, in whatever
 formatting (telephone numbers by their last ten digits); parts of names are entities of their own, so that a full name and the
@@ -22,6 +27,8 @@ input is replaced by the result's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +40,13 @@ DEMONSTRATION_KEY = "demonstration key, not secret"
 # FIXED VALUES: titles by gender, and what surrogate names are made of.
 MALE = r"Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|господин|г-н"
 FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Sra|госпожа|г-жа"
+NEUTRAL = r"Dr|Doctor|Doktor|Docteur|Dra|Prof|Professor|Professeur|Profesor|доктор|профессор"
+TITLES = f"{MALE}|{FEMALE}|{NEUTRAL}"
 GIVEN = {
     ("male", "latin"): "Adrian Bruno Casper Damian Edgar Fabian Gideon Hugo Ivor Jasper Konrad Leopold Magnus Nestor Oscar Quentin".split(),
     ("female", "latin"): "Ada Beatrix Clara Dora Elena Flora Greta Helena Irma Judith Klara Leonie Mina Nora Olivia Petra".split(),
+    ("neutral", "latin"): "Alexis Ariel Auguste Blair Camille Dominique Eden Jules Kim Lou Maxime Noor Robin Sacha Toni Yael".split(),
+    ("neutral", "cyrillic"): "Саша Женя Валя Шура Слава Ника Паша Вика Мика Юля Тося Люба Гоша Рома Сима Тая".split(),
     ("male", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Захар Игорь Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("female", "cyrillic"): "Алла Белла Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия Майя Нина Ольга Полина Рада".split(),
 }
@@ -48,13 +59,17 @@ WORD = r"[\p{L}\p{N}_]"
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
 MAIL_END = r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 #: A capitalised word that is no title, or initials; between them, words such as "von".
-NAME = rf"(?!(?:{MALE}|{FEMALE})(?!\p{{L}}))(?:\p{{Lu}}[\p{{L}}’'-]{{1,40}}|(?:\p{{Lu}}\.){{1,4}})"
+NAME = rf"(?!(?:{TITLES})(?!\p{{L}}))(?:\p{{Lu}}[\p{{L}}’'-]{{1,40}}|(?:\p{{Lu}}\.){{1,4}})"
 PARTICLE = r"(?:von|van|der|den|de|del|della|di|da|dos|du|ten|ter|zu|bin|ibn)"
-TITLE = rf"(?:{MALE}|{FEMALE})\.? {{1,2}}"
+TITLE = rf"(?:(?:{TITLES})\.? {{1,2}}){{1,3}}"
 #: A word of a name, without what makes it a genitive.
 NAME_WORD = r"(?<![\p{L}’'-])(?:\p{Lu}\.|\p{L}+(?:[’'-](?!s(?!\p{L}))\p{L}+)*)"
 SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+HEX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})",
+    # Eight groups, or fewer on both sides of a double colon, one of them with a digit.
+    "address6": rf"(?=[A-Fa-f:]{{0,39}}\d)(?:(?:{HEX}:){{7}}{HEX}|{HEX}(?::{HEX}){{1,5}}::(?:{HEX}(?::{HEX}){{0,4}})?|{HEX}::{HEX}(?::{HEX}){{1,5}})(?![\w:])",
     "mail": rf"[A-Za-z0-9._%+-]{{1,64}}+{MAIL_END}",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})",
     "phone": r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
@@ -93,6 +108,21 @@ def _luhn_sum(digits: Column, doubled_from_last: int) -> Column:
     return F.aggregate(F.transform(places, term), F.lit(0), lambda a, x: a + x)
 
 
+def _remainder(text: Column) -> Column:
+    """What a number of digits and capitals, as two digits each, leaves when divided by 97."""
+
+    def step(left: Column, c: Column) -> Column:
+        letter = c.rlike("[A-Z]")
+        return F.pmod(left * F.when(letter, 100).otherwise(10) + F.when(letter, F.ascii(c) - 55).otherwise(F.ascii(c) - 48), F.lit(97))
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _account(text: Column) -> Column:
+    """An account number with country and check digits at the end, as they are checked."""
+    return F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+
+
 def valid_cards(found: Column) -> Column:
     return F.filter(found, lambda hit: F.pmod(_luhn_sum(_digits(hit), 0), F.lit(10)) == 0)
 
@@ -118,7 +148,10 @@ def kind_of(hit: Column) -> Column:
     """Kind of a detected string; null for digit groups and cards."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
-        kind = F.when(hit.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
+        matches = hit.rlike(f"^(?:{pattern})$")
+        if name == "iban":
+            matches = F.when(matches, _remainder(_account(F.replace(hit, F.lit(" ")))) == 1).otherwise(False)
+        kind = F.when(matches, F.lit(name)).otherwise(kind)
     return kind
 
 
@@ -130,7 +163,10 @@ def parts_of(hit: Column, kind: Column) -> Column:
     """The entities of a detected string, each by kind and by a value free of formatting, with the words
     of a name as they are written. Words such as "von" have no kind."""
     words = F.regexp_extract_all(F.regexp_replace(hit, f"^{TITLE}", ""), F.lit(NAME_WORD), F.lit(0))
-    gender = F.when(hit.rlike(rf"^(?:{FEMALE})(?!\p{{L}})"), "female").otherwise("male")
+    title = F.regexp_extract(hit, f"^{TITLE}", 0)
+    gender = F.lit("neutral")
+    for name_of, titles in (("male", MALE), ("female", FEMALE)):
+        gender = F.when(title.rlike(rf"(?<!\p{{L}})(?:{titles})(?!\p{{L}})"), name_of).otherwise(gender)
 
     def name(word: Column, i: Column) -> Column:
         last = (i == F.size(words) - 1) & ~word.rlike(r"\.$")
@@ -138,7 +174,7 @@ def parts_of(hit: Column, kind: Column) -> Column:
         return F.struct(F.when(~word.rlike(f"^{PARTICLE}$"), of).alias("kind"), F.initcap(word).alias("value"), word.alias("word"))
 
     value = (
-        F.when(kind == "mail", F.lower(hit))
+        F.when(kind.isin("mail", "address6"), F.lower(hit)).when(kind == "iban", F.replace(hit, F.lit(" ")))
         .when(kind == "phone", F.when(F.length(_digits(hit)) < 10, _digits(hit)).otherwise(F.right(_digits(hit), F.lit(10))))
         .when(kind.isin("card", "ssn"), _digits(hit))
         .when(kind == "secret", F.regexp_replace(hit, f"^{SECRET}", "")).otherwise(hit)
@@ -184,6 +220,13 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
         body = F.substring(digit, F.lit(1), length - 1)
     card = F.concat(body, F.pmod(-_luhn_sum(body, 1), F.lit(10)).cast("string"))
 
+    bban = masked(F.substring(value, F.lit(5), F.length(value)))
+    country = F.substring(value, 1, 2)
+    check = F.lpad((98 - _remainder(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0")
+
+    def hexed(c: Column, i: Column) -> Column:
+        return F.when(c == ":", c).otherwise(F.substring(digest, F.pmod(i, F.lit(128)) + 1, F.lit(1)))
+
     def octet(o: Column, i: Column) -> Column:
         n = number(i)
         free = F.pmod(n, F.lit(254)) + 1
@@ -193,7 +236,8 @@ def candidate(key: str, kind: Column, value: Column, attempt: int) -> Column:
         return sized.otherwise(F.pmod(n, F.lit(156)) + 100).cast("string")
 
     found = (
-        F.when(kind == "mail", mail).when(kind == "phone", phone).when(kind == "card", card)
+        F.when(kind == "mail", mail).when(kind == "iban", F.concat(country, check, bban))
+        .when(kind == "address6", F.array_join(F.transform(F.split(value, ""), hexed), "")).when(kind == "phone", phone).when(kind == "card", card)
         .when(kind == "address", F.array_join(F.transform(F.split(value, r"\."), octet), "."))
         .when(kind == "ssn", F.concat(F.lit("9") if attempt < 3 else F.substring(digit, 9, 1), F.substring(digit, 1, 8)))
         .when(kind == "short-phone", F.concat(F.substring(value, 1, 1 if attempt < 10 else 0), F.substring(digit, F.lit(1), length - (1 if attempt < 10 else 0))))
@@ -245,21 +289,63 @@ def _named(word: Column, surrogate: Column) -> Column:
     return F.when(word.rlike(r"^\p{Lu}\.$"), initial).when(word == F.upper(word), F.upper(surrogate)).otherwise(surrogate)
 
 
-def bare(pieces: Column, names: Column) -> Column:
-    """What lies between hits, as (pieces, n): with words that stand in one of ``names``, (length,
-    word, value, surrogate), replaced, and how many were."""
-    forms = F.flatten(F.transform(names, lambda n: F.array(n.word, F.upper(n.word), n.value)))
-    quoted = F.transform(F.array_distinct(forms), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
-    pattern = F.concat(F.lit(rf"(?<!{WORD})(?:"), F.array_join(quoted, "|"), F.lit(rf")(?!{WORD})"))
+#: Buckets of a text's names; a word that may be one, with its apostrophes and hyphens; what ends before a sentence.
+BUCKETS = 64
+CAPITALISED = rf"(?<!{WORD})\p{{Lu}}\p{{L}}*(?:[’'-](?!s(?!\p{{L}}))\p{{L}}+)*(?!{WORD})"
+SENTENCE = r"(?:[.!?…][\"'”’»)\]]*\s+|\n\s*)$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Written into the lambda of an array function, it would be
+    computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def surrogate(word: Column) -> Column:
-        return _named(word, F.get(F.filter(names, lambda n: n.value == F.initcap(word)), F.lit(0)).surrogate)
 
-    def treated(piece: Column) -> Column:
-        found = F.regexp_extract_all(piece, pattern, F.lit(0))
-        return F.struct(_filled(F.split(piece, pattern, -1), F.transform(found, surrogate)).alias("piece"), F.size(found).alias("n"))
+def names_by_bucket(names: Column, text: Column) -> Column:
+    """Buckets of (form, surrogate, given): the forms in which a text's ``names`` (length, word, value,
+    surrogate, given) may stand in it, but for those whose lower case is a word of the text."""
+    lower = F.regexp_extract_all(text, F.lit(rf"(?<!{WORD})\p{{Ll}}+(?!{WORD})"), F.lit(0))
 
-    return F.transform(pieces, treated)
+    def forms(common: Column) -> Column:
+        rare = F.filter(names, lambda n: ~F.array_contains(common, F.lower(n.value)))
+        return F.flatten(F.transform(rare, lambda n: F.transform(F.array(n.word, F.upper(n.word), n.value), lambda form: F.struct(
+            F.pmod(F.hash(form), F.lit(BUCKETS)).alias("bucket"), form.alias("form"), n.surrogate.alias("surrogate"), n.given.alias("given")))))
+
+    def dealt(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.filter(found, lambda f: f.bucket == b))
+
+    common = F.array_intersect(F.transform(names, lambda n: F.lower(n.value)), lower)
+    return let(let(common, forms), dealt)
+
+
+def bare(pieces: Column, names: Column, text: Column) -> Column:
+    """What lies between hits, as (piece, n): with words that stand in a text's ``names`` replaced, and
+    how many were."""
+
+    def known(buckets: Column, word: Column) -> Column:
+        return F.get(F.filter(F.get(buckets, F.pmod(F.hash(word), F.lit(BUCKETS))), lambda f: f.form == word), F.lit(0))
+
+    def new_word(buckets: Column, s: Column, w: Column, i: Column) -> Column:
+        def chosen(found: Column) -> Column:
+            opens = F.get(s.gaps, i).rlike(SENTENCE) | ((i == 0) & (F.get(s.gaps, i) == "") & (s.place == 0))
+            alone = F.coalesce((F.get(s.gaps, i + 1) != " ") | known(buckets, F.get(s.words, i + 1)).form.isNull(), F.lit(True))
+            whole = F.when(~(found.given & opens & alone), _named(w, found.surrogate))
+            # Of a word of several parts, such as Smith-Jones, some may be names.
+            parts = F.transform(F.split(w, "(?<=[’'-])|(?=[’'-])"), lambda p: F.coalesce(_named(p, known(buckets, p).surrogate), p))
+            return F.when(found.isNotNull(), whole).when(w.rlike("[’'-]"), F.nullif(F.array_join(parts, ""), w))
+
+        return let(known(buckets, w), chosen)
+
+    def treated(buckets: Column) -> Column:
+        cut = F.transform(pieces, lambda piece, k: F.struct(
+            F.split(piece, CAPITALISED, -1).alias("gaps"), F.regexp_extract_all(piece, F.lit(CAPITALISED), F.lit(0)).alias("words"), k.alias("place")))
+        new = F.transform(cut, lambda s: F.struct(
+            s.gaps.alias("gaps"), s.words.alias("words"), F.transform(s.words, lambda w, i: new_word(buckets, s, w, i)).alias("new")))
+        return F.transform(new, lambda t: F.struct(
+            _filled(t.gaps, F.zip_with(t.new, t.words, lambda n, w: F.coalesce(n, w))).alias("piece"),
+            F.size(F.filter(t.new, lambda n: n.isNotNull())).alias("n")))
+
+    return let(names_by_bucket(names, text), treated)
 
 
 def formatted(hit: Column, kind: Column, found: Column) -> Column:
@@ -276,9 +362,16 @@ def formatted(hit: Column, kind: Column, found: Column) -> Column:
     rest = F.substring(hit, F.length(title) + 1, F.length(hit))
     words = F.regexp_extract_all(rest, F.lit(NAME_WORD), F.lit(0))
     names = F.concat(title, _filled(F.split(rest, NAME_WORD, -1), F.zip_with(words, found, _named)))
+    spaced = F.aggregate(
+        F.split(hit, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("n")),
+        lambda a, c: F.when(c == " ", F.struct(F.concat(a.s, c).alias("s"), a.n.alias("n")))
+        .otherwise(F.struct(F.concat(a.s, F.substring(found[0], a.n, F.lit(1))).alias("s"), (a.n + 1).alias("n"))),
+        lambda a: a.s,
+    )
     loud = hit.rlike(r"\p{Lu}") & ~hit.rlike(r"\p{Ll}")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), refilled).when(kind == "mail", F.when(loud, F.upper(found[0])).otherwise(found[0]))
+        F.when(kind.isin("phone", "card", "ssn"), refilled).when(kind.isin("mail", "address6"), F.when(loud, F.upper(found[0])).otherwise(found[0]))
+        .when(kind == "iban", spaced)
         .when(kind == "secret", F.concat(F.regexp_extract(hit, f"^{SECRET}", 0), found[0])).when(kind == "person", names)
         .otherwise(found[0])
     )
@@ -309,7 +402,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.struct("pos", F.coalesce("surrogate", "word").alias("surrogate"), "kind", "word", "value"))).alias("parts")
     ).select("entity", formatted(F.col("entity"), F.col("of"), new).alias("new"), F.transform(
         F.filter("parts", lambda p: (F.col("of") == "person") & p.kind.isNotNull() & ~p.word.rlike(r"\.$")),
-        lambda p: F.struct(F.length(p.word).alias("length"), p.word.alias("word"), p.value.alias("value"), p.surrogate.alias("surrogate"))).alias("names"))
+        lambda p: F.struct(F.length(p.word).alias("length"), p.word.alias("word"), p.value.alias("value"), p.surrogate.alias("surrogate"),
+                           p.kind.startswith("given").alias("given"))).alias("names"))
     # One row per hit; only stretches of numbers hold more than one entity.
     replaced = mentions.select("hit", "between", F.posexplode("inner").alias("pos", "entity")).join(renamed, "entity").groupBy("hit").agg(
         F.first("between").alias("between"), F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new"),
@@ -325,7 +419,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     # Names found with a title are replaced without one, too.
     between = F.split(target, ANY, -1)
     unnamed = F.transform(between, lambda piece: F.struct(piece.alias("piece"), F.lit(0).alias("n")))
-    joined = dirty.join(placed, "content").withColumn("between", F.when(F.size("names") == 0, unnamed).otherwise(bare(between, F.col("names"))))
+    joined = dirty.join(placed, "content").withColumn(
+        "between", F.when(F.size("names") == 0, unnamed).otherwise(bare(between, F.col("names"), F.col(target))))
     treated = joined.withColumn(target, _filled(F.col("between.piece"), F.col("placed.new"))).withColumn(
         "n_entities", F.col("n_entities") + F.aggregate("between.n", F.lit(0), lambda a, n: a + n)).select(*own.values(), "n_entities")
     return clean.unionByName(treated).select(*[F.col(c).alias(n) for n, c in own.items()], "n_entities")

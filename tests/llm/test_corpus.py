@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -481,6 +482,68 @@ def test_whole_names_are_replaced_with_and_without_a_title(spark):
     assert not re.search("7946|5551234567|2345678901|22 33 44", got[5])
 
 
+def test_other_words_are_left_where_a_name_is_also_a_word(spark):
+    got = replaced(
+        spark, "Mr. Will May met Mrs. Rose Park. Will you come? Will May did. So did Rose, and Park.", "Mr. Will May came. I will not. May Will go? It may.",
+        "Mr. Conan O'Neil and Mrs. Anna Smith-Jones. O'Neil met Smith-Jones, O'NEIL; Jones-O'Neil.")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Will you come\? (\w+) (\w+) did\. So did (\w+), and (\w+)\.", got[0])
+    assert m and (m[5], m[6], m[7], m[8]) == (m[1], m[2], m[3], m[4]) and not {"Will", "May", "Rose", "Park"} & set(m.groups())
+    assert re.fullmatch(r"Mr\. \w+ \w+ came\. I will not\. May Will go\? It may\.", got[1]) and "Mr. Will" not in got[1]
+    n = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+)\. (\w+) met (\w+), (\w+); (\S+)\.", got[2])
+    assert n[2] == n[5] and n[4] == n[6] and n[7] == n[2].upper() and not re.search("Neil|Smith|Conan|Anna", got[2].split(";")[0])
+
+
+def remainder(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_accounts_addresses_and_learned_titles(spark):
+    got = replaced(
+        spark, "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432.", "DE88 3704 0044 0532 0130 00",
+        "2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567:890a/64", "std::vector abc::def 12:34:56 ::1 a::b", "Dr. Jane Miller, Prof. Lee and Prof. Dr. Otto Maier; Miller said.")
+    m = re.fullmatch(r"IBAN ((?:DE\d\d)(?: \d{4}){4} \d\d), (GB\d\d[A-Z]{4}\d{14})\.", got[0])
+    assert m and remainder(m[1].replace(" ", "")) == remainder(m[2]) == 1 and m[1] != "DE89 3704 0044 0532 0130 00" and "WEST" not in m[2]
+    assert remainder("DE88370400440532013000") != 1 and got[1].startswith("DE88 ")
+    assert re.fullmatch(r"[0-9a-f]{4}(:[0-9a-f]{4}){7}, [0-9a-f]{4}::[0-9a-f]{3}(:[0-9a-f]{4}){3}/64", got[2]) and "85a3" not in got[2] and "890a" not in got[2]
+    assert got[3] == "std::vector abc::def 12:34:56 ::1 a::b"
+    n = re.fullmatch(r"Dr\. (\w+) (\w+), Prof\. (\w+) and Prof\. Dr\. (\w+) (\w+); (\w+) said\.", got[4])
+    assert n[2] == n[6] and n[1] in surrogates.GIVEN["neutral", "latin"] and not {"Jane", "Miller", "Lee", "Otto", "Maier"} & set(n.groups())
+
+
+ENTITIES = "Mr. John Smith, ann@mail.example.org, 555-123-4567. Smith wrote."
+
+
+def test_entities_in_awkward_rows(spark):
+    """Null keys, repeated rows and columns of every name the operator uses itself."""
+    names = ["doc_id", "text", "hits", "content", "n_entities", "names", "c0", "row", "between", "odd.name"]
+    texts = [ENTITIES, ENTITIES, None, "", "plain", ENTITIES * 300]
+    rows = [(n if n % 2 else None, t, "h", b"c", 5, ["n"], n, "r", 1.5, "o") for n, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0], rows[1]], ", ".join(f"`{n}` {t}" for n, t in zip(
+        names, ("long", "string", "string", "binary", "int", "array<string>", "int", "string", "double", "string"), strict=True))).repartition(3)
+    out = surrogates.pseudonymised(df, "k").collect()
+    assert len(out) == 8 and set(out[0].asDict()) == set(names)
+    treated = [r for r in out if r.text and len(r.text) < 100 and r.text != "plain"]
+    assert len(treated) == 4 and len({r.text for r in treated}) == 1 and {r.n_entities for r in treated} == {4}
+    assert not re.search("John|Smith|ann@|555-123-4567", " ".join(r.text or "" for r in out))
+    assert sorted((r.doc_id, r.c0, r["odd.name"]) for r in out if r.doc_id is not None) == [(1, 1, "o"), (1, 1, "o"), (3, 3, "o"), (5, 5, "o")]
+    long = next(r for r in out if r.text and len(r.text) > 1000)
+    assert long.n_entities == 1200 and long.text == treated[0].text * 300
+    assert surrogates.pseudonymised(df.limit(0), "k").count() == 0
+
+
+def test_many_names_in_one_text_take_no_longer_than_in_many(spark):
+    names = [a + b + c + d for a in "BCDFGHKLMN" for b in "aeiou" for c in "rtnlkmsvpz" for d in "aou"]
+    texts = [f"Mr. {n} came, as {n} said." for n in names]
+
+    def seconds(rows):
+        started = time.perf_counter()
+        assert not any(n in t.split() for t in replaced(spark, *rows) for n in names[:50])
+        return time.perf_counter() - started
+
+    many = seconds(texts)
+    assert seconds([" ".join(texts)]) < 1.5 * many + 3
+
+
 def test_personal_data_of_given_and_awkward_documents(spark, given, awkward, nothing):
     pattern = re.compile(r"[\w.%+-]+@[\w-]+\.[\w.-]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA[0-9A-Z]{16}")
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in (given, surrogates.digest(given)))
