@@ -3,11 +3,20 @@
 On unit vectors, a cosine of at least t is a distance of at most
 eps = sqrt(2 - 2 t). The vectors are turned to their principal axes, which keeps
 distances, and sorted by label and by the cells of a grid of width eps on the
-leading axes. The sorted sequence is cut into blocks, blocks into groups, groups
-into range partitions, each with its bounding box. From the partitions down,
-intervals are joined with intervals, and a pair goes on to its parts only if the
-boxes are not farther apart than eps. Two blocks are joined in the same way inside
-a task, down to leaves of 64 vectors, which are compared in double precision.
+leading axes. The sorted sequence is cut into blocks, each with its bounding box, and
+the blocks stand at the bottom of a tree: range partitions above them, intervals of
+eight partitions above these, and so on to one root for each label. From the roots
+down, intervals are joined with intervals, and a pair goes on to its parts only if the
+boxes are not farther apart than eps. So no join has a label for its key, and a pair of
+nodes makes at most 64 pairs below the partitions' level. Two blocks are joined in the
+same way inside a task, down to intervals of 1,024 vectors. These are screened by a product
+in single precision, whose rounding is allowed for; where it leaves a chance, leaves
+of 64 vectors are compared in double precision.
+
+A block holds 4 MB of components, so a pair of blocks ships 4 MB to 16,384 squared
+comparisons of 64 dimensions. Where boxes prune, the work grows with the vectors and their
+neighbours; where they cannot (many dimensions of like width), with the square of a
+label's vectors.
 
 Equal vectors of a label are one vector with a count. A pair of blocks emits link
 counts and connecting edges, never its pairs. The axes come from the moments of
@@ -33,12 +42,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from .links import components, spanning_between, spanning_edges
-from .shared import Rows, own_columns, spread, strings, written
+from .shared import Rows, dropped, own_columns, spread, strings, written
 
 THRESHOLD = 0.98
 #: Leading principal axes in the sort key.
 AXES = 8
-LEAF, BLOCK, GROUP, PARTITION = 64, 2048, 4, 32_768
+LEAF, PARTITION = 64, 32_768
+#: Bytes of a block's components, and leaves on a side of a product in single precision.
+BLOCK_BYTES, SCREENED = 4 << 20, 16
+#: Nodes of the tree of boxes under a node above them.
+FAN = 8
 #: Slack for rounding when boxes are compared, and the width about the threshold in which a cosine
 #: is computed again from the given components.
 SLACK, CLOSE = 1e-9, 1e-9
@@ -97,11 +110,13 @@ def _keyed(axes: np.ndarray, eps: float, stored: str) -> Callable[[Iterator[pa.R
 
 
 BLOCKS = pa.schema([
-    ("label", pa.string()), ("dim", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("lo", pa.list_(pa.float64())),
+    ("label", pa.string()), ("dim", pa.int32()), ("number", pa.int64()), ("lo", pa.list_(pa.float64())),
     ("hi", pa.list_(pa.float64())), ("uids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()),
 ])
-BLOCK_COLUMNS = ("label string, dim int, part long, block long, lo array<double>, hi array<double>, uids binary, "
+BLOCK_COLUMNS = ("label string, dim int, number long, lo array<double>, hi array<double>, uids binary, "
                  "copies binary, vectors binary")
+#: A block's number is that of its partition and its place there, so numbers are in the order of the sequence.
+PLACE_BITS = 32
 
 
 def _turned(raw: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -118,11 +133,11 @@ def _blocks(axes: np.ndarray, stored: str) -> Callable[[Iterator[pa.RecordBatch]
             raw = np.array([np.frombuffer(v, stored) for _, _, v in held])
             turned = _turned(raw.astype("<f8"), axes)
             uids, copies = (np.array([h[k] for h in held], "<i8").tobytes() for k in (0, 1))
-            yield from out.add((*key, part, block, turned.min(axis=0), turned.max(axis=0), uids, copies, raw.tobytes()), raw.nbytes)
+            yield from out.add((*key, (part << PLACE_BITS) + block, turned.min(axis=0), turned.max(axis=0), uids, copies, raw.tobytes()), raw.nbytes)
 
         for batch in batches:
             for label, dim, uid, copies, vector in zip(*(strings(batch.column(c)) for c in ("label", "dim", "uid", "copies", "vector")), strict=True):
-                if held and ((label, dim) != key or len(held) == BLOCK):
+                if held and ((label, dim) != key or (len(held) + 1) * len(vector) > max(BLOCK_BYTES, LEAF * len(vector))):
                     yield from close()
                     held, block = [], block + 1
                 key = (label, dim)
@@ -134,18 +149,26 @@ def _blocks(axes: np.ndarray, stored: str) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-BOX_COLUMNS = "label string, dim int, part long, level int, number long, lo array<double>, hi array<double>"
+BOX_COLUMNS = "label string, dim int, number long, lo array<double>, hi array<double>"
 
 
-def _boxes(rows: pd.DataFrame) -> pd.DataFrame:
-    """Boxes of a range partition's blocks (level 0), their groups (1) and the whole (2)."""
-    label, dim, part = rows.label.iloc[0], rows.dim.iloc[0], rows.part.iloc[0]
-    found = [(label, dim, part, 0, n, lo, hi) for n, lo, hi in zip(rows.block, rows.lo, rows.hi, strict=True)]
-    for level, number in ((1, rows.block // GROUP), (2, rows.block * 0)):
-        for n, inner in rows.groupby(number):
-            lo, hi = np.stack(inner.lo.to_list()).min(axis=0), np.stack(inner.hi.to_list()).max(axis=0)
-            found.append((label, dim, part, level, n, lo, hi))
-    return pd.DataFrame(found, columns=["label", "dim", "part", "level", "number", "lo", "hi"])
+def _hull(rows: pd.DataFrame) -> pd.DataFrame:
+    """The box about the boxes of a node's parts."""
+    lo, hi = np.stack(rows.lo.to_list()).min(axis=0), np.stack(rows.hi.to_list()).max(axis=0)
+    return pd.DataFrame([(rows.label.iloc[0], rows.dim.iloc[0], rows.up.iloc[0], lo, hi)], columns=["label", "dim", "number", "lo", "hi"])
+
+
+def box_tree(blocks: DataFrame, parts: int) -> list[DataFrame]:
+    """Boxes (label, dim, number, lo, hi, up) by level: blocks, range partitions, intervals of FAN of them
+    and so on; the last level has one node for each label. ``up`` is the number of the node above."""
+    boxes = blocks.select("label", "dim", "number", "lo", "hi").withColumn("up", F.shiftright("number", PLACE_BITS))
+    levels = [written(boxes, "boxes")]
+    while True:
+        above = levels[-1].groupBy("label", "dim", "up").applyInPandas(_hull, BOX_COLUMNS)
+        levels.append(written(above.withColumn("up", F.floor(F.col("number") / FAN)), "boxes"))
+        if parts <= 1:
+            return levels
+        parts = -(-parts // FAN)
 
 
 def _near(eps: float) -> Column:
@@ -154,33 +177,22 @@ def _near(eps: float) -> Column:
     return F.expr(f"{distance} <= {(eps + SLACK) ** 2!r}D")
 
 
-def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(part_a, block_a, part_b, block_b): pairs of blocks whose boxes are within eps, each once."""
-    boxes = written(
-        blocks.select("label", "dim", "part", "block", "lo", "hi").groupBy("label", "dim", "part").applyInPandas(_boxes, BOX_COLUMNS),
-        "boxes",
-    )
-
-    def level(n: int) -> DataFrame:
-        box = boxes.filter(F.col("level") == n)
-        return box.withColumn("up", F.floor(F.col("number") / GROUP)) if n == 0 else box.withColumn("up", F.lit(0).cast("long"))
-
-    ordered = F.expr("a.part < b.part or (a.part = b.part and a.number <= b.number)")
-    keep = [F.expr(f"{s}.{c} as {c}_{s}") for s in "ab" for c in ("label", "dim", "part", "number")]
-    # Range partitions of a label: as many as its rows need, so few; everything below descends from them.
-    top = level(2)
-    pairs = top.alias("a").join(top.alias("b"), ["label", "dim"]).filter(ordered & _near(eps)).select(
-        *[F.expr(f"{c} as {c}_{s}") for s in "ab" for c in ("label", "dim")], *[F.expr(f"{s}.{c} as {c}_{s}") for s in "ab" for c in ("part", "number")])
-    for n in (1, 0):
-        inner = level(n)
-
-        def of(side: str) -> Column:
-            own = F.expr(" and ".join(f"{side}.{c} = {c}_{side}" for c in ("label", "dim", "part")))
-            return own & (F.expr(f"{side}.up = number_{side}") if n == 0 else F.lit(True))
-
-        pairs = pairs.join(inner.alias("a"), of("a")).join(inner.alias("b"), of("b")).filter(ordered & _near(eps)).select(*keep)
-        pairs = written(pairs, "pairs")
-    return pairs.select("part_a", F.col("number_a").alias("block_a"), "part_b", F.col("number_b").alias("block_b"))
+def block_pairs(blocks: DataFrame, parts: int, eps: float) -> DataFrame:
+    """(number_a, number_b): pairs of blocks whose boxes are within eps, each once. ``parts`` is the
+    number of range partitions."""
+    *below, roots = levels = box_tree(blocks, parts)
+    pairs = roots.select("label", "dim", F.col("number").alias("number_a"), F.col("number").alias("number_b"))
+    before = []
+    for level in reversed(below):
+        for side in "ab":
+            inner = level.select("label", "dim", F.col("up").alias(f"number_{side}"), F.struct("number", "lo", "hi").alias(side))
+            pairs = pairs.join(inner, ["label", "dim", f"number_{side}"])
+        pairs = written(pairs.filter(F.expr("a.number <= b.number") & _near(eps)).select(
+            "label", "dim", F.col("a.number").alias("number_a"), F.col("b.number").alias("number_b")), "pairs")
+        dropped(*before)
+        before = [pairs]
+    dropped(*levels)
+    return pairs.select("number_a", "number_b")
 
 
 class Sequence:
@@ -190,6 +202,7 @@ class Sequence:
         self.uids, self.copies = np.frombuffer(uids, "<i8"), np.frombuffer(copies, "<i8")
         self.raw = np.frombuffer(vectors, stored).astype("<f8").reshape(len(self.uids), -1)
         self.unit = _turned(self.raw, axes)
+        self.single = self.unit.astype("<f4")
         starts = np.arange(0, len(self.uids), LEAF)
         self.lo, self.hi = np.minimum.reduceat(self.unit, starts), np.maximum.reduceat(self.unit, starts)
 
@@ -197,7 +210,16 @@ class Sequence:
         return slice(leaf * LEAF, (leaf + 1) * LEAF)
 
 
-def leaf_pairs(a: Sequence, b: Sequence, same: bool, eps: float) -> Iterator[tuple[int, int]]:
+def _screened(a: Sequence, i: int, k: int, b: Sequence, j: int, m: int, threshold: float) -> np.ndarray:
+    """Which leaves of two intervals may have a link: a row for each leaf of a, a column for each of b."""
+    x, y = a.single[i * LEAF : k * LEAF], b.single[j * LEAF : m * LEAF]
+    # Unit vectors: the products of rounded components, and their sum in any order, are off by less than this.
+    slack = (x.shape[1] + 4) * 2.0**-23
+    most = np.maximum.reduceat(x @ y.T, np.arange(0, len(y), LEAF), axis=1)
+    return np.maximum.reduceat(most, np.arange(0, len(x), LEAF), axis=0) >= threshold - slack
+
+
+def leaf_pairs(a: Sequence, b: Sequence, same: bool, threshold: float, eps: float) -> Iterator[tuple[int, int]]:
     """Leaves that may hold close vectors, by joining halves of the two sequences recursively."""
     waiting = [(0, len(a.lo), 0, len(b.lo))]
     while waiting:
@@ -208,9 +230,10 @@ def leaf_pairs(a: Sequence, b: Sequence, same: bool, eps: float) -> Iterator[tup
         gap = np.maximum(gap, 0)
         if gap @ gap > (eps + SLACK) ** 2:
             continue
-        if k - i == 1 and m - j == 1:
-            if not same or i <= j:
-                yield i, j
+        if max(k - i, m - j) <= SCREENED:
+            for p, q in np.argwhere(_screened(a, i, k, b, j, m, threshold)).tolist():
+                if not same or i + p <= j + q:
+                    yield i + p, j + q
         elif k - i >= m - j:
             half = (i + k) // 2
             waiting += [(i, half, j, m), (half, k, j, m)]
@@ -237,7 +260,7 @@ def _compared(axes: np.ndarray, threshold: float, eps: float, stored: str) -> Ca
             for same, *sides in zip(*(strings(batch.column(c)) for c in range(7)), strict=True):
                 a, b = Sequence(*sides[:3], axes, stored), Sequence(*sides[3:], axes, stored)
                 links_a, links_b = np.zeros(len(a.uids), np.int64), np.zeros(len(b.uids), np.int64)
-                for i, j in leaf_pairs(a, b, same, eps):
+                for i, j in leaf_pairs(a, b, same, threshold, eps):
                     x, y = a.rows(i), b.rows(j)
                     linked = _linked(a, x, b, y, threshold)
                     inside = same and i == j
@@ -281,16 +304,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "v
     axes = principal_axes(distinct, usual[0].dim) if usual else np.eye(1)
     keyed = written(distinct.select("label", "dim", "uid", "copies", "vector").mapInArrow(_keyed(axes, eps, stored), KEYED_COLUMNS), "keyed")
     order = ["label", "dim", "cells", "uid"]
-    ordered = keyed.repartitionByRange(spread(keyed.count(), PARTITION, 4), *order).sortWithinPartitions(*order)
+    parts = spread(keyed.count(), PARTITION, 4)
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     blocks = written(ordered.mapInArrow(_blocks(axes, stored), BLOCK_COLUMNS), "blocks")
 
-    pairs = block_pairs(blocks, eps)
-    sides = [
-        blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("part", "block", "uids", "copies", "vectors")]) for s in "ab"
-    ]
-    both = pairs.join(sides[0], ["part_a", "block_a"]).join(sides[1], ["part_b", "block_b"]).select(
-        ((F.col("part_a") == F.col("part_b")) & (F.col("block_a") == F.col("block_b"))).alias("same"),
-        *[f"{c}_{s}" for s in "ab" for c in ("uids", "copies", "vectors")],
+    pairs = block_pairs(blocks, parts, eps)
+    sides = [blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("number", "uids", "copies", "vectors")]) for s in "ab"]
+    both = pairs.join(sides[0], "number_a").join(sides[1], "number_b").select(
+        (F.col("number_a") == F.col("number_b")).alias("same"), *[f"{c}_{s}" for s in "ab" for c in ("uids", "copies", "vectors")]
     )
     found = written(both.mapInArrow(_compared(axes, threshold, eps, stored), "uid long, other long, links long"), "found")
     groups = components(found.filter("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))

@@ -378,9 +378,9 @@ def plain_vectors(rows, threshold=0.98):
     return sorted(((r.vec_id, links[i], smallest[label[i]]) for i, r in enumerate(rows) if r.vec_id is not None), key=repr)
 
 
-@pytest.mark.parametrize("sizes", [(64, 512, 32_768), (3, 7, 20)])
+@pytest.mark.parametrize("sizes", [(64, 1 << 20, 32_768, 16, 8), (3, 7 * 48, 20, 1, 2), (2, 48, 9, 2, 3)])
 def test_vectors_equal_brute_force(spark, monkeypatch, sizes):
-    for name, value in zip(("LEAF", "BLOCK", "PARTITION"), sizes, strict=True):
+    for name, value in zip(("LEAF", "BLOCK_BYTES", "PARTITION", "SCREENED", "FAN"), sizes, strict=True):
         monkeypatch.setattr(grid_order_join, name, value)
     rng = np.random.default_rng(6)
     rows = [(n, rng.normal(size=12).tolist(), n % 3, 1, "x") for n in range(80)]
@@ -394,6 +394,40 @@ def test_vectors_equal_brute_force(spark, monkeypatch, sizes):
     assert grid_order_join.digest(df.limit(0)).count() == 0
 
 
+def test_blocks_are_paired_from_one_root_a_label(spark, monkeypatch):
+    monkeypatch.setattr(grid_order_join, "FAN", 2)
+    rng, width = np.random.default_rng(3), 0.3
+    rows = []
+    for part in range(11):
+        for block in range(3):
+            lo = rng.uniform(0, 4, 2)
+            rows.append((str(part // 6), 2, (part << grid_order_join.PLACE_BITS) + block, lo.tolist(), (lo + width).tolist()))
+    blocks = spark.createDataFrame(rows, grid_order_join.BOX_COLUMNS)
+    levels = grid_order_join.box_tree(blocks, 11)
+    assert [level.count() for level in levels] == [33, 11, 6, 4, 3, 2]  # 11, 6, 3, 2, 1 of all, cut where labels change
+    assert all(level.groupBy("label", "up").count().agg({"count": "max"}).first()[0] <= 3 for level in levels)
+    got = sorted(tuple(r) for r in grid_order_join.block_pairs(blocks, 11, 0.25).collect())
+
+    def apart(a, b):
+        gap = [max(0, p - s, q - r) for p, r, q, s in zip(a[3], a[4], b[3], b[4], strict=True)]
+        return sum(g * g for g in gap) > 0.25**2
+
+    assert got == sorted((a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] <= b[2] and not apart(a, b))
+
+
+def test_screening_in_single_precision_misses_nothing():
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 33))
+    near = base[rng.integers(0, 40, 300)] + rng.normal(size=(300, 33)) * rng.uniform(0, 0.3, (300, 1))
+    raw = np.vstack([base, near, near * 7e20])
+    side = grid_order_join.Sequence(np.arange(len(raw), dtype="<i8").tobytes(), np.ones(len(raw), "<i8").tobytes(), raw.tobytes(), np.eye(33), "<f8")
+    cosine = side.unit @ side.unit.T
+    for threshold in (0.98, float(np.sort(cosine.ravel())[-5000])):  # the second is a cosine that occurs
+        leaves = set(grid_order_join.leaf_pairs(side, side, True, threshold, math.sqrt(2 - 2 * threshold)))
+        want = {tuple(sorted(p)) for p in (np.argwhere(cosine >= threshold) // grid_order_join.LEAF).tolist()}
+        assert want <= leaves
+
+
 # Personal data
 
 def replaced(spark, *texts):
