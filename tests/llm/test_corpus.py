@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import decision_lists, grid_order_join, jaccard_join, language_codes, shared, sharding, surrogates
@@ -47,6 +48,39 @@ def test_shards_do_not_depend_on_ranges(spark, given, monkeypatch):
     assert whole == {(r.doc_id, r.shard, r.slot) for r in sharding.interleaved(narrow.repartition(5)).collect()}
 
 
+def plain_hash(*values):
+    """Spark's xxhash64 of integers, longs and strings: each is hashed with the hash of those before it as seed."""
+    h = 42
+    for n, value in enumerate(values):
+        if value is not None:
+            data = value.encode() if isinstance(value, str) else value.to_bytes(4 if n == 0 else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+@pytest.mark.parametrize("table, ranges", [("given", 10_000), ("given", 7), ("awkward", 10_000), ("awkward", 5)])
+def test_shards_equal_a_plain_ranking(request, monkeypatch, table, ranges):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", ranges)
+    docs = request.getfixturevalue(table)
+    sources = defaultdict(list)
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        row = (r.doc_id, r.source, len(data) + 8, zlib.crc32(data))
+        sources[r.source].append((plain_hash(sharding.SEED, *row), row))
+    order = []
+    for members in sources.values():
+        members.sort(key=lambda m: m[0])
+        order += [((n + 0.5) / len(members), h, row) for n, (h, row) in enumerate(members)]
+    order.sort(key=lambda m: m[:2])
+    want, filled = Counter(), Counter()
+    for position, (_, _, (doc_id, _, size, crc)) in enumerate(order):
+        shard = position * 24 // len(order)
+        want[doc_id, size, crc, shard, filled[shard]] += 1
+        filled[shard] += 1
+    rows = sharding.digest(docs).collect()
+    assert want == Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in rows)
+
+
 @pytest.mark.parametrize("keys", ["equal", "null"])
 def test_equal_rows_are_not_ranked_in_one_task(spark, monkeypatch, keys):
     """Two thirds of the rows are equal; a range is ranked in tasks of about ROWS_PER_RANGE rows all the same."""
@@ -165,6 +199,33 @@ def test_rules_find_what_is_poor_and_leave_the_rest(spark, sf_dir):
         assert r.kept == (not r.base_failed and r.rule is None)
 
 
+def test_verdicts_equal_the_rules_read_one_after_another(spark, given, awkward):
+    Condition = decision_lists.Condition
+    rules = [(Condition("symbols_per_word", True, 0.1),), (Condition("words", False, 60.0), Condition("upper", True, 0.0)),
+             (Condition("words", True, 250.0),)]
+
+    def plain(text):
+        s = dict(zip(decision_lists.STATISTICS, decision_lists.statistics(text), strict=True))
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        for rule in rules:
+            holds = []
+            for condition in rule:
+                over, under = decision_lists.FEATURES[condition.name]
+                value = s[over] / max(s[under], 1) if under else s[over]
+                holds.append(value > condition.cut if condition.above else value <= condition.cut)
+            if all(holds):
+                return failed, " and ".join(map(str, rule)), False
+        return failed, None, not failed
+
+    seen = set()
+    for docs in (given, awkward):
+        judged = decision_lists.with_statistics(docs).select("row.text", *[c.alias(f"said_{n}") for n, c in decision_lists.judgement(rules).items()])
+        for r in judged.collect():
+            assert (r.said_base_failed, r.said_rule, r.said_kept) == plain(r.text or "")
+            seen.add((r.said_rule, r.said_kept))
+    assert len({rule for rule, _ in seen}) >= 3 and (None, True) in seen
+
+
 def test_rules_are_ordered_conditionals():
     rng = np.random.default_rng(3)
     x = {name: rng.random(3000) for name in decision_lists.FEATURES}
