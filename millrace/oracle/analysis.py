@@ -71,15 +71,16 @@ WIDE = (
     "string_agg(file || '=' || CAST(round_even(value * 1000000, 0) AS BIGINT), ';' ORDER BY file) AS cells FROM cells GROUP BY ALL"
 )
 
+MEASURED = "SELECT strftime(ts, '%Y-%m-%d') AS file, event_type AS benchmark, value FROM events"
+
 
 def statements() -> dict[str, str]:
     return {
         "src_driver_tables": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES
         ),
-        "src_bench_json": (
-            "SELECT strftime(ts, '%Y-%m-%d') AS file, event_type AS benchmark, value FROM events"
-        ),
+        "src_bench_json": MEASURED,
+        "src_bench_json_split": MEASURED,
         "src_run_log": f"WITH {LOG} SELECT query, seq, line FROM log",
         "run_report": (
             "SELECT 'tpch_q6' AS tag, count(*) AS input_rows, count(*) AS expected_rows, count(*) AS output_rows, true AS timed FROM lineitem"

@@ -13,6 +13,7 @@ from ..operators import reports
 from ..operators.row_kernels import KERNELS
 from ..sources.bench_results import read_bench_results, write_result_lines
 from ..sources.run_logs import read_run_log, write_run_log
+from ..sources.split_documents import read_large_results, write_large_results
 from ..sources.tables import TABLES, row_count, table
 from ..sources.workspace import fresh_folder
 from .row_inputs import row_input
@@ -61,6 +62,17 @@ def measured_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bench_results(spark, path, multi_line=False, file_column="file")
 
 
+def measured_in_large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as few large documents and read back, each by several tasks once it is large.
+    The day goes into the name of the benchmark."""
+    path = fresh_folder(spark, "large-results")
+    name = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("/"), "event_type")
+    write_large_results(
+        table(spark, sf_dir, "events").select(name.alias("benchmark"), "value", col("event_id").alias("seq")), path, 1_000_000)
+    day_and_type = F.split("benchmark", "/", 2)
+    return read_large_results(spark, path).select(day_and_type[0].alias("file"), day_and_type[1].alias("benchmark"), "value")
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """Events as the log of one benchmark run per user: (query, seq, line)."""
     query = F.concat(F.lit("q"), col("user_id").cast("string"))
@@ -145,6 +157,7 @@ def queries() -> dict[str, Query]:
     return {
         "src_driver_tables": table_sizes,
         "src_bench_json": measured_values,
+        "src_bench_json_split": measured_in_large_documents,
         "src_run_log": run_log,
         "run_report": timed_run,
         "log_metrics": metrics,

@@ -13,6 +13,7 @@ from millrace.operators import reports
 from millrace.sources.bench_results import read_bench_results
 from millrace.sources.generated import wide_table
 from millrace.sources.run_logs import read_run_log, write_run_log
+from millrace.sources.split_documents import fragments, read_large_results, write_large_results
 from millrace.sources.tables import table
 from millrace.streaming import prices, runs
 
@@ -50,6 +51,46 @@ def test_result_documents(spark, tmp_path):
     ]
 
 
+ODD = 'quote " brace { } {" back \\\\ slash \\" [{ end \\\\'
+LARGE = {
+    "long.json": {"version": "1", "tags": [{"name": "no"}, {"runs": [run(0.5)]}], "benchmarks": [
+        {"metadata": {"name": f"{ODD}{n % 7}" if n % 3 else None}, "runs": [run(n + 0.25, name=f"{ODD}r{n}" if n % 2 else None), run(), run(n + 0.5, n + 0.75)]}
+        for n in range(60)], "metadata": {"name": ODD, "deep": {"name": "no", "metadata": {"name": "no"}}}},
+    "alone.json": {"metadata": {"load": 1.0}, "runs": [run(float(n), name=f"n{n}" if n > 3 else None) for n in range(80)], "version": "{"},
+    "none.json": {"version": "1"},
+    "with space.json": {"benchmarks": [], "metadata": {"name": "z"}},
+}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_a_large_document_is_read_by_several_tasks(spark, tmp_path, indent):
+    for name, document in {**DOCUMENTS, **LARGE}.items():
+        (tmp_path / name).write_text(json.dumps(document, indent=indent))
+    (tmp_path / "blank.json").write_text(" \n")
+    want = sorted((r.file, r.benchmark, r.value) for r in read_bench_results(spark, str(tmp_path)).collect())
+    assert len(want) > 250
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("997", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted((r.file, r.benchmark, r.value) for r in read_large_results(spark, str(tmp_path)).collect())
+            assert got == want
+            splits = fragments(spark, str(tmp_path / "long.json")).select("split").distinct().count()
+            assert splits > 10 if size == "997" else splits == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_documents_written_and_read(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('b', id % 5) as benchmark", "id / 4 as value", "id as seq")
+    write_large_results(rows, str(tmp_path / "three"), 200)
+    assert len(list((tmp_path / "three").glob("part-*"))) == 3
+    got = read_large_results(spark, str(tmp_path / "three")).groupBy("benchmark", "value").count().collect()
+    assert sorted((r.benchmark, r.value) for r in got) == sorted((f"b{n % 5}", n / 4) for n in range(500))
+    write_large_results(rows.limit(0), str(tmp_path / "no"), 200)
+    assert read_large_results(spark, str(tmp_path / "no")).count() == 0
+
+
 def test_unknown_table(spark, sf_dir):
     with pytest.raises(ValueError):
         table(spark, sf_dir, "partsupp")
