@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import fixed_values as fx
-from ..sources.tables import table, version
+from ..sources.tables import row_count, table, version
 from ..sources.workspace import fresh_folder
 
 col = F.col
@@ -46,15 +46,18 @@ def chosen(words: list[str], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (F.pmod(place, F.lit(len(words))) + 1).cast("int"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").withColumns({
-        "l_shipdate_days": days("l_shipdate"),
+def of_line() -> dict[str, Column]:
+    """What follows from a line's own columns."""
+    later = F.pmod(col("l_orderkey") + col("l_linenumber"), F.lit(RECEIPT_SPREAD))
+    return {
         "l_shipmode": chosen(fx.SHIP_MODES, col("l_linenumber")),
         "l_shipinstruct": chosen(fx.SHIP_INSTRUCTS, col("l_suppkey")),
-    }).withColumn(
-        "l_receiptdate_days",
-        (col("l_shipdate_days") + 1 + F.pmod(col("l_orderkey") + col("l_linenumber"), F.lit(RECEIPT_SPREAD))).cast("int"),
-    )
+        "l_receiptdate_days": (col("l_shipdate_days") + 1 + later).cast("int"),
+    }
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("l_shipdate_days", days("l_shipdate")).withColumns(of_line())
 
 
 def with_orders(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,65 +67,19 @@ def with_orders(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nations(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region")
-    return table(spark, sf_dir, "nation").join(regions, col("n_regionkey") == col("r_regionkey")).select(
-        col("n_nationkey").alias(f"{prefix}_key"), chosen(fx.NATIONS, col("n_nationkey")).alias(f"{prefix}_nation"),
-        col("r_name").alias(f"{prefix}_region"),
-    )
-
-
-def with_customers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").join(nations(spark, sf_dir, "c"), col("c_nationkey") == col("c_key"))
-    return with_orders(df, spark, sf_dir).join(customers, col("o_custkey") == col("c_custkey")).withColumn("r_name", col("c_region"))
-
-
-def with_suppliers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = table(spark, sf_dir, "supplier").join(nations(spark, sf_dir, "s"), col("s_nationkey") == col("s_key")).withColumns({
-        "s_address": F.concat(F.lit("addr_"), col("s_suppkey").cast("string")),
-        "is_complaint": F.when(col("s_acctbal") < 0, 1).otherwise(0),
-    })
-    return df.join(suppliers, col("l_suppkey") == col("s_suppkey")).withColumn("ps_suppkey", col("l_suppkey"))
-
-
-def with_parts(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumns({
+def of_part() -> dict[str, Column]:
+    """What follows from a part's own columns; of the names that change, the old ones are read."""
+    return {
         "p_type": F.concat_ws(" ", "p_type", chosen(TYPE_ENDINGS, col("p_partkey"))),
         "p_name": F.concat_ws(" ", chosen(NAME_COLOURS, col("p_partkey")), "p_name"),
         "p_container": chosen(fx.CONTAINERS, col("p_size") - 1),
         "ps_supplycost": col("p_retailprice") * F.lit(0.6),
-    })
-    return df.join(parts, col("l_partkey") == col("p_partkey")).withColumn("ps_partkey", col("l_partkey"))
+    }
 
 
-def with_part_quantities(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """avg_quantity of the part, ps_availqty and shipped_qty of the part and supplier. The lines are
-    aggregated once; the part's numbers are sums over its few rows of that."""
-    part = Window.partitionBy("k_part")
-    by_supplier = table(spark, sf_dir, "lineitem").groupBy(col("l_partkey").alias("k_part"), col("l_suppkey").alias("k_supp")).agg(
-        F.sum("l_quantity").alias("shipped_qty"), F.count("*").alias("n"))
-    shipped = F.sum("shipped_qty").over(part)
-    both = by_supplier.select(
-        "k_part", "k_supp", "shipped_qty", (shipped / F.sum("n").over(part)).alias("avg_quantity"),
-        (shipped / F.count("*").over(part)).alias("ps_availqty"))
-    return df.join(both, (col("l_partkey") == col("k_part")) & (col("l_suppkey") == col("k_supp")))
-
-
-def with_order_facts(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each order's lines the total quantity, whether there is another supplier, and one that was late:
-    by the smallest and largest keys, so that an order's lines are never paired. Which lines are late the
-    orders tell; a row per order is kept of both, and that meets the lines."""
-    late = F.when(col("l_receiptdate_days") > col("l_commitdate_days"), col("l_suppkey"))
-    facts = with_orders(lines(spark, sf_dir), spark, sf_dir).groupBy(col("l_orderkey").alias("k_order")).agg(
-        F.sum("l_quantity").alias("order_total_qty"), F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"),
-        F.min(late).alias("late_low"), F.max(late).alias("late_high"))
-
-    def other(low: str, high: str) -> Column:
-        return F.when((col(low) != col("l_suppkey")) | (col(high) != col("l_suppkey")), 1).otherwise(0)
-
-    return df.join(facts, col("l_orderkey") == col("k_order")).withColumns(
-        {"has_other_supplier": other("low", "high"), "other_also_late": other("late_low", "late_high")}
-    )
+def with_parts(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").withColumns(of_part())
+    return df.join(parts, col("l_partkey") == col("p_partkey")).withColumn("ps_partkey", col("l_partkey"))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,18 +103,97 @@ def exact_cents() -> Column:
 
 #: What the wide table is made of, and the kernels that read the lines alone.
 WIDE_FROM = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
-STEPS = (with_customers, with_suppliers, with_parts, with_part_quantities, with_order_facts)
 OF_LINES = ("tpch_q1", "tpch_q6", "tpch_q15")
+#: Lines that a task has on average at most, however large the table is.
+LINES_A_TASK = 250_000
 _written: dict[tuple, tuple[str, StructType]] = {}
 
 
+def tasks_of_lines(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many parts lines are dealt: the session's number, or more when its parts would be too large."""
+    wanted = -(-row_count(spark, sf_dir, "lineitem") // LINES_A_TASK)
+    return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """The rows dealt out by key. Where the session's number of parts will do, Spark deals them out itself,
+    and may put small parts together and split large ones."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def with_regions(df: DataFrame, spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
+    """Customers or suppliers of known nations, with the name of the region."""
+    regions = table(spark, sf_dir, "region").select("r_regionkey", col("r_name").alias(f"{prefix}_region"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").join(regions, col("n_regionkey") == col("r_regionkey"))
+    return df.join(nations, col(f"{prefix}_nationkey") == col("n_nationkey")).drop("n_nationkey", "n_regionkey", "r_regionkey")
+
+
+def order_facts(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """Of each order's lines the total quantity, and the smallest and largest supplier of all and of the
+    late ones, which tell of a line whether there is another, so that an order's lines are never paired.
+    Which lines are late the orders tell."""
+    late = F.when(col("l_receiptdate_days") > col("l_commitdate_days"), col("l_suppkey"))
+    line = lines(spark, sf_dir).select("l_orderkey", "l_suppkey", "l_quantity", "l_receiptdate_days")
+    return with_orders(dealt(line, tasks, "l_orderkey"), spark, sf_dir).groupBy(col("l_orderkey").alias("k_order")).agg(
+        F.sum("l_quantity").alias("order_total_qty"), F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"),
+        F.min(late).alias("late_low"), F.max(late).alias("late_high"))
+
+
+def order_rows(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """A row per order with its customer and the facts of its lines."""
+    customers = with_regions(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), spark, sf_dir, "c")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate_days", days("o_orderdate")).drop("o_orderdate")
+    return orders.join(customers, col("o_custkey") == col("c_custkey")).drop("c_custkey").join(
+        order_facts(spark, sf_dir, tasks), col("o_orderkey") == col("k_order")).drop("k_order")
+
+
+def part_rows(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """A row per part and supplier: the part, the quantity the supplier shipped of it, and the part's
+    quantity, lines and suppliers. The lines are dealt out by part once, which serves the sums by
+    supplier, those by part and the join with the parts."""
+    by_supplier = table(spark, sf_dir, "lineitem").select(
+        col("l_partkey").alias("k_part"), col("l_suppkey").alias("k_supp"), "l_quantity",
+    ).repartition(tasks, "k_part").groupBy("k_part", "k_supp").agg(F.sum("l_quantity").alias("shipped_qty"), F.count("*").alias("n"))
+    part = Window.partitionBy("k_part")
+    return by_supplier.select(
+        "k_part", "k_supp", "shipped_qty", F.sum("shipped_qty").over(part).alias("part_qty"),
+        F.sum("n").over(part).alias("part_lines"), F.count("*").over(part).alias("part_suppliers"),
+    ).join(table(spark, sf_dir, "part"), col("k_part") == col("p_partkey")).drop("p_partkey")
+
+
 def wide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per line with all that a kernel reads of it."""
-    df = lines(spark, sf_dir)
-    for step in STEPS:
-        df = step(df, spark, sf_dir)
-    keys = {"k_part", "k_supp", "k_order", "c_key", "s_key", "low", "high", "late_low", "late_high", "l_shipdate", "o_orderdate"}
-    return df.drop(*keys)
+    """A row per line with what a kernel needs of the tables; the rest follows row by row in ``wide_columns``.
+    Lines are shuffled twice, with no more than that: by part and supplier, then by order."""
+    tasks = tasks_of_lines(spark, sf_dir)
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+        days("l_shipdate").alias("l_shipdate_days"))
+    suppliers = with_regions(table(spark, sf_dir, "supplier"), spark, sf_dir, "s").withColumn(
+        "is_complaint", F.when(col("s_acctbal") < 0, 1).otherwise(0)).drop("s_acctbal")
+
+    def other(low: str, high: str) -> Column:
+        return F.when((col(low) != col("l_suppkey")) | (col(high) != col("l_suppkey")), 1).otherwise(0)
+
+    same_pair = (col("l_partkey") == col("k_part")) & (col("l_suppkey") == col("k_supp"))
+    priced = dealt(line, tasks, "l_partkey", "l_suppkey").join(part_rows(spark, sf_dir, tasks), same_pair).drop("k_part", "k_supp")
+    return (
+        dealt(priced, tasks, "l_orderkey").join(order_rows(spark, sf_dir, tasks), col("l_orderkey") == col("o_orderkey")).drop("o_orderkey")
+        .withColumns({"has_other_supplier": other("low", "high"), "other_also_late": other("late_low", "late_high")})
+        .drop("low", "high", "late_low", "late_high")
+        .join(suppliers, col("l_suppkey") == col("s_suppkey")).drop("s_suppkey")
+    )
+
+
+def wide_columns(df: DataFrame) -> DataFrame:
+    """The wide table as the kernels read it."""
+    keys = {"o_orderkey": col("l_orderkey"), "c_custkey": col("o_custkey"), "p_partkey": col("l_partkey"),
+            "ps_partkey": col("l_partkey"), "ps_suppkey": col("l_suppkey")}
+    return df.withColumns(keys).withColumns(of_line() | of_part() | {
+        "l_commitdate_days": col("o_orderdate_days") + COMMIT_DAYS,
+        "c_nation": chosen(fx.NATIONS, col("c_nationkey")), "s_nation": chosen(fx.NATIONS, col("s_nationkey")),
+        "r_name": col("c_region"), "s_address": F.concat(F.lit("addr_"), col("l_suppkey").cast("string")),
+        "avg_quantity": col("part_qty") / col("part_lines"), "ps_availqty": col("part_qty") / col("part_suppliers"),
+    })
 
 
 def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +206,7 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan.write.parquet(path)
         _written[key] = path, plan.schema
     path, schema = _written[key]
-    return spark.read.schema(schema).parquet(path)
+    return wide_columns(spark.read.schema(schema).parquet(path))
 
 
 def row_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import pytest
 from __spark_entry__ import queries
 from millrace.plans import row_inputs
+from pyspark.sql import functions as F
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 # The training-data operators have tests of their own.
@@ -98,6 +99,27 @@ def test_the_wide_table_is_written_once_for_each_version_of_its_tables(spark, sf
     assert not set(again.inputFiles()) & set(first.inputFiles()) and again.count() == lines.count() + 10
 
 
+def test_the_wide_table_shuffles_lines_by_pair_order_and_supplier_with_their_own_columns(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = formatted_plan(spark, row_inputs.wide_plan(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sum("l_extendedprice" in columns for columns in shuffled) == 3, shuffled
+    follows = ("l_shipmode", "l_shipinstruct", "l_tax", "p_container", "ps_supplycost", "s_address", "c_nation#", "avg_quantity", "ps_availqty")
+    assert not [name for name in follows for columns in shuffled if name in columns]
+
+
+def test_the_wide_table_deals_lines_to_tasks_of_bounded_size(spark, monkeypatch):
+    rows = row_inputs.wide_plan(spark, LARGER_DIR)
+    monkeypatch.setattr(row_inputs, "LINES_A_TASK", 2_500)
+    dealt = row_inputs.wide_plan(spark, LARGER_DIR)
+    assert len(re.findall(r"Exchange hashpartitioning\(.*, 24\), REPARTITION_BY_NUM", plan_of(dealt))) == 4
+    hashes = [df.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first() for df in (rows, dealt)]
+    assert hashes[0] == hashes[1] and hashes[0][0] == 60_000
+
+
 @pytest.mark.parametrize("name", [n for n in BATCH if n.startswith(("tpch_", "ev_", "log_", "bench_"))])
 def test_results_are_not_empty(spark, name):
     assert QUERIES[name](spark, LARGER_DIR).limit(1).count() == 1
