@@ -41,7 +41,7 @@ def window_start(ts: Column | str, width: str) -> Column:
 
 
 def window_counts(
-    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None
+    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Count per key and hopping window: (w_start, key, num).
 
@@ -51,6 +51,8 @@ def window_counts(
     Windows that start before ``first``, if not told the first event's pane, are
     dropped. Rows without a key or a time are counted nowhere. The counts of panes
     are dealt out by key before they are copied, so the copies are summed in place.
+    They are small, and the sums of their copies are not: large inputs need ``tasks``,
+    as adaptive execution goes by what is shuffled.
     """
     if micros(size) % micros(slide):
         raise ValueError(f"slide {slide!r} must divide size {size!r}")
@@ -64,7 +66,8 @@ def window_counts(
     )
     starts = F.sequence(col("pane") - interval(size) + interval(slide), col("pane"), interval(slide))
     return (
-        panes.repartition(col(key)).select(F.explode(starts).alias("w_start"), key, "num")
+        (panes.repartition(tasks, col(key)) if tasks else panes.repartition(col(key)))
+        .select(F.explode(starts).alias("w_start"), key, "num")
         .filter(col("w_start") >= first)
         .groupBy("w_start", key)
         .agg(F.sum("num").alias("num"))
@@ -89,23 +92,23 @@ def hottest(counts: DataFrame, window: str = "w_start") -> DataFrame:
 
 
 def hot_items(
-    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None
+    events: DataFrame, key: str, ts: str, size: str, slide: str, first: Column | None = None, tasks: int | None = None
 ) -> DataFrame:
     """(w_start, w_end, key, num) of every window's most frequent keys."""
-    return hottest(window_counts(events, key, ts, size, slide, first)).select(
+    return hottest(window_counts(events, key, ts, size, slide, first, tasks)).select(
         "w_start", (col("w_start") + interval(size)).alias("w_end"), key, "num"
     )
 
 
 def label_hot_rows(
-    events: DataFrame, key: str, ts: str, size: str, slide: str, num: str = "num"
+    events: DataFrame, key: str, ts: str, size: str, slide: str, num: str = "num", tasks: int | None = None
 ) -> DataFrame:
     """Every row, with its key and best count if the key led a window the row is in.
 
     All rows of a key in one pane share the answer, so winners go back to panes
     (one row per pane and key) and rows look theirs up.
     """
-    winners = hot_items(events, key, ts, size, slide)
+    winners = hot_items(events, key, ts, size, slide, tasks=tasks)
     best = (
         winners.select(
             col(key).alias("hot_key"),

@@ -16,6 +16,7 @@ from ..operators.event_windows import (
 from ..operators.row_kernels import overhead
 from ..sources.tables import table
 from . import auction_inputs as given
+from .row_inputs import tasks_of_lines
 
 col = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,18 +59,18 @@ def local_sellers(
     return found.unionAll(others).select("*", overhead())
 
 
-def hot_bids(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE) -> DataFrame:
+def hot_bids(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE, tasks: int | None = None) -> DataFrame:
     """Query 5 per bid: the auction and its best winning count, NULLs when it never won."""
     timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
-    return label_hot_rows(timed, "auction", "ts", size, slide).select(
+    return label_hot_rows(timed, "auction", "ts", size, slide, tasks=tasks).select(
         "auction", "num", overhead()
     )
 
 
-def hot_auctions(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE) -> DataFrame:
+def hot_auctions(bids: DataFrame, size: str = HOP_SIZE, slide: str = HOP_SLIDE, tasks: int | None = None) -> DataFrame:
     """Query 5 as (window, auction, count), window bounds in epoch milliseconds."""
     timed = bids.select("auction", F.timestamp_millis("date_time").alias("ts"))
-    return hot_items(timed, "auction", "ts", size, slide).select(
+    return hot_items(timed, "auction", "ts", size, slide, tasks=tasks).select(
         F.unix_millis("w_start").alias("w_start"),
         F.unix_millis("w_end").alias("w_end"),
         "auction",
@@ -144,8 +145,8 @@ def queries() -> dict[str, Query]:
 
         return query
 
-    def with_bids(plan: Callable[[DataFrame], DataFrame]) -> Query:
-        return lambda spark, sf_dir: plan(given.bids(spark, sf_dir))
+    def with_bids(plan: Callable[..., DataFrame]) -> Query:
+        return lambda spark, sf_dir: plan(given.bids(spark, sf_dir), tasks=tasks_of_lines(spark, sf_dir))
 
     def with_events(plan: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: plan(table(spark, sf_dir, "events"))

@@ -120,6 +120,15 @@ def test_the_wide_table_deals_lines_to_tasks_of_bounded_size(spark, monkeypatch)
     assert hashes[0] == hashes[1] and hashes[0][0] == 60_000
 
 
+@pytest.mark.parametrize("name", ["nexmark_q5", "nexmark_q5_hot_items"])
+def test_copies_of_panes_are_summed_in_tasks_of_bounded_size(spark, monkeypatch, name):
+    rows = QUERIES[name](spark, LARGER_DIR)
+    monkeypatch.setattr(row_inputs, "LINES_A_TASK", 2_500)
+    dealt = QUERIES[name](spark, LARGER_DIR)
+    assert re.search(r"Exchange hashpartitioning\(auction#\w+, 24\), REPARTITION_BY_NUM", plan_of(dealt))
+    assert rows.exceptAll(dealt).count() == dealt.exceptAll(rows).count() == 0
+
+
 @pytest.mark.parametrize("name", [n for n in BATCH if n.startswith(("tpch_", "ev_", "log_", "bench_"))])
 def test_results_are_not_empty(spark, name):
     assert QUERIES[name](spark, LARGER_DIR).limit(1).count() == 1
