@@ -5,7 +5,9 @@ becomes fragments, in order within each split. Whether a fragment begins inside
 string, how deep it is and to which member of the document it belongs are running
 sums over the fragments before it: sums by split are put together first, one row per
 split, and within a split it is a window. The members (a benchmark, a run of a lone
-benchmark, the document's metadata) are then put together and parsed by Spark.
+benchmark, the document's metadata) are then put together and parsed by Spark. Tables
+of a row per split, document or file are written before they are joined, so that Spark
+knows that they are small and leaves the fragments and members where they are.
 
 Defined cases: files without a brace give no rows; braces, quotes and escapes in
 strings are text; members of other keys are skipped. A member is one row, as a
@@ -23,8 +25,7 @@ from .workspace import fresh_folder
 col = F.col
 
 _MEMBER = f"name string, metadata {_NAME}, runs {_RUNS}, values array<double>"
-_ORDER = ["file", "split"]
-_PLACE = [*_ORDER, "place"]
+_SPLIT = ["document", "split"]
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -38,61 +39,68 @@ def _kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def _before(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """The rows with the sum of ``value`` over all fragments of the file before each."""
-    rows = rows.withColumn("_value", value.cast("long"))
-    splits = rows.groupBy(*_ORDER).agg(F.sum("_value").alias("_sum"))
-    earlier = F.sum("_sum").over(Window.partitionBy("file").orderBy("split")) - col("_sum")  # a row per split
-    splits = splits.select(*_ORDER, earlier.alias("_earlier"))
-    within = F.sum("_value").over(Window.partitionBy(*_ORDER).orderBy("place")) - col("_value")
-    return rows.withColumn(name, within).join(splits, _ORDER).withColumn(name, col(name) + col("_earlier")).drop("_value", "_earlier")
+def _earlier(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """A row per split: the sum of ``value`` over all splits of the document before it. Kept, and so known to
+    be small: the fragments that it is joined to stay where they are."""
+    splits = rows.groupBy(*_SPLIT).agg(F.sum(value.cast("long")).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("document").orderBy("split")) - col("_sum")
+    return _kept(splits.select(*_SPLIT, earlier.alias(name)), "splits")
+
+
+def _within(value: Column) -> Column:
+    """The sum of ``value`` over the fragments of a split before each."""
+    value = value.cast("long")
+    return F.sum(value).over(Window.partitionBy(*_SPLIT).orderBy("place")) - value
+
+
+def _bare() -> Column:
+    return F.regexp_replace("text", r"(?s)\\.", "")
 
 
 def fragments(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, split, place, text, opens): the text after each opening brace, up to the next. ``opens`` is
-    false for what stands before a file's first."""
-    read = spark.read.option("lineSep", "{").text(path).select(
+    """(file, split, place, text): the text after each opening brace, up to the next, and what stands before
+    a file's first."""
+    return spark.read.option("lineSep", "{").text(path).select(
         F.struct("_metadata.file_path", "_metadata.file_name").alias("file"), col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("place"), col("value").alias("text"))
-    read = _kept(read, "fragments")
-    first = F.row_number().over(Window.partitionBy(*_ORDER).orderBy("place"))
-    return read.withColumn("opens", (col("split") > 0) | (first > 1))
 
 
 def members(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, member, key, text): objects that stand directly in a document, or in a list that does, in their
-    order, under the key they or their list have. What follows an object in ``text`` is not part of it."""
-    texts = fragments(spark, path)
-    bare = F.regexp_replace("text", r"(?s)\\.", "")
-
-    def read_as(text: Column) -> Column:
-        # The end of a string that began before, and the beginning of one that goes on, are strings too. The
-        # key of an object stands at the end of the text before it.
-        closes = _count(F.regexp_replace(text, r'"[^"]*("|$)', ""), "}").cast("long")
-        return F.struct(closes.alias("closes"), F.regexp_extract(text, r'"([^"]*)"\s*:\s*\[?\s*$', 1).alias("key"))
-
-    # What each fragment says is found once, for both cases; from here on rows are narrow.
-    rows = texts.withColumn("bare", bare).select(
-        *_PLACE, "opens", (_count(col("bare"), '"') % 2).alias("odd"), read_as(col("bare")).alias("plainly"),
-        read_as(F.concat(F.lit('"'), "bare")).alias("in_string"))
-    rows = _before(_kept(rows, "marks"), col("odd"), "quotes")
-    inside = col("quotes") % 2 == 1
-    rows = rows.select(*_PLACE, (col("opens") & ~inside).alias("opens"), F.when(inside, col("in_string")).otherwise(col("plainly")).alias("said"))
-    rows = rows.select(*_PLACE, "opens", "said.closes", "said.key")
-    rows = _kept(_before(_kept(rows, "marks"), col("opens").cast("long") - col("closes"), "depth"), "marks")
-    starts = col("opens") & (col("depth") == 1)
-    rows = _before(rows, starts, "earlier").withColumn("member", col("earlier") + starts.cast("long"))
-    ends = col("depth") + col("opens").cast("long") - col("closes") == 1
-    rows = rows.select(*_PLACE, "member", F.when(ends, col("key")).alias("key")).join(texts.select(*_PLACE, "text"), _PLACE)
-    whole = rows.groupBy("file", "member").agg(
+    order, under the key they or their list have. What follows an object in ``text`` is not part of it.
+    Fragments are shuffled by split for what depends on quotes, for members, and by member; a file's number
+    goes with them, which is the first place in it."""
+    read = _kept(fragments(spark, path).withColumn("odd", _count(_bare(), '"') % 2), "fragments")
+    files = _kept(read.groupBy("file").agg(F.min("place").alias("document")), "files")
+    rows = read.join(files, "file").drop("file")
+    rows = rows.join(_earlier(rows, col("odd"), "quotes"), _SPLIT).withColumn("inside", (_within(col("odd")) + col("quotes")) % 2 == 1)
+    # The end of a string that began before, and the beginning of one that goes on, are strings too. The key
+    # of an object stands at the end of the text before it.
+    said = F.when(col("inside"), F.concat(F.lit('"'), _bare())).otherwise(_bare())
+    closes = _count(F.regexp_replace("said", r'"[^"]*("|$)', ""), "}").cast("long")
+    rows = rows.withColumn("said", said).select(
+        *_SPLIT, "place", "text", (~col("inside")).cast("long").alias("opens"), closes.alias("closes"),
+        F.regexp_extract("said", r'"([^"]*)"\s*:\s*\[?\s*$', 1).alias("key"))
+    # All fragments count as opened by a brace, a file's first one too: all that follows is one level deeper.
+    deeper = col("opens") - col("closes")
+    rows = _kept(rows.withColumn("depth", _within(deeper)), "marks")
+    rows = rows.join(_earlier(rows, deeper, "above"), _SPLIT).withColumn("depth", col("depth") + col("above"))
+    starts = ((col("opens") == 1) & (col("depth") == 2)).cast("long")
+    ends = col("depth") + deeper == 2
+    rows = rows.select(*_SPLIT, "place", "text", starts.alias("starts"), F.when(ends, col("key")).alias("key"))
+    rows = rows.join(_earlier(rows, col("starts"), "earlier"), _SPLIT).withColumn(
+        "member", col("earlier") + _within(col("starts")) + col("starts"))
+    whole = rows.groupBy("document", "member").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "place", "text"))), lambda x: x["text"]), "{").alias("text"),
         F.max_by("key", F.struct("split", "place")).alias("next_key"),
     )
     whole = _kept(whole, "members")
-    keys = whole.filter("next_key <> ''").groupBy("file").agg(  # as many as a document has keys
+    keys = whole.filter("next_key <> ''").groupBy("document").agg(  # as many as a document has keys
         F.array_sort(F.collect_list(F.struct((col("member") + 1).alias("at"), col("next_key").alias("key")))).alias("keys"))
+    keys = _kept(keys, "keys")
     of = F.element_at(F.filter("keys", lambda k: k["at"] <= col("member")), -1)["key"]
-    return whole.filter("member > 0").join(keys, "file").select("file", "member", of.alias("key"), F.concat(F.lit("{"), "text").alias("text"))
+    return whole.filter("member > 0").join(keys, "document").join(files, "document").select(
+        "file", "member", of.alias("key"), F.concat(F.lit("{"), "text").alias("text"))
 
 
 def write_large_results(measured: DataFrame, path: str, most: int) -> None:
@@ -120,6 +128,7 @@ def read_large_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.max(F.when(col("key") == "metadata", col("m.name"))).alias("document_name"),
         F.min_by("m.metadata.name", F.when((col("key") == "runs") & col("m.metadata.name").isNotNull(), col("member"))).alias("run_name"),
     )
+    of_file = _kept(of_file, "of-file")
     names = F.filter(F.transform("m.runs", lambda run: run["metadata"]["name"]), lambda n: n.isNotNull())
     own = F.coalesce("m.metadata.name", F.get(names, F.lit(0)), "document_name")
     alone = F.coalesce("document_name", "run_name", F.lit("unknown"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from __spark_entry__ import queries
 from millrace.functions import udfs
 from millrace.functions.numeric import display_unit, geometric_mean, in_unit
 from millrace.operators import reports
+from millrace.sources import split_documents
 from millrace.sources.bench_results import read_bench_results
 from millrace.sources.generated import wide_table
 from millrace.sources.run_logs import read_run_log, write_run_log
@@ -81,6 +83,22 @@ def test_a_large_document_is_read_by_several_tasks(spark, tmp_path, indent):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_fragments_are_shuffled_three_times_without_the_path_of_their_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "long.json").write_text(json.dumps(LARGE["long.json"]))
+    seen = []
+
+    def recorded(df):
+        utils = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
+        seen.extend(re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", utils.explainString(df._jdf.queryExecution(), "formatted")))
+        return df
+
+    kept = split_documents._kept
+    monkeypatch.setattr(split_documents, "_kept", lambda rows, name: kept(recorded(rows), name))
+    assert recorded(read_large_results(spark, str(tmp_path))).count() > 100
+    with_text = [columns for columns in seen if re.search(r"\btext#|\bmember#\w+, buf#", columns)]
+    assert len(with_text) == 3 and not [columns for columns in with_text if "file#" in columns], seen
+
+
 def test_large_documents_written_and_read(spark, tmp_path):
     rows = spark.range(500).selectExpr("concat('b', id % 5) as benchmark", "id / 4 as value", "id as seq")
     write_large_results(rows, str(tmp_path / "three"), 200)
