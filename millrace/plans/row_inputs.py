@@ -203,7 +203,7 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, *(version(spark, sf_dir, name) for name in WIDE_FROM))
     if key not in _written:
         plan, path = wide_plan(spark, sf_dir), fresh_folder(spark, "wide-rows")
-        plan.write.parquet(path)
+        plan.write.option("compression", "zstd").parquet(path)
         _written[key] = path, plan.schema
     path, schema = _written[key]
     return wide_columns(spark.read.schema(schema).parquet(path))
