@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _rows(name: str) -> Query:
     kernel = partial(KERNELS[name], words=row_inputs.COMMENT_WORDS) if name == "tpch_q13" else KERNELS[name]
+    if name in row_inputs.MEETS:
+        return lambda spark, sf_dir: row_inputs.kernel_rows(spark, sf_dir, name, kernel)
     return lambda spark, sf_dir: kernel(row_inputs.row_input(spark, sf_dir, name))
 
 
@@ -56,7 +58,7 @@ WIDE_COLUMNS = (
 
 
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_inputs.wide_rows(spark, sf_dir).select(*WIDE_COLUMNS)
+    return row_inputs.met_rows(spark, sf_dir, "src_wide_rows").select(*WIDE_COLUMNS)
 
 
 def queries() -> dict[str, Query]:

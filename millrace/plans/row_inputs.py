@@ -185,28 +185,145 @@ def wide_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_columns(df: DataFrame) -> DataFrame:
-    """The wide table as the kernels read it."""
+    """The wide table as the kernels read it; what aggregates of parts' lines tell only where they were asked for."""
     keys = {"o_orderkey": col("l_orderkey"), "c_custkey": col("o_custkey"), "p_partkey": col("l_partkey"),
             "ps_partkey": col("l_partkey"), "ps_suppkey": col("l_suppkey")}
+    of_sums = {"avg_quantity": col("part_qty") / col("part_lines"), "ps_availqty": col("part_qty") / col("part_suppliers")}
     return df.withColumns(keys).withColumns(of_line() | of_part() | {
         "l_commitdate_days": col("o_orderdate_days") + COMMIT_DAYS,
         "c_nation": chosen(fx.NATIONS, col("c_nationkey")), "s_nation": chosen(fx.NATIONS, col("s_nationkey")),
         "r_name": col("c_region"), "s_address": F.concat(F.lit("addr_"), col("l_suppkey").cast("string")),
-        "avg_quantity": col("part_qty") / col("part_lines"), "ps_availqty": col("part_qty") / col("part_suppliers"),
-    })
+    } | (of_sums if "part_qty" in df.columns else {}))
 
 
 def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table, written once for all kernels of an application: each of them then scans its few
-    columns of it and joins and shuffles nothing. It is written anew when a table it is made of has
-    changed, and goes when the application ends."""
-    key = (spark.sparkContext.applicationId, *(version(spark, sf_dir, name) for name in WIDE_FROM))
+    """The whole wide table, written once for an application that runs many kernels: each of them then scans its
+    few columns of it. It is written anew when a table it is made of has changed, and goes when the application ends."""
+    return wide_columns(written(spark, sf_dir, "wide-rows", lambda: wide_plan(spark, sf_dir)))
+
+
+def is_written(spark: SparkSession, sf_dir: str, name: str) -> tuple | None:
+    """The key of what was written of these tables under this name, if it was."""
+    key = written_key(spark, sf_dir, name)
+    return key if key in _written else None
+
+
+def written_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return name, spark.sparkContext.applicationId, *(version(spark, sf_dir, table_name) for table_name in WIDE_FROM)
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """These rows, written once for each version of the tables and read from there."""
+    key = written_key(spark, sf_dir, name)
     if key not in _written:
-        plan, path = wide_plan(spark, sf_dir), fresh_folder(spark, "wide-rows")
+        plan, path = rows(), fresh_folder(spark, name)
         plan.write.option("compression", "zstd").parquet(path)
         _written[key] = path, plan.schema
     path, schema = _written[key]
-    return wide_columns(spark.read.schema(schema).parquet(path))
+    return spark.read.schema(schema).parquet(path)
+
+
+# --- lines with no more than one kernel needs --------------------------------
+
+#: The tables that lines meet for a kernel, in turn. The one that most of its columns come from is last of
+#: orders and parts, so that they are not shuffled; suppliers come first where they bring a nation or nothing.
+MEETS = {
+    **dict.fromkeys(("tpch_q3", "tpch_q4", "tpch_q5", "tpch_q7", "tpch_q10", "tpch_q12"), ("supplier", "part", "orders")),
+    **dict.fromkeys(("tpch_q8", "tpch_q9", "tpch_q14", "tpch_q19"), ("supplier", "orders", "part")),
+    **dict.fromkeys(("tpch_q2", "tpch_q11", "tpch_q16", "tpch_q17", "tpch_q20", "src_wide_rows"), ("orders", "part", "supplier")),
+    **dict.fromkeys(("tpch_q18", "tpch_q21"), ("part", "orders", "supplier")),
+}
+#: Of which of these tables a kernel reads aggregates of the lines.
+SUMS = {
+    **dict.fromkeys(("tpch_q11", "tpch_q17", "tpch_q20"), ("part",)),
+    **dict.fromkeys(("tpch_q18", "tpch_q21"), ("orders",)),
+    "src_wide_rows": ("orders", "part"),
+}
+
+
+def sums_by_part(df: DataFrame) -> DataFrame:
+    """The quantity of a line's part and supplier, and the part's quantity, lines and suppliers."""
+    quantity, part = F.when(col("once"), col("l_quantity")), Window.partitionBy("l_partkey")
+    return df.withColumns({
+        "shipped_qty": F.sum(quantity).over(Window.partitionBy("l_partkey", "l_suppkey")),
+        "place": F.dense_rank().over(part.orderBy("l_suppkey")),
+    }).withColumns({
+        "part_qty": F.sum(quantity).over(part), "part_lines": F.sum(col("once").cast("long")).over(part),
+        "part_suppliers": F.max("place").over(part),
+    }).drop("place")
+
+
+def sums_by_order(df: DataFrame, orders: DataFrame) -> DataFrame:
+    """The total quantity of a line's order, and whether the order has another supplier and another late one: its
+    smallest and largest tell. A row per order tells which lines are late, and how often the order is there."""
+    order = Window.partitionBy("l_orderkey")
+    late = F.when(of_line()["l_receiptdate_days"] > col("first_day") + COMMIT_DAYS, col("l_suppkey"))
+
+    def other(supplier: Column) -> Column:
+        low, high = F.min(supplier).over(order), F.max(supplier).over(order)
+        return F.when((low != col("l_suppkey")) | (high != col("l_suppkey")), 1).otherwise(0)
+
+    once = orders.groupBy(col("o_orderkey").alias("k_order")).agg(F.count("*").alias("n_orders"), F.min("o_orderdate_days").alias("first_day"))
+    return df.join(once.hint("merge"), col("l_orderkey") == col("k_order"), "left").withColumns({
+        "order_total_qty": F.sum(F.when(col("once"), col("l_quantity"))).over(order) * col("n_orders"),
+        "has_other_supplier": other(col("l_suppkey")), "other_also_late": other(late),
+    }).drop("k_order", "n_orders", "first_day")
+
+
+def lines_met(spark: SparkSession, sf_dir: str, meets: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """A row per line with its order, part and supplier, and aggregates of the lines of an order or part where
+    asked for. Lines are shuffled once by order and once by part, and Spark carries no column through that is not read.
+
+    An aggregate is of all lines, so a line that misses a table met before stays until the last one is
+    made; of a line that a table has brought more than once, one row is ``once``."""
+    tasks = tasks_of_lines(spark, sf_dir)
+    large = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sorted_join(rows: DataFrame) -> DataFrame:
+        return rows.hint("merge") if large else rows  # of many lines, the other tables are large as well
+
+    def as_lines(rows: DataFrame, own: str) -> DataFrame:
+        return rows.repartition(tasks, own) if large else rows  # else lines would be dealt out anew to meet these
+
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate_days", days("o_orderdate")).drop("o_orderdate")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    order_rows = with_regions(orders.join(sorted_join(customers), col("o_custkey") == col("c_custkey")), spark, sf_dir, "c")
+    suppliers = table(spark, sf_dir, "supplier").withColumn("is_complaint", F.when(col("s_acctbal") < 0, 1).otherwise(0)).drop("s_acctbal")
+    brought = {"orders": ("l_orderkey", "o_orderkey", order_rows), "part": ("l_partkey", "p_partkey", table(spark, sf_dir, "part"))}
+    make = {"orders": lambda df: sums_by_order(df, as_lines(orders, "o_orderkey")), "part": sums_by_part}
+
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+        days("l_shipdate").alias("l_shipdate_days"), F.lit(True).alias("once"), F.lit(True).alias("found"))
+    for n, name in enumerate(meets):
+        if name == "supplier":
+            df = with_regions(df.join(suppliers, col("l_suppkey") == col("s_suppkey")).drop("s_suppkey"), spark, sf_dir, "s")
+            continue
+        key, own, rows = brought[name]
+        if large or name in sums:
+            df = df.repartition(tasks, key)
+        if name in sums:
+            df = make[name](df)
+        if not set(sums) & set(meets[n + 1:]):
+            df = df.join(sorted_join(rows), col(key) == col(own)).drop(own)
+            continue
+        rows = as_lines(rows, own).withColumn("copy", F.row_number().over(Window.partitionBy(own).orderBy(own)))
+        df = df.join(sorted_join(rows), col(key) == col(own), "left").withColumns({
+            "once": col("once") & (F.coalesce("copy", F.lit(1)) == 1), "found": col("found") & col("copy").isNotNull(),
+        }).drop(own, "copy")
+    return (df.filter("found") if sums else df).drop("once", "found")
+
+
+def met_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return wide_columns(lines_met(spark, sf_dir, MEETS[name], SUMS.get(name, ())))
+
+
+def kernel_rows(spark: SparkSession, sf_dir: str, name: str, kernel: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a kernel makes of the wide rows. Where the whole wide table has been written, it is read; else no more
+    is joined and shuffled than this kernel needs, and its rows are written once and read from there."""
+    if is_written(spark, sf_dir, "wide-rows"):
+        return kernel(wide_rows(spark, sf_dir))
+    return written(spark, sf_dir, f"rows-{name}", lambda: kernel(met_rows(spark, sf_dir, name)))
 
 
 def row_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
