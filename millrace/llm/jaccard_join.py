@@ -52,6 +52,8 @@ SKETCH, MARGIN = 64, 0.25
 #: Sets of a bucket that are compared directly, levels at which larger ones are split, and sets of a tile.
 BUCKET, LEVELS, TILE = 4096, 4, 256
 ROWS_PER_TASK = 400_000
+#: Pairs of sketches that are compared at a time, 64 bytes each.
+COMPARED = 1 << 15
 SKETCH_FACTORS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
@@ -110,10 +112,11 @@ FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64())])
 def alike(sizes: np.ndarray, sketches: np.ndarray, others: np.ndarray, other_sketches: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs may reach the threshold, by size and by estimate."""
     linked = np.empty((len(sizes), len(others)), bool)
-    for at in range(0, len(sizes), 64):
-        same = (sketches[at:at + 64, None, :] == other_sketches[None, :, :]).sum(axis=2, dtype=np.int16)
-        s = sizes[at:at + 64, None]
-        linked[at:at + 64] = (same >= SKETCH * (threshold - MARGIN)) & (
+    step = max(1, COMPARED // max(1, len(others)))
+    for at in range(0, len(sizes), step):
+        same = (sketches[at:at + step, None, :] == other_sketches[None, :, :]).sum(axis=2, dtype=np.int16)
+        s = sizes[at:at + step, None]
+        linked[at:at + step] = (same >= SKETCH * (threshold - MARGIN)) & (
             np.minimum(s, others[None, :]) >= threshold * np.maximum(s, others[None, :]) - 1e-9)
     return linked
 

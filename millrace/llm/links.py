@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 
 
+#: Cells of a matrix of links that are labelled at a time: the labels never take eight times what the links do.
+CELLS = 1 << 18
+
+
+def lowest_linked(linked: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
+    """Of each row the lowest label of the columns it is linked to, or ``most`` where there is none."""
+    lowest, step = np.full(len(linked), most, label.dtype), max(1, CELLS // max(1, len(label)))
+    for at in range(0, len(linked), step):
+        lowest[at:at + step] = np.where(linked[at:at + step], label[None, :], most).min(axis=1, initial=most)
+    return lowest
+
+
 def spanning_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect the same groups as a symmetric boolean matrix of links does, at most one
     per row: every member with its group's first."""
     n = len(linked)
     label = np.arange(n)
     while True:
-        lowest = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        lowest = np.minimum(label, lowest_linked(linked, label, n))
         lowest = lowest[lowest]
         if (lowest == label).all():
             break
@@ -29,8 +41,8 @@ def spanning_between(linked: np.ndarray) -> list[tuple[int, int]]:
     part = linked[np.ix_(rows, columns)]
     group = np.arange(len(rows))
     while True:
-        of_column = np.where(part, group[:, None], len(rows)).min(axis=0, initial=len(rows))
-        lowest = np.where(part, of_column[None, :], len(rows)).min(axis=1, initial=len(rows))
+        of_column = lowest_linked(part.T, group, len(rows))
+        lowest = lowest_linked(part, of_column, len(rows))
         if (lowest == group).all():
             break
         group = lowest

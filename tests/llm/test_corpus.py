@@ -7,10 +7,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -388,6 +390,26 @@ def test_components_of_chains_and_stars(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_memory_of_a_bucket_is_little_more_than_its_links():
+    n = 2048
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 256, (n, jaccard_join.SKETCH), np.uint8)
+    sketches[n // 2:] = sketches[:n // 2]
+    bucket = pa.RecordBatch.from_arrays(
+        [pa.array([7] * n), pa.array(range(n)), pa.array([50] * n, pa.int32()), pa.array([s.tobytes() for s in sketches], pa.binary())],
+        names=["path", "uid", "size", "sketch"])
+    tracemalloc.start()
+    edges = [e for batch in jaccard_join._buckets(jaccard_join.THRESHOLD, n)(iter([bucket])) for e in batch.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    linked = rng.random((n, n)) < 2 / n
+    tracemalloc.reset_peak()
+    spanning_between(linked)
+    between = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((e["b"], e["a"]) for e in edges) == [(k, k + n // 2) for k in range(n // 2)]
+    assert peak < 3 * n * n and between < 4 * n * n, (peak, between)
+
+
 def test_spanning_edges_connect_what_links_connect():
     rng = np.random.default_rng(4)
     for _ in range(200):
