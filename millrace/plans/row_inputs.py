@@ -106,6 +106,9 @@ WIDE_FROM = ("lineitem", "orders", "customer", "supplier", "part", "nation", "re
 OF_LINES = ("tpch_q1", "tpch_q6", "tpch_q15")
 #: Lines that a task has on average at most, however large the table is.
 LINES_A_TASK = 250_000
+#: Suppliers that are sent to every task, whatever the session's threshold: at most so many rows of a few columns,
+#: where shuffling lines to meet them would write all lines once more. More of them are joined as Spark decides.
+SUPPLIERS_SENT = 1_000_000
 _written: dict[tuple, tuple[str, StructType]] = {}
 
 
@@ -287,8 +290,12 @@ def lines_met(spark: SparkSession, sf_dir: str, meets: Sequence[str], sums: Sequ
 
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate_days", days("o_orderdate")).drop("o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    order_rows = with_regions(orders.join(sorted_join(customers), col("o_custkey") == col("c_custkey")), spark, sf_dir, "c")
+    # Regions come to suppliers and customers first: else lines and orders would be dealt out by nation to meet them.
+    order_rows = orders.join(sorted_join(with_regions(customers, spark, sf_dir, "c")), col("o_custkey") == col("c_custkey"))
     suppliers = table(spark, sf_dir, "supplier").withColumn("is_complaint", F.when(col("s_acctbal") < 0, 1).otherwise(0)).drop("s_acctbal")
+    suppliers = with_regions(suppliers, spark, sf_dir, "s")
+    if row_count(spark, sf_dir, "supplier") <= SUPPLIERS_SENT:
+        suppliers = F.broadcast(suppliers)
     brought = {"orders": ("l_orderkey", "o_orderkey", order_rows), "part": ("l_partkey", "p_partkey", table(spark, sf_dir, "part"))}
     make = {"orders": lambda df: sums_by_order(df, as_lines(orders, "o_orderkey")), "part": sums_by_part}
 
@@ -297,7 +304,7 @@ def lines_met(spark: SparkSession, sf_dir: str, meets: Sequence[str], sums: Sequ
         days("l_shipdate").alias("l_shipdate_days"), F.lit(True).alias("once"), F.lit(True).alias("found"))
     for n, name in enumerate(meets):
         if name == "supplier":
-            df = with_regions(df.join(suppliers, col("l_suppkey") == col("s_suppkey")).drop("s_suppkey"), spark, sf_dir, "s")
+            df = df.join(suppliers, col("l_suppkey") == col("s_suppkey")).drop("s_suppkey")
             continue
         key, own, rows = brought[name]
         if large or name in sums:

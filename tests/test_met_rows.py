@@ -80,6 +80,23 @@ def test_a_kernel_shuffles_its_lines_once_by_order_and_once_by_part(spark, sf_di
     assert not [x for x in shuffled if re.search(unread.get(name, "s_acctbal|l_tax"), x)], shuffled
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_lines_are_not_shuffled_to_meet_suppliers(spark, odd_dir, monkeypatch, sent):
+    """Whatever the session's threshold is; beyond the number of suppliers that may be sent, they are, with the same rows."""
+    want = bag(row_inputs.lines_met(spark, odd_dir, ("supplier", "orders", "part")))
+    monkeypatch.setattr(row_inputs, "SUPPLIERS_SENT", sent)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = row_inputs.lines_met(spark, odd_dir, ("supplier", "orders", "part"))
+        plan = formatted_plan(spark, met)
+        shuffled = [x for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan) if "l_orderkey" in x]
+        assert len(shuffled) == (3 if sent == 0 else 2), plan
+        assert want and bag(met) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_only_the_rows_of_the_kernel_are_written(spark, sf_dir):
     rows = queries()["rows_tpch_q14"](spark, sf_dir)
     assert spark.read.parquet(*rows.inputFiles()).columns == rows.columns == ["promo_value", "total_value", "overhead"]
